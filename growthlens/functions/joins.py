@@ -1,0 +1,22 @@
+"""Join helpers that keep broadcasts behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has no more than ``max_rows`` rows.
+
+    Runs ``limit(max_rows + 1).count()``: the scan stops after max_rows + 1
+    rows per partition, so the check stays cheap on a huge input.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint only when the side is proven to hold at most ``max_rows``
+    rows; otherwise leave the strategy to Catalyst/AQE (sort-merge or a
+    runtime broadcast chosen from real shuffle statistics)."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
