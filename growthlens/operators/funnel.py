@@ -24,8 +24,9 @@ from growthlens.sources.views import ENTITY, FUNNEL_STEPS
 
 def step_frame(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     """(step, event_name) literal frame, step numbered from 1."""
-    rows = [(i + 1, s) for i, s in enumerate(steps)]
-    return events.sparkSession.createDataFrame(rows, "step int, event_name string")
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("event_name"))
+                     for i, s in enumerate(steps)])
+    return events.sparkSession.range(1).select(F.inline(rows))
 
 
 def step_entity_counts(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,

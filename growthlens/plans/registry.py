@@ -32,11 +32,23 @@ FROM_STEP, TO_STEP = "signup", "purchase"
 ROW_COUNT_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """One lazy Tables accessor per (session, directory): raw-table plans are
+    immutable, so queries share them (and their dimension size checks)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 class Ctx:
     """Canonical views over one fixture directory (built lazily, once)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.t = Tables(spark, sf_dir)
+        self.t = _tables(spark, sf_dir)
         self._memo: dict[str, DataFrame] = {}
 
     def _get(self, name, fn):

@@ -29,6 +29,7 @@ class Tables:
         self.spark = spark
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        self.memo: dict[str, DataFrame] = {}   # derived frames, e.g. checked dimensions
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"

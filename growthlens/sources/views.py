@@ -67,10 +67,16 @@ def delivered_orders(t: Tables) -> DataFrame:
     return orders(t).where(F.col("is_delivered"))
 
 
+def _dimension(t: Tables, name: str, df_fn) -> DataFrame:
+    """A dimension frame, broadcast only after its row bound is checked (once per Tables)."""
+    if name not in t.memo:
+        t.memo[name] = bounded_broadcast(df_fn(), _DIM_MAX_ROWS)
+    return t.memo[name]
+
+
 def nations(t: Tables) -> DataFrame:
-    return bounded_broadcast(
-        t.nation.select("n_nationkey", F.col("n_name").alias("city"), "n_regionkey"),
-        _DIM_MAX_ROWS)
+    return _dimension(t, "nation", lambda: t.nation.select(
+        "n_nationkey", F.col("n_name").alias("city"), "n_regionkey"))
 
 
 def user_city(t: Tables) -> DataFrame:
@@ -81,25 +87,32 @@ def user_city(t: Tables) -> DataFrame:
     return c.join(n, c.c_nationkey == n.n_nationkey, "inner").select("user_id", "name", "city")
 
 
-def user_activity(t: Tables) -> DataFrame:
-    """One row per user with a finished order: signup_date, order counts and the
-    set of months with a delivered order.
+def activity_from_orders(orders_df: DataFrame) -> DataFrame:
+    """One row per user of an orders-shaped frame: signup_date (first order
+    date), n_orders, n_delivered and the set of months with a delivered order.
 
-    A single hash aggregate over orders keyed by user (partial aggregation on
-    the map side, so a user holding a third of all orders costs one row per
-    map task). ``delivered_months`` holds month starts, so its size is bounded
-    by the calendar span of the data, not by the number of orders.
+    A single hash aggregate keyed by user (partial aggregation on the map
+    side, so a user holding a third of all orders costs one row per map task).
+    ``delivered_months`` holds month starts, so its size is bounded by the
+    calendar span of the data, not by the number of orders.
     """
-    o = orders(t)
     month = F.trunc("order_date", "month")
-    act = o.groupBy("user_id").agg(
+    return orders_df.groupBy("user_id").agg(
         F.min("order_date").alias("signup_date"),
         F.count(F.lit(1)).alias("n_orders"),
         F.count(F.when(F.col("is_delivered"), 1)).alias("n_delivered"),
         F.collect_set(F.when(F.col("is_delivered"), month)).alias("delivered_months"),
     )
-    known = t.customer.select(F.col("c_custkey").alias("user_id"))
-    return act.join(known, "user_id", "left_semi")
+
+
+def user_activity(t: Tables) -> DataFrame:
+    """``activity_from_orders`` restricted to known customers (the users table)."""
+    act = activity_from_orders(orders(t))
+    # Inner join with the distinct customer keys, not a left-semi join:
+    # Catalyst pushes a semi join below the aggregate, which would shuffle
+    # orders at full grain and put a hot user's orders in one task.
+    known = t.customer.select(F.col("c_custkey").alias("user_id")).distinct()
+    return act.join(known, "user_id", "inner")
 
 
 def users(t: Tables) -> DataFrame:
@@ -113,8 +126,8 @@ def restaurants(t: Tables) -> DataFrame:
         F.col("s_suppkey").alias("restaurant_id"), F.col("s_name").alias("name"),
         "s_nationkey", F.col("s_acctbal").alias("rating"))
     n = nations(t)
-    r = bounded_broadcast(t.region.select("r_regionkey", F.col("r_name").alias("cuisine")),
-                          _DIM_MAX_ROWS)
+    r = _dimension(t, "region", lambda: t.region.select(
+        "r_regionkey", F.col("r_name").alias("cuisine")))
     return (s.join(n, s.s_nationkey == n.n_nationkey, "inner")
              .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
              .select("restaurant_id", "name", "city", "cuisine", "rating"))
