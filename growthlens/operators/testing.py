@@ -70,8 +70,8 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
     cells = tables.join(totals, key, "inner")
     n = F.col("_A") + F.col("_B")
     row = F.col("a") + F.col("b")
-    ea = row * F.col("_A") / n
-    eb = row * F.col("_B") / n
+    ea = F.try_divide(row * F.col("_A"), n)
+    eb = F.try_divide(row * F.col("_B"), n)
     dof = (F.col("_r") - 1).cast("int")
     use_yates = (dof == 1) if yates else F.lit(False)
 
@@ -79,7 +79,7 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
         d = F.abs(F.col(o) - e)
         return F.when(use_yates, F.greatest(d - F.lit(0.5), F.lit(0.0))).otherwise(d)
 
-    term = dev("a", ea) ** 2 / ea + dev("b", eb) ** 2 / eb
+    term = F.try_divide(dev("a", ea) ** 2, ea) + F.try_divide(dev("b", eb) ** 2, eb)
     per = cells.groupBy(*key).agg(
         F.first("_r").alias("groups"),
         F.first(dof).alias("dof"),
