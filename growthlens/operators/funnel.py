@@ -49,11 +49,12 @@ def funnel_steps(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     counts = step_entity_counts(events, steps, entity, by)
     w = Window.partitionBy(*by).orderBy("step") if by else Window.orderBy("step")
     prev = F.lag("users").over(w)
-    return counts.select(
-        *by, "event_name", "users",
+    out = counts.select(
+        *by, "step", "event_name", "users",
         prev.alias("prev_step_users"),
         pct(F.col("users"), prev, 2).alias("step_conv_pct"),
     )
+    return out.orderBy(*by, "step").drop("step")
 
 
 def _end_flags(events: DataFrame, first: str, last: str, entity: Sequence[str],
@@ -76,8 +77,9 @@ def funnel_ends(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
         F.coalesce(F.sum("has_first"), F.lit(0)).cast("long").alias("opened"),
         F.coalesce(F.sum("has_last"), F.lit(0)).cast("long").alias("ordered"),
     )
-    return agg.select(*by, "opened", "ordered",
-                      pct(F.col("ordered"), F.col("opened"), 2).alias("open_to_order_pct"))
+    out = agg.select(*by, "opened", "ordered",
+                     pct(F.col("ordered"), F.col("opened"), 2).alias("open_to_order_pct"))
+    return out.orderBy(F.desc("open_to_order_pct"), *by) if by else out
 
 
 def funnel_overall(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
@@ -115,20 +117,24 @@ def funnel_zero_filled(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
         "step", "event_name", "users",
         F.round("drop_raw", 2).alias("drop_pct"),
         ((F.row_number().over(rank_w) == 1) & (F.col("step") > 1)).alias("is_biggest_drop"),
-    )
+    ).orderBy("step")
 
 
 def step_pair_baseline(events: DataFrame, from_step: str = "signup", to_step: str = "purchase",
-                       entity: Sequence[str] = ENTITY) -> DataFrame:
-    """One row: distinct entities at two chosen steps and their ratio in %."""
-    counts = step_entity_counts(events, [from_step, to_step], entity)
-    row = counts.agg(
+                       entity: Sequence[str] = ENTITY, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct entities at two chosen steps and their ratio in % (one row,
+    or one row per group of ``by``)."""
+    by = list(by)
+    counts = step_entity_counts(events, [from_step, to_step], entity, by)
+    grouped = counts.groupBy(*by) if by else counts
+    row = grouped.agg(
         F.max(F.when(F.col("event_name") == from_step, F.col("users"))).alias("from_step_users"),
         F.max(F.when(F.col("event_name") == to_step, F.col("users"))).alias("to_step_users"),
     )
-    return row.select("from_step_users", "to_step_users",
-                      pct(F.col("to_step_users"), F.col("from_step_users"), 2)
-                      .alias("baseline_conversion_pct"))
+    out = row.select(*by, "from_step_users", "to_step_users",
+                     pct(F.col("to_step_users"), F.col("from_step_users"), 2)
+                     .alias("baseline_conversion_pct"))
+    return out.orderBy(*by) if by else out
 
 
 def conversion_contingency(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
@@ -143,7 +149,7 @@ def conversion_contingency(events: DataFrame, steps: Sequence[str] = FUNNEL_STEP
     return flags.groupBy(*by).agg(
         F.sum("has_last").cast("long").alias("converted"),
         F.sum(F.lit(1) - F.col("has_last")).cast("long").alias("not_converted"),
-    )
+    ).orderBy(*by)
 
 
 def ab_arms(events: DataFrame, from_step: str = "signup", to_step: str = "purchase",
@@ -162,7 +168,8 @@ def ab_arms(events: DataFrame, from_step: str = "signup", to_step: str = "purcha
         F.sum("has_last").cast("long").alias("converted"),
     )
     return per_arm.select("arm", "users", "converted",
-                          pct(F.col("converted"), F.col("users"), 2).alias("conversion_pct"))
+                          pct(F.col("converted"), F.col("users"), 2).alias("conversion_pct")
+                          ).orderBy("arm")
 
 
 __all__ = [

@@ -38,4 +38,5 @@ def first_event_outcome(orders: DataFrame, splits: Sequence[float] = FIRST_ORDER
         F.sum("re").cast("long").alias("reordered"),
         F.sum(F.lit(1) - F.col("re")).cast("long").alias("did_not_reorder"))
     return agg.select("first_order_bucket", "users", "reordered", "did_not_reorder",
-                      pct(F.col("reordered"), F.col("users"), 2).alias("reorder_rate_pct"))
+                      pct(F.col("reordered"), F.col("users"), 2).alias("reorder_rate_pct")
+                      ).orderBy("first_order_bucket")

@@ -94,7 +94,8 @@ def pareto_split(orders: DataFrame, n_tiles: int = 20) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("users"), F.sum("user_gmv_raw").alias("gmv_raw")))
     total = F.sum("gmv_raw").over(Window.partitionBy())  # two rows
     return agg.select("segment", "users", F.round("gmv_raw", 2).alias("segment_gmv"),
-                      F.round(hundred() * F.col("gmv_raw") / total, 2).alias("pct_of_total_gmv"))
+                      F.round(hundred() * F.col("gmv_raw") / total, 2).alias("pct_of_total_gmv")
+                      ).orderBy("segment")
 
 
 def concentration_ratio(orders: DataFrame, n_tiles: int = 20) -> DataFrame:

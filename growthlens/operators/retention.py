@@ -42,7 +42,7 @@ def cohort_retention(activity: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -
         "cohort_month", "cohort_size",
         *[f"retained_m{h}" for h in horizons],
         *[pct(F.col(f"retained_m{h}"), F.col("cohort_size"), 2).alias(f"retention_m{h}_pct")
-          for h in horizons])
+          for h in horizons]).orderBy("cohort_month")
 
 
 def cohort_retention_observable(activity: DataFrame, orders: DataFrame,
@@ -59,7 +59,8 @@ def cohort_retention_observable(activity: DataFrame, orders: DataFrame,
     cohort_start = F.to_date(F.concat(F.col("cohort_month"), F.lit("-01")))
     observable = F.add_months(cohort_start, F.col("c.horizon")) <= last_month
     return long.select("cohort_month", F.col("c.horizon").alias("horizon"),
-                       F.when(observable, F.col("c.pct")).alias("retention_pct"))
+                       F.when(observable, F.col("c.pct")).alias("retention_pct")
+                       ).orderBy("cohort_month", "horizon")
 
 
 def exposure_per_user(activity: DataFrame, orders: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def exposure_baseline(activity: DataFrame, orders: DataFrame) -> DataFrame:
         F.round(observed, 1).alias("observed_m1_pct"),
         F.round(expected, 1).alias("expected_if_no_retention_pct"),
         F.round(observed - expected, 1).alias("excess_pct_points"),
-    )
+    ).orderBy("cohort_month")
 
 
 def exposure_gap(baseline: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def gmv_mom(orders: DataFrame) -> DataFrame:
         F.round("gmv_raw", 2).alias("gmv"),
         F.round(prev, 2).alias("prev_gmv"),
         F.round(F.try_divide(hundred() * (F.col("gmv_raw") - prev), prev), 2).alias("mom_growth_pct"),
-    )
+    ).orderBy("ym")
 
 
 def gmv_monthly_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
@@ -64,7 +64,8 @@ def gmv_monthly_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope =
                       .agg(F.sum("order_amount").alias("gmv_raw")))
     joined = _with_city(per_user_month, user_city, scope)
     return (joined.groupBy("month").agg(F.sum("gmv_raw").alias("gmv_raw"))
-            .select(month_key("month").alias("ym"), F.round("gmv_raw", 2).alias("gmv")))
+            .select(month_key("month").alias("ym"), F.round("gmv_raw", 2).alias("gmv"))
+            .orderBy("ym"))
 
 
 def city_leaderboard(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
@@ -73,7 +74,8 @@ def city_leaderboard(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL
                 .agg(F.count(F.lit(1)).alias("n"), F.sum("order_amount").alias("gmv_raw")))
     joined = _with_city(per_user, user_city, scope)
     return (joined.groupBy("city")
-            .agg(F.sum("n").alias("orders"), F.round(F.sum("gmv_raw"), 2).alias("revenue")))
+            .agg(F.sum("n").alias("orders"), F.round(F.sum("gmv_raw"), 2).alias("revenue"))
+            .orderBy(F.desc("revenue"), "city"))
 
 
 def avg_order_value_by_city(orders: DataFrame, user_city: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def avg_order_value_by_city(orders: DataFrame, user_city: DataFrame) -> DataFram
     agg = joined.groupBy("city").agg(F.sum("n").alias("orders"), F.sum("amount").alias("amount"))
     return agg.select("city", "orders",
                       F.round(F.try_divide(F.col("amount"), F.col("orders")), 2)
-                      .alias("avg_order_value"))
+                      .alias("avg_order_value")).orderBy(F.desc("avg_order_value"), "city")
 
 
 # ------------------------------------------------------- restaurants ----
@@ -105,7 +107,8 @@ def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = 3) -> Dat
                                          "restaurant_id", "inner")
     w = Window.partitionBy("city").orderBy(F.desc("revenue_raw"))
     ranked = rev.withColumn("city_rank", F.dense_rank().over(w)).where(F.col("city_rank") <= n)
-    return ranked.select("city", "name", F.round("revenue_raw", 2).alias("revenue"), "city_rank")
+    return (ranked.select("city", "name", F.round("revenue_raw", 2).alias("revenue"), "city_rank")
+            .orderBy("city", "city_rank", "name"))
 
 
 def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int = 10) -> DataFrame:
@@ -139,7 +142,7 @@ def group_share(lines: DataFrame, restaurants: DataFrame) -> DataFrame:
         F.round("top.revenue_raw", 2).alias("top_revenue"),
         F.round("city_raw", 2).alias("city_revenue"),
         pct(F.col("top.revenue_raw"), F.col("city_raw"), 2).alias("top_share_pct"),
-    )
+    ).orderBy("city")
 
 
 # ----------------------------------------------------- cancellations ----
@@ -154,7 +157,7 @@ def cancellation_by_city(orders: DataFrame, user_city: DataFrame) -> DataFrame:
         F.sum("risk").alias("risk"))
     return agg.select("city", "total_orders", "cancelled_orders",
                       pct(F.col("cancelled_orders"), F.col("total_orders"), 2).alias("cancel_rate_pct"),
-                      F.round("risk", 2).alias("revenue_at_risk"))
+                      F.round("risk", 2).alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
 
 
 def cancellation_by_payment(orders: DataFrame) -> DataFrame:
@@ -164,7 +167,7 @@ def cancellation_by_payment(orders: DataFrame) -> DataFrame:
         _amount_if(_cancelled()).alias("risk"))
     return agg.select("payment_method", "total_orders", "cancelled_orders",
                       pct(F.col("cancelled_orders"), F.col("total_orders"), 2).alias("cancel_rate_pct"),
-                      F.round("risk", 2).alias("revenue_at_risk"))
+                      F.round("risk", 2).alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
 
 
 def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
@@ -184,7 +187,7 @@ def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope
         "delivered", "cancelled",
         F.round("risk", 2).alias("revenue_at_risk"),
         pct(F.col("cancelled"), F.col("delivered") + F.col("cancelled"), 2).alias("cancel_rate_pct"),
-    )
+    ).orderBy("dimension", F.desc("cancel_rate_pct"), "value")
 
 
 def revenue_at_risk_total(orders: DataFrame) -> DataFrame:

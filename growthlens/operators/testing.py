@@ -33,7 +33,7 @@ def contingency_by_city(orders: DataFrame, user_city: DataFrame) -> DataFrame:
         F.count(F.when(~F.col("is_delivered"), 1)).alias("c"))
     joined = per_user.join(user_city.select("user_id", "city"), "user_id", "inner")
     return joined.groupBy(F.col("city").alias("label")).agg(
-        F.sum("d").alias("a"), F.sum("c").alias("b"))
+        F.sum("d").alias("a"), F.sum("c").alias("b")).orderBy("label")
 
 
 def contingency_by_payment(orders: DataFrame, payments: Sequence[str] | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def contingency_by_payment(orders: DataFrame, payments: Sequence[str] | None = N
     o = orders.where(F.col("payment_method").isin(list(payments))) if payments else orders
     return o.groupBy(F.col("payment_method").alias("label")).agg(
         F.count(F.when(F.col("is_delivered"), 1)).alias("a"),
-        F.count(F.when(~F.col("is_delivered"), 1)).alias("b"))
+        F.count(F.when(~F.col("is_delivered"), 1)).alias("b")).orderBy("label")
 
 
 def contingency_from(frame: DataFrame, label: str, a: str, b: str) -> DataFrame:
@@ -91,7 +91,7 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
     out = per.select(*key, "groups", "dof", "yates_applied", chi2.alias("chi2"))
     p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(chi2_sf(F.col("chi2"), F.col("dof")))
     return out.select(*key, "groups", F.round("chi2", 6).alias("chi2"), "dof",
-                      F.round(p, 10).alias("p_value"), "yates_applied")
+                      F.round(p, 10).alias("p_value"), "yates_applied").orderBy(*key)
 
 
 def multiple_comparison_verdicts(tests: DataFrame, m: int | None = None,
@@ -139,7 +139,8 @@ def two_proportion_ztest(arms: DataFrame, control: str = "control",
 
 
 def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = (3.0, 6.0, 10.0),
-                         powers: Sequence[float] = (0.8,), alpha: float = ALPHA) -> DataFrame:
+                         powers: Sequence[float] = (0.8,), alpha: float = ALPHA,
+                         by: Sequence[str] = ()) -> DataFrame:
     """Per (lift, power): users per group needed to detect ``lift_pp`` points on
     the observed baseline of ``step_pair_baseline`` (two-sided alpha),
     n = ceil((z_{1-alpha/2} + z_power)^2 (p1 q1 + p2 q2) / lift^2), and whether
@@ -148,7 +149,9 @@ def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = (3.0,
     grid = F.array(*[F.struct(F.lit(float(l)).alias("lift_pp"), F.lit(float(p)).alias("power"),
                               F.lit(normal_quantile(p)).alias("z_b"))
                      for l in lifts_pp for p in powers])
+    by = list(by)
     rows = baseline.select(
+        *by,
         (F.col("to_step_users") / F.col("from_step_users")).alias("p1"),
         F.floor(F.col("from_step_users") / 2).cast("long").alias("available_per_group"),
         F.explode(grid).alias("g"))
@@ -158,6 +161,7 @@ def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = (3.0,
     n = (F.pow(F.lit(z_a) + F.col("g.z_b"), 2) * (p1 * (1 - p1) + p2 * (1 - p2))) / (lift * lift)
     need = F.ceil(n).cast("long")
     return rows.select(
+        *by,
         F.col("g.lift_pp").alias("lift_pp"), F.col("g.power").alias("power"),
         F.round(hundred() * p1, 2).alias("baseline_pct"),
         need.alias("required_n_per_group"), "available_per_group",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from growthlens.functions.scope import Scope, filter_scope
 from growthlens.operators import funnel, outcome, ranking, retention, revenue, setops, testing
-from growthlens.sources import catalog, views
+from growthlens.sources import adhoc, catalog, views
 from growthlens.sources.tables import Tables
 
 # Parameters of the registered instances (fixed, shared with the oracle).
@@ -29,6 +29,13 @@ FUNNEL_PLATFORMS = ("iOS", "Web")
 DRILL_CITY = "NATION_9"
 TWO_PAYMENTS = ("1-URGENT", "5-LOW")
 FROM_STEP, TO_STEP = "signup", "purchase"
+CORRELATION_RANGE = ("1995-01", "1997-12")
+PLAYGROUND_SQL = """
+SELECT u.city, COUNT(*) AS orders, ROUND(AVG(o.order_amount), 2) AS avg_order_value
+FROM {orders} o JOIN {users} u ON u.user_id = o.user_id
+WHERE o.order_status = :status
+GROUP BY u.city
+ORDER BY avg_order_value DESC"""
 ROW_COUNT_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 
@@ -101,6 +108,15 @@ def _contingency_tables(c: Ctx) -> DataFrame:
     return city.unionByName(pay).unionByName(plat).unionByName(first)
 
 
+def _sql_playground_example(c: Ctx) -> DataFrame:
+    """The ad-hoc SQL example (orders per user city and average delivered
+    order value) through spark.sql with a bound status and a 500-row cap."""
+    frames = adhoc.canonical_frames(c.t)
+    df = adhoc.run_sql(c.t.spark, PLAYGROUND_SQL, {"status": "delivered"},
+                       {"orders": frames["orders"], "users": frames["users"]})
+    return adhoc.capped(df, adhoc.ROW_LIMIT)
+
+
 def _chi_square_tests(c: Ctx) -> DataFrame:
     return testing.chi_square(_contingency_tables(c))
 
@@ -123,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retention.exposure_baseline(c.activity, c.orders))),
     "exposure_correlation": _q(lambda c: retention.exposure_correlation(
         retention.exposure_baseline(c.activity, c.orders))),
+    "exposure_correlation_range": _q(lambda c: retention.exposure_correlation(
+        retention.exposure_baseline(c.activity, c.orders), *CORRELATION_RANGE)),
     # GMV
     "gmv_mom": _q(lambda c: revenue.gmv_mom(c.orders)),
     "gmv_monthly_filtered": _q(lambda c: revenue.gmv_monthly_filtered(c.orders, c.user_city, SCOPE)),
@@ -164,6 +182,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         funnel.ab_arms(c.events, FROM_STEP, TO_STEP))),
     "required_sample_size": _q(lambda c: testing.required_sample_size(
         funnel.step_pair_baseline(c.events, FROM_STEP, TO_STEP), (3.0, 6.0, 10.0), (0.8, 0.9))),
+    "required_sample_size_by_platform": _q(lambda c: testing.required_sample_size(
+        funnel.step_pair_baseline(c.events, FROM_STEP, TO_STEP, by=("platform",)), (6.0,), (0.8,),
+        by=("platform",))),
+    "sql_avg_order_value_by_city": _q(_sql_playground_example),
     # set-style
     "users_without_delivered_order": _q(lambda c: setops.entities_without_activity(
         c.user_city, views.delivered_orders(c.t), "user_id")),

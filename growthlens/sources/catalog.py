@@ -35,7 +35,7 @@ def dimension_values(orders: DataFrame, user_city: DataFrame, events: DataFrame)
     out = parts[0].distinct()
     for p in parts[1:]:
         out = out.unionByName(p.distinct())
-    return out
+    return out.orderBy("dimension", "value")
 
 
 def schema_listing(tables: Tables, names: Sequence[str]) -> list[tuple[str, str]]:

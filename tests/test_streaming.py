@@ -1,0 +1,34 @@
+"""The streaming daily counts add up to the batch funnel."""
+
+import uuid
+
+from growthlens.operators import funnel
+from growthlens.sources import views
+from growthlens.sources.tables import Tables
+from growthlens.streaming import funnel_stream
+
+from conftest import SF_SMALL
+
+
+def test_stream_matches_batch_funnel(spark):
+    stream = funnel_stream.read_event_stream(spark, f"{SF_SMALL}/event[s].parquet", 1,
+                                             base_path=SF_SMALL)
+    name = "daily_" + uuid.uuid4().hex[:8]
+    q = (funnel_stream.daily_step_counts(stream).writeStream.outputMode("complete")
+         .format("memory").queryName(name).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    daily = spark.table(name)
+    got = {r.event_name: r for r in funnel_stream.funnel_from_daily(daily).collect()}
+    batch = {r.event_name: r for r in funnel.funnel_steps(views.app_events(Tables(spark, SF_SMALL))).collect()}
+    assert got == batch
+
+
+def test_daily_counts_in_batch_mode(spark):
+    ev = views.app_events(Tables(spark, SF_SMALL))
+    daily = funnel_stream.daily_step_counts(ev)
+    got = {r.event_name: r.users for r in funnel_stream.funnel_from_daily(daily).collect()}
+    batch = {r.event_name: r.users for r in funnel.funnel_steps(ev).collect()}
+    assert got == batch
