@@ -2,13 +2,16 @@
 and print ONE JSON line with per-query wall seconds.
 
 Each query is fully executed with the `noop` sink (every row produced, nothing
-collected to the driver). One untimed warm-up query absorbs JVM start-up.
+collected to the driver), $BENCH_REPEAT times (default 3); ``queries`` holds
+the median run, ``cold`` the first run (plan + JIT warm-up included), and
+``value`` the sum of the medians. One untimed warm-up query absorbs JVM start-up.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -26,17 +29,26 @@ def main() -> None:
                           app_name="growthlens-bench")
     names = only or list(QUERIES)
     QUERIES["gmv_mom"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     times: dict[str, float] = {}
+    cold: dict[str, float] = {}
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        runs = []
+        for _ in range(repeat):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        times[name] = round(statistics.median(runs), 3)
+        cold[name] = round(runs[0], 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "cold": cold,
+        "cold_total": round(sum(cold.values()), 3),
+        "repeat": repeat,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
     }))

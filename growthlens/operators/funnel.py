@@ -139,17 +139,18 @@ def step_pair_baseline(events: DataFrame, from_step: str = "signup", to_step: st
 
 def conversion_contingency(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
                            entity: Sequence[str] = ENTITY,
-                           by: Sequence[str] = ("platform",)) -> DataFrame:
+                           by: Sequence[str] = ("platform",), ordered: bool = True) -> DataFrame:
     """(by..., converted, not_converted) among entities that opened in the group:
     converted = reached the last step too. Both columns are non-negative even
     when the funnel is not a prefix sequence."""
     by = list(by)
     flags = _end_flags(events.where(F.col("event_name").isin(steps[0], steps[-1])),
                        steps[0], steps[-1], entity, by).where(F.col("has_first") == 1)
-    return flags.groupBy(*by).agg(
+    out = flags.groupBy(*by).agg(
         F.sum("has_last").cast("long").alias("converted"),
         F.sum(F.lit(1) - F.col("has_last")).cast("long").alias("not_converted"),
-    ).orderBy(*by)
+    )
+    return out.orderBy(*by) if ordered and by else out
 
 
 def ab_arms(events: DataFrame, from_step: str = "signup", to_step: str = "purchase",

@@ -27,7 +27,7 @@ def first_event_per_user(orders: DataFrame, value_col: str = "order_amount") ->
 
 def first_event_outcome(orders: DataFrame, splits: Sequence[float] = FIRST_ORDER_SPLITS,
                         labels: Sequence[str] = FIRST_ORDER_LABELS, min_count: int = 2,
-                        value_col: str = "order_amount") -> DataFrame:
+                        value_col: str = "order_amount", ordered: bool = True) -> DataFrame:
     """first_order_bucket, users, reordered (≥ min_count delivered orders),
     did_not_reorder, reorder_rate_pct."""
     per_user = first_event_per_user(orders, value_col)
@@ -37,6 +37,6 @@ def first_event_outcome(orders: DataFrame, splits: Sequence[float] = FIRST_ORDER
         F.count(F.lit(1)).alias("users"),
         F.sum("re").cast("long").alias("reordered"),
         F.sum(F.lit(1) - F.col("re")).cast("long").alias("did_not_reorder"))
-    return agg.select("first_order_bucket", "users", "reordered", "did_not_reorder",
-                      pct(F.col("reordered"), F.col("users"), 2).alias("reorder_rate_pct")
-                      ).orderBy("first_order_bucket")
+    out = agg.select("first_order_bucket", "users", "reordered", "did_not_reorder",
+                     pct(F.col("reordered"), F.col("users"), 2).alias("reorder_rate_pct"))
+    return out.orderBy("first_order_bucket") if ordered else out

@@ -26,22 +26,24 @@ STILL_SIGNIFICANT = "still significant"
 
 # ------------------------------------------------------- contingency ----
 
-def contingency_by_city(orders: DataFrame, user_city: DataFrame) -> DataFrame:
+def contingency_by_city(orders: DataFrame, user_city: DataFrame, ordered: bool = True) -> DataFrame:
     """(label, a=delivered, b=cancelled) per user city."""
     per_user = orders.groupBy("user_id").agg(
         F.count(F.when(F.col("is_delivered"), 1)).alias("d"),
         F.count(F.when(~F.col("is_delivered"), 1)).alias("c"))
     joined = per_user.join(user_city.select("user_id", "city"), "user_id", "inner")
-    return joined.groupBy(F.col("city").alias("label")).agg(
-        F.sum("d").alias("a"), F.sum("c").alias("b")).orderBy("label")
+    out = joined.groupBy(F.col("city").alias("label")).agg(F.sum("d").alias("a"), F.sum("c").alias("b"))
+    return out.orderBy("label") if ordered else out
 
 
-def contingency_by_payment(orders: DataFrame, payments: Sequence[str] | None = None) -> DataFrame:
+def contingency_by_payment(orders: DataFrame, payments: Sequence[str] | None = None,
+                           ordered: bool = True) -> DataFrame:
     """(label, a=delivered, b=cancelled) per payment method."""
     o = orders.where(F.col("payment_method").isin(list(payments))) if payments else orders
-    return o.groupBy(F.col("payment_method").alias("label")).agg(
+    out = o.groupBy(F.col("payment_method").alias("label")).agg(
         F.count(F.when(F.col("is_delivered"), 1)).alias("a"),
-        F.count(F.when(~F.col("is_delivered"), 1)).alias("b")).orderBy("label")
+        F.count(F.when(~F.col("is_delivered"), 1)).alias("b"))
+    return out.orderBy("label") if ordered else out
 
 
 def contingency_from(frame: DataFrame, label: str, a: str, b: str) -> DataFrame:
@@ -65,9 +67,12 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
     NULL. A single group gives chi2 = 0, dof = 0, p = 1.
     """
     key = list(key)
-    totals = tables.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_r"), F.sum("a").alias("_A"), F.sum("b").alias("_B"))
-    cells = tables.join(totals, key, "inner")
+    # Totals as window sums over each test's own rows (a handful per test): the
+    # contingency input is computed once and the per-test aggregate below reuses
+    # the window's partitioning, no self-join.
+    w = Window.partitionBy(*key)
+    cells = tables.select(*key, "a", "b", F.count(F.lit(1)).over(w).alias("_r"),
+                          F.sum("a").over(w).alias("_A"), F.sum("b").over(w).alias("_B"))
     n = F.col("_A") + F.col("_B")
     row = F.col("a") + F.col("b")
     ea = F.try_divide(row * F.col("_A"), n)

@@ -97,13 +97,13 @@ def _q(fn: Callable[[Ctx], DataFrame]) -> Callable[[SparkSession, str], DataFram
 
 
 def _contingency_tables(c: Ctx) -> DataFrame:
-    city = testing.tag(testing.contingency_by_city(c.orders, c.user_city), "city")
-    pay = testing.tag(testing.contingency_by_payment(c.orders), "payment_method")
+    city = testing.tag(testing.contingency_by_city(c.orders, c.user_city, ordered=False), "city")
+    pay = testing.tag(testing.contingency_by_payment(c.orders, ordered=False), "payment_method")
     plat = testing.tag(testing.contingency_from(
-        funnel.conversion_contingency(c.events), "platform", "converted", "not_converted"),
-        "platform")
+        funnel.conversion_contingency(c.events, ordered=False), "platform", "converted",
+        "not_converted"), "platform")
     first = testing.tag(testing.contingency_from(
-        outcome.first_event_outcome(c.orders), "first_order_bucket", "reordered",
+        outcome.first_event_outcome(c.orders, ordered=False), "first_order_bucket", "reordered",
         "did_not_reorder"), "first_order_bucket")
     return city.unionByName(pay).unionByName(plat).unionByName(first)
 
@@ -174,7 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "first_order_bucket", "reordered", "did_not_reorder")),
     "chi_square_tests": _q(_chi_square_tests),
     "chi_square_two_payments": _q(lambda c: testing.chi_square(testing.tag(
-        testing.contingency_by_payment(c.orders, TWO_PAYMENTS), "payment_method"))),
+        testing.contingency_by_payment(c.orders, TWO_PAYMENTS, ordered=False), "payment_method"))),
     "multiple_comparison_verdicts": _q(
         lambda c: testing.multiple_comparison_verdicts(_chi_square_tests(c))),
     "ab_assign": _q(lambda c: funnel.ab_arms(c.events, FROM_STEP, TO_STEP)),
