@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.functions.exprs import hundred, month_key, pct
+from growthlens.functions.joins import has_at_most
 from growthlens.functions.scope import ALL, Scope
 
+# Most restaurants of one city whose ids may be broadcast to filter lines early.
+GROUP_BROADCAST_MAX_ROWS = 1_000_000
+
 def _delivered():
     return F.col("is_delivered")
 
@@ -113,10 +117,20 @@ def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = 3) -> Dat
 
 def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int = 10) -> DataFrame:
     """Top-k restaurants of one city by delivered revenue:
-    name, cuisine, rating, orders (distinct orders), revenue. Ties → lower id."""
+    name, cuisine, rating, orders (distinct orders), revenue. Ties → lower id.
+
+    When the city's restaurant ids are proven few, they are broadcast and
+    filter the lines before any shuffle. Otherwise lines are aggregated per
+    restaurant first (partial aggregation absorbs a hot restaurant) and the
+    city is applied to the per-restaurant rows — a shuffled semi join on
+    restaurant_id followed by an aggregate on the same key would leave a hot
+    restaurant's lines in one task.
+    """
     in_city = restaurants.where(F.col("city") == city)
-    picked = lines.join(in_city.select("restaurant_id"), "restaurant_id", "left_semi")
-    per = picked.groupBy("restaurant_id").agg(
+    ids = in_city.select("restaurant_id")
+    if has_at_most(ids, GROUP_BROADCAST_MAX_ROWS):
+        lines = lines.join(F.broadcast(ids), "restaurant_id", "left_semi")
+    per = lines.groupBy("restaurant_id").agg(
         F.countDistinct("order_id").alias("orders"), F.sum("revenue").alias("revenue_raw"))
     top = (per.join(in_city, "restaurant_id", "inner")
               .orderBy(F.desc("revenue_raw"), F.asc("restaurant_id")).limit(k))

@@ -12,11 +12,12 @@ def entities_without_activity(entities: DataFrame, activity: DataFrame,
                               on: str | Sequence[str]) -> DataFrame:
     """Rows of ``entities`` with no matching row in ``activity`` (NOT EXISTS).
 
-    A left-anti join: the activity side only needs its key column, and each
-    entity is emitted at most once however many activity rows share a key.
+    A left-anti join against the *distinct* activity keys: de-duplication is
+    combined map-side, so a key holding a third of all activity rows reaches
+    the join as one row per map task instead of sitting in one join task.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    return entities.join(activity.select(*keys), keys, "left_anti")
+    return entities.join(activity.select(*keys).distinct(), keys, "left_anti")
 
 
 def dataset_diff(a: DataFrame, b: DataFrame, side_col: str = "side") -> DataFrame:

@@ -177,3 +177,15 @@ def test_top_n_keeps_dense_rank_ties(spark):
     assert share.top_restaurant == "r1" and share.top_share_pct == round(100 * 10 / 26, 2)
     top1 = revenue.top_k_in_group(lines, rest, "C", 1).collect()
     assert [r.name for r in top1] == ["r1"]
+
+
+def test_top_k_in_group_both_paths_agree(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 1, 10.0), (2, 1, 5.0), (2, 2, 30.0), (3, 3, 7.0), (4, 4, 99.0)],
+                                  "order_id long, restaurant_id long, revenue double")
+    rest = spark.createDataFrame([(1, "r1", "C", "x", 1.0), (2, "r2", "C", "x", 2.0),
+                                  (3, "r3", "C", "y", 3.0), (4, "r4", "D", "y", 4.0)],
+                                 "restaurant_id long, name string, city string, cuisine string, rating double")
+    broadcast_path = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2).collect()]
+    monkeypatch.setattr(revenue, "GROUP_BROADCAST_MAX_ROWS", 0)
+    shuffle_path = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2).collect()]
+    assert broadcast_path == shuffle_path == [("r2", "x", 2.0, 1, 30.0), ("r1", "x", 1.0, 2, 15.0)]

@@ -37,6 +37,12 @@ def test_user_aggregate_precedes_customer_join(spark):
     assert any("Aggregate" in o for o in ops[join_at + 1:])  # the per-user aggregate is below the join
 
 
+def test_anti_join_sees_distinct_keys(spark):
+    ops = operator_tree(_q(spark, "users_without_delivered_order"))
+    anti = next(i for i, o in enumerate(ops) if "LeftAnti" in o)
+    assert any("Aggregate" in o for o in ops[anti + 1:])
+
+
 def test_top_n_is_limited_before_the_shuffle(spark):
     ops = operator_tree(_q(spark, "top_n_per_group"))
     limits = [i for i, o in enumerate(ops) if o == "WindowGroupLimit"]
