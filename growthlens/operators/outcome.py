@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.functions.exprs import bucketize, pct
-from growthlens.sources.views import FIRST_ORDER_LABELS, FIRST_ORDER_SPLITS
+from growthlens.fixed_values import FIRST_ORDER_LABELS, FIRST_ORDER_SPLITS, REORDER_MIN_COUNT
 
 
 def first_event_per_user(orders: DataFrame, value_col: str = "order_amount") -> DataFrame:
@@ -26,7 +26,7 @@ def first_event_per_user(orders: DataFrame, value_col: str = "order_amount") ->
 
 
 def first_event_outcome(orders: DataFrame, splits: Sequence[float] = FIRST_ORDER_SPLITS,
-                        labels: Sequence[str] = FIRST_ORDER_LABELS, min_count: int = 2,
+                        labels: Sequence[str] = FIRST_ORDER_LABELS, min_count: int = REORDER_MIN_COUNT,
                         value_col: str = "order_amount", ordered: bool = True) -> DataFrame:
     """first_order_bucket, users, reordered (≥ min_count delivered orders),
     did_not_reorder, reorder_rate_pct."""

@@ -29,9 +29,7 @@ from growthlens.session import ensure_checkpoint_dir
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
-# Segment labels of the Pareto split.
-TOP_SEGMENT = "Top 5% (power users)"
-REST_SEGMENT = "Remaining 95%"
+from growthlens.fixed_values import N_TILES, POWER_USER_LIMIT, REST_SEGMENT, TOP_SEGMENT
 
 
 def distributed_ntile(df: DataFrame, n_tiles: int, order: Sequence[Column],
@@ -79,7 +77,7 @@ def _ventiles(orders: DataFrame, n_tiles: int) -> DataFrame:
     return distributed_ntile(per_user, n_tiles, [F.desc("user_gmv_raw"), F.asc("user_id")])
 
 
-def power_users(orders: DataFrame, n_tiles: int = 20, limit: int = 20) -> DataFrame:
+def power_users(orders: DataFrame, n_tiles: int = N_TILES, limit: int = POWER_USER_LIMIT) -> DataFrame:
     """The first ``limit`` users of the top tile by delivered GMV:
     user_id, orders, user_gmv. Ties on GMV go to the lower user_id."""
     top = _ventiles(orders, n_tiles).where(F.col("tile") == 1)
@@ -87,7 +85,7 @@ def power_users(orders: DataFrame, n_tiles: int = 20, limit: int = 20) -> DataFr
                .select("user_id", "orders", F.round("user_gmv_raw", 2).alias("user_gmv")))
 
 
-def pareto_split(orders: DataFrame, n_tiles: int = 20) -> DataFrame:
+def pareto_split(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
     """Top tile vs the rest: segment, users, segment_gmv, pct_of_total_gmv."""
     seg = F.when(F.col("tile") == 1, F.lit(TOP_SEGMENT)).otherwise(F.lit(REST_SEGMENT))
     agg = (_ventiles(orders, n_tiles).groupBy(seg.alias("segment"))
@@ -98,7 +96,7 @@ def pareto_split(orders: DataFrame, n_tiles: int = 20) -> DataFrame:
                       ).orderBy("segment")
 
 
-def concentration_ratio(orders: DataFrame, n_tiles: int = 20) -> DataFrame:
+def concentration_ratio(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
     """One row: top-tile users, all users, the top tile's GMV share and
     population share (%), and their ratio (how many times its head count)."""
     agg = _ventiles(orders, n_tiles).agg(

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from growthlens.functions.exprs import hundred, month_key, pct
 from growthlens.functions.stats import t_two_sided_p
 
-# Fixed value: average days per month used to express windows in months.
-DAYS_PER_MONTH = 30.44
+from growthlens.fixed_values import DAYS_PER_MONTH, RETENTION_HORIZONS
 
 
 def _signup_month():
@@ -30,7 +29,7 @@ def _retained(h: int):
     return F.array_contains("delivered_months", F.add_months(_signup_month(), h)).cast("int")
 
 
-def cohort_retention(activity: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def cohort_retention(activity: DataFrame, horizons: Sequence[int] = RETENTION_HORIZONS) -> DataFrame:
     """cohort_month, cohort_size, retained_m{h}..., retention_m{h}_pct..."""
     per_user = activity.select(
         month_key("signup_date").alias("cohort_month"),
@@ -46,7 +45,7 @@ def cohort_retention(activity: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -
 
 
 def cohort_retention_observable(activity: DataFrame, orders: DataFrame,
-                                horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
+                                horizons: Sequence[int] = RETENTION_HORIZONS) -> DataFrame:
     """Long form: cohort_month, horizon, retention_pct — NULL where month
     cohort + horizon lies after the last month with any order (not yet
     observable, which is different from zero retention)."""

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from growthlens.fixed_values import TOP_K_IN_CITY, TOP_N_PER_CITY
 from growthlens.functions.exprs import hundred, month_key, pct
 from growthlens.functions.joins import has_at_most
 from growthlens.functions.scope import ALL, Scope
@@ -100,7 +101,7 @@ def restaurant_revenue(lines: DataFrame) -> DataFrame:
     return lines.groupBy("restaurant_id").agg(F.sum("revenue").alias("revenue_raw"))
 
 
-def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = 3) -> DataFrame:
+def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = TOP_N_PER_CITY) -> DataFrame:
     """Top-n restaurants by delivered revenue within each restaurant city
     (DENSE_RANK, so ties keep more than n rows): city, name, revenue, city_rank.
 
@@ -115,7 +116,7 @@ def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = 3) -> Dat
             .orderBy("city", "city_rank", "name"))
 
 
-def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int = 10) -> DataFrame:
+def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int = TOP_K_IN_CITY) -> DataFrame:
     """Top-k restaurants of one city by delivered revenue:
     name, cuisine, rating, orders (distinct orders), revenue. Ties → lower id.
 

@@ -17,11 +17,8 @@ from pyspark.sql import functions as F
 from growthlens.functions.exprs import hundred, pct
 from growthlens.functions.stats import chi2_sf, normal_quantile, normal_two_sided_p
 
-# Verdict wording and the significance level of the test family.
-ALPHA = 0.05
-RAW_SIGNIFICANT = "significant"
-NOT_SIGNIFICANT = "not significant"
-STILL_SIGNIFICANT = "still significant"
+from growthlens.fixed_values import (ALPHA, NOT_SIGNIFICANT, RAW_SIGNIFICANT, SAMPLE_SIZE_LIFTS_PP,
+                                     SAMPLE_SIZE_POWER, STILL_SIGNIFICANT)
 
 
 # ------------------------------------------------------- contingency ----
@@ -143,8 +140,8 @@ def two_proportion_ztest(arms: DataFrame, control: str = "control",
         F.round(normal_two_sided_p(F.col("z")), 10).alias("p_value"))
 
 
-def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = (3.0, 6.0, 10.0),
-                         powers: Sequence[float] = (0.8,), alpha: float = ALPHA,
+def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = SAMPLE_SIZE_LIFTS_PP,
+                         powers: Sequence[float] = (SAMPLE_SIZE_POWER,), alpha: float = ALPHA,
                          by: Sequence[str] = ()) -> DataFrame:
     """Per (lift, power): users per group needed to detect ``lift_pp`` points on
     the observed baseline of ``step_pair_baseline`` (two-sided alpha),

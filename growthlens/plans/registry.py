@@ -145,13 +145,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gmv_mom": _q(lambda c: revenue.gmv_mom(c.orders)),
     "gmv_monthly_filtered": _q(lambda c: revenue.gmv_monthly_filtered(c.orders, c.user_city, SCOPE)),
     "city_leaderboard": _q(lambda c: revenue.city_leaderboard(c.orders, c.user_city, MONTHS_ONLY)),
-    "top_n_per_group": _q(lambda c: revenue.top_n_per_group(c.lines, c.restaurants, 3)),
-    "top_k_in_group": _q(lambda c: revenue.top_k_in_group(c.lines, c.restaurants, DRILL_CITY, 10)),
+    "top_n_per_group": _q(lambda c: revenue.top_n_per_group(c.lines, c.restaurants)),
+    "top_k_in_group": _q(lambda c: revenue.top_k_in_group(c.lines, c.restaurants, DRILL_CITY)),
     "group_share": _q(lambda c: revenue.group_share(c.lines, c.restaurants)),
     # concentration
-    "power_users": _q(lambda c: ranking.power_users(c.orders, 20, 20)),
-    "pareto_split": _q(lambda c: ranking.pareto_split(c.orders, 20)),
-    "concentration_ratio": _q(lambda c: ranking.concentration_ratio(c.orders, 20)),
+    "power_users": _q(lambda c: ranking.power_users(c.orders)),
+    "pareto_split": _q(lambda c: ranking.pareto_split(c.orders)),
+    "concentration_ratio": _q(lambda c: ranking.concentration_ratio(c.orders)),
     # cancellations
     "cancellation_by_city": _q(lambda c: revenue.cancellation_by_city(c.orders, c.user_city)),
     "cancellation_by_payment": _q(lambda c: revenue.cancellation_by_payment(c.orders)),

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from growthlens.sources import views
 from growthlens.sources.tables import Tables
 
-# Fixed value: default row cap of an ad-hoc query.
-ROW_LIMIT = 500
+from growthlens.fixed_values import ROW_LIMIT
 
 
 def canonical_frames(t: Tables) -> dict[str, DataFrame]:

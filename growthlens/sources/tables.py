@@ -8,12 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The table names of the driver fixtures.
-FIXTURE_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels",
-    "conversations",
-)
+from growthlens.fixed_values import FIXTURE_TABLES  # noqa: F401  (re-exported)
 
 # The tables the canonical views are bound to.
 BOUND_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")

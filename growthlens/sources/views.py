@@ -29,16 +29,9 @@ from pyspark.sql import functions as F
 from growthlens.functions.joins import bounded_broadcast
 from growthlens.sources.tables import Tables
 
-# Fixed values of the binding.
-DELIVERED_CODE = "F"
-CANCELLED_CODE = "P"
-DELIVERED = "delivered"
-CANCELLED = "cancelled"
-FUNNEL_STEPS = ("view", "click", "signup", "purchase")
-PLATFORMS = ("iOS", "Android", "Web")
-ENTITY = ("user_id", "day")          # funnel entity: a user-day
-FIRST_ORDER_SPLITS = (125000.0, 250000.0, 375000.0)
-FIRST_ORDER_LABELS = ("1: <125k", "2: 125k-250k", "3: 250k-375k", "4: 375k+")
+from growthlens.fixed_values import (CANCELLED, CANCELLED_CODE, DELIVERED, DELIVERED_CODE,  # noqa: F401
+                                     ENTITY, FIRST_ORDER_LABELS, FIRST_ORDER_SPLITS, FUNNEL_STEPS,
+                                     PLATFORMS)
 
 # nation / region are fixed-size dimensions (25 / 5 rows); the bound is checked.
 _DIM_MAX_ROWS = 10_000
