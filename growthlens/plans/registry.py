@@ -45,7 +45,11 @@ _TABLES: dict[tuple[str, str], Tables] = {}
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
     """One lazy Tables accessor per (session, directory): raw-table plans are
     immutable, so queries share them (and their dimension size checks)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        app = f"session-{id(spark)}"
+    key = (app, sf_dir)
     if key not in _TABLES:
         _TABLES[key] = Tables(spark, sf_dir)
     return _TABLES[key]

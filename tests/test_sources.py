@@ -46,3 +46,11 @@ def test_write_result_round_trip(spark):
     sinks.write_result(df, out, partition_by=["k"])
     back = spark.read.parquet(out)
     assert sorted((r.k, r.v) for r in back.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_cluster_conf_sizes_partitions():
+    from growthlens.session import cluster_conf
+    conf = cluster_conf(100 << 40, 8000)          # 100 TB on 8000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    small = cluster_conf(1 << 30, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
