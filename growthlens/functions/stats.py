@@ -9,12 +9,18 @@ standard library (scipy is not required).
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The UDFs below and their helpers are shipped by value, so Python workers need
+# only the standard library and pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def chi2_sf_scalar(x: float, k: int) -> float:
     """P(X > x) for a chi-square variable with integer k degrees of freedom."""
