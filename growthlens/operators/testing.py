@@ -43,6 +43,28 @@ def contingency_by_payment(orders: DataFrame, payments: Sequence[str] | None = N
     return out.orderBy("label") if ordered else out
 
 
+def order_contingencies(orders: DataFrame, user_city: DataFrame) -> DataFrame:
+    """Both order-side test tables in one pass over orders: (test_id, label, a, b)
+    with test_id 'city' (user city) and 'payment_method', a = delivered,
+    b = cancelled. Orders are pre-aggregated per (user, payment), joined to
+    the user's city once, and aggregated under GROUPING SETS.
+
+    Unlike ``contingency_by_payment``, payment counts here cover only orders
+    whose user has a city (the inner join); on data with referential
+    integrity the two agree."""
+    per = orders.groupBy("user_id", "payment_method").agg(
+        F.count(F.when(F.col("is_delivered"), 1)).alias("d"),
+        F.count(F.when(~F.col("is_delivered"), 1)).alias("c"))
+    joined = per.join(user_city.select("user_id", "city"), "user_id", "inner")
+    agg = joined.groupingSets([["city"], ["payment_method"]], "city", "payment_method").agg(
+        F.sum("d").alias("a"), F.sum("c").alias("b"), F.grouping("city").alias("g"))
+    is_city = F.col("g") == 0
+    return agg.select(
+        F.when(is_city, F.lit("city")).otherwise(F.lit("payment_method")).alias("test_id"),
+        F.when(is_city, F.col("city")).otherwise(F.col("payment_method")).alias("label"),
+        "a", "b")
+
+
 def contingency_from(frame: DataFrame, label: str, a: str, b: str) -> DataFrame:
     return frame.select(F.col(label).alias("label"), F.col(a).cast("long").alias("a"),
                         F.col(b).cast("long").alias("b"))

@@ -101,15 +101,14 @@ def _q(fn: Callable[[Ctx], DataFrame]) -> Callable[[SparkSession, str], DataFram
 
 
 def _contingency_tables(c: Ctx) -> DataFrame:
-    city = testing.tag(testing.contingency_by_city(c.orders, c.user_city, ordered=False), "city")
-    pay = testing.tag(testing.contingency_by_payment(c.orders, ordered=False), "payment_method")
+    orders_side = testing.order_contingencies(c.orders, c.user_city)
     plat = testing.tag(testing.contingency_from(
         funnel.conversion_contingency(c.events, ordered=False), "platform", "converted",
         "not_converted"), "platform")
     first = testing.tag(testing.contingency_from(
         outcome.first_event_outcome(c.orders, ordered=False), "first_order_bucket", "reordered",
         "did_not_reorder"), "first_order_bucket")
-    return city.unionByName(pay).unionByName(plat).unionByName(first)
+    return orders_side.unionByName(plat).unionByName(first)
 
 
 def _sql_playground_example(c: Ctx) -> DataFrame:
