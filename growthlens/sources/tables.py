@@ -15,13 +15,19 @@ BOUND_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem"
 
 
 class Tables:
-    """Lazy accessor ``tables.orders`` → DataFrame over ``{root}/orders.parquet``.
+    """Lazy accessor ``tables.orders`` → DataFrame over ``{root}/orders.parquet``,
+    or over the catalog table ``{database}.orders`` when ``database`` is given
+    (e.g. tables written bucketed by ``sources.layout``; bucketed scans let
+    joins on the bucket key skip the shuffle).
 
     ``root`` may be any Hadoop-compatible URI (local dir, HDFS, S3, ABFS).
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str = "", database: str | None = None):
+        if not root and not database:
+            raise ValueError("need a root directory or a catalog database")
         self.spark = spark
+        self.database = database
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
         self.memo: dict[str, DataFrame] = {}   # derived frames, e.g. checked dimensions
@@ -31,7 +37,8 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            self._cache[name] = (self.spark.table(f"{self.database}.{name}") if self.database
+                                 else self.spark.read.parquet(self.path(name)))
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
