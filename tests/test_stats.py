@@ -112,3 +112,25 @@ def test_chi2_tail_matches_series_definition(k):
     integral = h * (sum(dens(x + i * h) for i in range(1, steps)) + (dens(x) + dens(hi)) / 2)
     assert stats.chi2_sf_scalar(x, k) == pytest.approx(integral, rel=1e-6)
     assert stats.chi2_sf_scalar(0.0, k) == 1.0
+
+
+def test_chi_square_matches_spark_ml_on_row_level_data(spark):
+    """Without Yates (dof > 1) our contingency maths equals Spark ML's
+    ChiSquareTest run on the row-level orders (payment x cancelled)."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+    from pyspark.sql import functions as F
+
+    from growthlens.sources import views
+    from growthlens.sources.tables import Tables
+
+    orders = views.orders(Tables(spark, "/root/testdata/sf0.01"))
+    ours = testing.chi_square(testing.tag(testing.contingency_by_payment(orders, ordered=False),
+                                          "payment_method")).collect()[0]
+    idx = StringIndexer(inputCol="payment_method", outputCol="pm").fit(orders).transform(orders)
+    rows = VectorAssembler(inputCols=["pm"], outputCol="features").transform(
+        idx.withColumn("label", (~F.col("is_delivered")).cast("double")))
+    ml = ChiSquareTest.test(rows, "features", "label").collect()[0]
+    assert ours.dof == ml.degreesOfFreedom[0] == 4
+    assert ours.chi2 == pytest.approx(ml.statistics[0], abs=1e-6)
+    assert ours.p_value == pytest.approx(ml.pValues[0], abs=1e-9)
