@@ -189,3 +189,26 @@ def test_top_k_in_group_both_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(revenue, "GROUP_BROADCAST_MAX_ROWS", 0)
     shuffle_path = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2).collect()]
     assert broadcast_path == shuffle_path == [("r2", "x", 2.0, 1, 30.0), ("r1", "x", 1.0, 2, 15.0)]
+
+
+def test_pct_rounds_half_up_and_is_null_on_zero(spark):
+    from growthlens.functions.exprs import pct
+    r = spark.range(1).select(pct(F.lit(1), F.lit(800), 2).alias("a"),     # 0.125 -> 0.13
+                              pct(F.lit(1), F.lit(0), 2).alias("b"),       # no ANSI error
+                              pct(F.lit(2), F.lit(3), None).alias("c")).collect()[0]
+    assert r.a == 0.13 and r.b is None and abs(r.c - 200 / 3) < 1e-12
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from growthlens.plans.registry import QUERIES
+    from conftest import SF_SMALL
+    names = ("cohort_retention", "exposure_baseline", "gmv_monthly_filtered", "funnel_steps")
+    base = {n: sorted(map(tuple, QUERIES[n](spark, SF_SMALL).collect())) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("Asia/Kolkata", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            for n in names:
+                assert sorted(map(tuple, QUERIES[n](spark, SF_SMALL).collect())) == base[n], (tz, n)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
