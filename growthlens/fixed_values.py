@@ -41,6 +41,13 @@ SAMPLE_SIZE_POWER = 0.8
 # Ad-hoc SQL row cap.
 ROW_LIMIT = 500
 
+# The analytic model's own tables (users, orders, restaurants, app_events):
+# funnel steps in order, and first-delivery-time buckets in minutes.
+MODEL_FUNNEL_STEPS = ("app_open", "search", "restaurant_view", "add_to_cart", "checkout",
+                      "order_placed")
+DELIVERY_TIME_SPLITS = (30.0, 45.0, 60.0)
+DELIVERY_TIME_LABELS = ("1: <30 min", "2: 30-44 min", "3: 45-59 min", "4: 60+ min")
+
 # ---- Part 2: binding of the driver fixtures --------------------------------
 
 FIXTURE_TABLES = (
