@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlens.fixed_values import TOP_K_IN_CITY, TOP_N_PER_CITY
+from growthlens.fixed_values import ENTITY, FUNNEL_STEPS, TOP_K_IN_CITY, TOP_N_PER_CITY
 from growthlens.functions.exprs import hundred, month_key, pct
 from growthlens.functions.joins import has_at_most
 from growthlens.functions.scope import ALL, Scope
@@ -216,8 +216,8 @@ def revenue_at_risk_total(orders: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- KPIs ----
 
 def kpi_overview(orders: DataFrame, user_city: DataFrame, events: DataFrame,
-                 scope: Scope = ALL, first_step: str = "view", last_step: str = "purchase",
-                 entity=("user_id", "day")) -> DataFrame:
+                 scope: Scope = ALL, first_step: str = FUNNEL_STEPS[0],
+                 last_step: str = FUNNEL_STEPS[-1], entity=ENTITY) -> DataFrame:
     """One row of headline tiles under the filter scope, each with its
     unfiltered baseline: gmv, delivered_orders, revenue_at_risk,
     conversion_pct, and shares of the unfiltered values.

@@ -14,11 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlens.functions.exprs import hundred, pct
-from growthlens.functions.stats import chi2_sf, normal_quantile, normal_two_sided_p
-
 from growthlens.fixed_values import (ALPHA, NOT_SIGNIFICANT, RAW_SIGNIFICANT, SAMPLE_SIZE_LIFTS_PP,
                                      SAMPLE_SIZE_POWER, STILL_SIGNIFICANT)
+from growthlens.functions.exprs import hundred
+from growthlens.functions.stats import chi2_sf, normal_quantile, normal_two_sided_p
 
 
 # ------------------------------------------------------- contingency ----
@@ -192,5 +191,6 @@ def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = SAMPLE
         (F.col("available_per_group") >= need).alias("enough"))
 
 
-__all__ = ["contingency_by_city", "contingency_by_payment", "contingency_from", "tag", "chi_square",
-           "multiple_comparison_verdicts", "two_proportion_ztest", "required_sample_size", "pct"]
+__all__ = ["contingency_by_city", "contingency_by_payment", "order_contingencies", "contingency_from",
+           "tag", "chi_square", "multiple_comparison_verdicts", "two_proportion_ztest",
+           "required_sample_size"]

@@ -1,7 +1,6 @@
 """Metamorphic and calibration checks."""
 
 import numpy as np
-import pytest
 
 from growthlens.operators import retention, testing
 from growthlens.sources import views
