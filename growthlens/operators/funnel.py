@@ -72,7 +72,11 @@ def funnel_ends(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     """(by..., opened, ordered, open_to_order_pct): distinct entities with the
     first step and with the last step, each counted on its own."""
     by = list(by)
-    flags = _end_flags(events, steps[0], steps[-1], entity, by)
+    # Without groups only entities with the first or last step matter, so the
+    # two steps can be selected up front (pushed to the scan). With groups every
+    # group seen in the events keeps its row, so all events are read.
+    ev = events if by else events.where(F.col("event_name").isin(steps[0], steps[-1]))
+    flags = _end_flags(ev, steps[0], steps[-1], entity, by)
     agg = flags.groupBy(*by).agg(
         F.coalesce(F.sum("has_first"), F.lit(0)).cast("long").alias("opened"),
         F.coalesce(F.sum("has_last"), F.lit(0)).cast("long").alias("ordered"),
