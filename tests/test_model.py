@@ -64,3 +64,27 @@ def test_restaurant_revenue_and_user_city_cancellations(model):
     canc = {r.city: (r.total_orders, r.cancelled_orders) for r in
             revenue.cancellation_by_city(model.orders, model.user_city).collect()}
     assert canc == {"Pune": (3, 1), "Delhi": (2, 0)}
+
+
+def test_published_funnel_figures(spark):
+    """Users reaching each step as in the write-up (prefix sessions): step
+    conversion, overall conversion and the worst step match it."""
+    depth_counts = [1809, 1739, 1570, 1282, 862, 472]
+    rows, eid = [], 0
+    for uid in range(1, depth_counts[0] + 1):
+        depth = sum(1 for c in depth_counts if uid <= c)
+        for step in MODEL_FUNNEL_STEPS[:depth]:
+            eid += 1
+            rows.append((eid, uid, step, "2024-03-01 10:00:00", "iOS"))
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_name string, "
+                                         "event_time string, platform string")
+    m = ModelViews(None, None, None, events)
+    steps = {r.event_name: r for r in funnel.funnel_steps(m.events, MODEL_FUNNEL_STEPS, m.entity).collect()}
+    assert [steps[s].users for s in MODEL_FUNNEL_STEPS] == depth_counts
+    assert [round(steps[s].step_conv_pct, 1) for s in MODEL_FUNNEL_STEPS[1:]] == [96.1, 90.3, 81.7, 67.2, 54.8]
+    overall = funnel.funnel_overall(m.events, MODEL_FUNNEL_STEPS, m.entity).collect()[0]
+    assert round(overall.open_to_order_pct, 1) == 26.1
+    drops = funnel.funnel_zero_filled(m.events, MODEL_FUNNEL_STEPS, m.entity).collect()
+    assert [r.event_name for r in drops if r.is_biggest_drop] == ["order_placed"]
+    base = funnel.step_pair_baseline(m.events, "checkout", "order_placed", m.entity).collect()[0]
+    assert (base.from_step_users, base.to_step_users, base.baseline_conversion_pct) == (862, 472, 54.76)
