@@ -22,11 +22,6 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def ratio(num, den) -> Column:
-    """num / den as double; NULL when den is 0 or NULL (no ANSI error)."""
-    return F.try_divide(col(num).cast("double"), col(den))
-
-
 def pct(num, den, digits: int | None = 2) -> Column:
     """round(100.0 * num / den, digits); NULL on a zero denominator."""
     value = F.try_divide(hundred() * col(num), col(den))
@@ -96,7 +91,3 @@ def bucketize(value, splits: Sequence[float], labels: Sequence[str]) -> Column:
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     return expr.otherwise(labels[-1]) if expr is not None else F.lit(labels[-1])
 
-
-def flag(cond: Column) -> Column:
-    """Boolean condition as 0/1 int (NULL counts as 0)."""
-    return F.when(cond, 1).otherwise(0)

@@ -139,14 +139,17 @@ def delivered_lines(t: Tables) -> DataFrame:
     return li.join(keys, "order_id", "left_semi")
 
 
+def platform_of(props: str = "props"):
+    """Platform of an event: props.k mod 3 → iOS / Android / Web (NULL without k)."""
+    k = F.get_json_object(props, "$.k").cast("int")
+    return F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]),
+                        (F.pmod(k, F.lit(len(PLATFORMS))) + 1).cast("int"))
+
+
 def app_events(t: Tables) -> DataFrame:
     """All events with funnel columns: event_name, platform, day."""
-    e = t.events
-    k = F.get_json_object("props", "$.k").cast("int")
-    platform = F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]),
-                            (F.pmod(k, F.lit(len(PLATFORMS))) + 1).cast("int"))
-    return e.select(
+    return t.events.select(
         "event_id", "user_id", F.col("event_type").alias("event_name"),
         F.col("ts").alias("event_time"), F.to_date("ts").alias("day"),
-        platform.alias("platform"),
+        platform_of().alias("platform"),
     )

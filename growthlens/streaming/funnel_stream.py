@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from growthlens.functions.exprs import pct
 from growthlens.operators.funnel import step_frame
-from growthlens.sources.views import FUNNEL_STEPS, PLATFORMS
+from growthlens.sources.views import FUNNEL_STEPS, platform_of
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
                  "value double, props string")
@@ -39,11 +39,8 @@ def read_event_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     if base_path:
         reader = reader.option("basePath", base_path)
     raw = reader.parquet(path)
-    k = F.get_json_object("props", "$.k").cast("int")
-    platform = F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]),
-                            (F.pmod(k, F.lit(len(PLATFORMS))) + 1).cast("int"))
     return raw.select("event_id", "user_id", F.col("event_type").alias("event_name"),
-                      F.col("ts").alias("event_time"), platform.alias("platform"))
+                      F.col("ts").alias("event_time"), platform_of().alias("platform"))
 
 
 def daily_step_counts(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
