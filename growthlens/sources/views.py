@@ -140,10 +140,14 @@ def delivered_lines(t: Tables) -> DataFrame:
 
 
 def platform_of(props: str = "props"):
-    """Platform of an event: props.k mod 3 → iOS / Android / Web (NULL without k)."""
-    k = F.get_json_object(props, "$.k").cast("int")
-    return F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]),
-                        (F.pmod(k, F.lit(len(PLATFORMS))) + 1).cast("int"))
+    """Platform of an event: props.k mod 3 → iOS / Android / Web; NULL when k is
+    missing or not an integer. (A CASE chain rather than ``element_at`` on a
+    literal array, which does not return NULL for a NULL index on Spark 4.1.)"""
+    m = F.pmod(F.get_json_object(props, "$.k").try_cast("int"), F.lit(len(PLATFORMS)))
+    expr = None
+    for i, name in enumerate(PLATFORMS):
+        expr = F.when(m == i, name) if expr is None else expr.when(m == i, name)
+    return expr
 
 
 def app_events(t: Tables) -> DataFrame:

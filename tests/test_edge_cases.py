@@ -212,3 +212,11 @@ def test_results_do_not_depend_on_session_time_zone(spark):
                 assert sorted(map(tuple, QUERIES[n](spark, SF_SMALL).collect())) == base[n], (tz, n)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_platform_is_null_without_an_integer_k(spark):
+    from growthlens.sources.views import platform_of
+    df = spark.createDataFrame([(1, '{"k": 4}'), (2, '{"k": "x"}'), (3, '{}'), (4, '{"k": -1}')],
+                               "user_id long, props string")
+    got = {r.user_id: r.platform for r in df.select("user_id", platform_of().alias("platform")).collect()}
+    assert got == {1: "Android", 2: None, 3: None, 4: "Web"}
