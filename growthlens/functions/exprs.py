@@ -18,6 +18,25 @@ def hundred() -> Column:
     return F.lit(100.0)
 
 
+# Money is summed exactly: amounts as cents (DECIMAL), so a total does not
+# depend on the order Spark happens to add rows in (partitioning, retries),
+# and equal totals stay equal for ranking. Results leave as rounded doubles.
+MONEY = "decimal(18,2)"
+
+
+def money(c) -> Column:
+    return col(c).cast(MONEY)
+
+
+def money_sum(c) -> Column:
+    return F.sum(money(c))
+
+
+def money_out(c) -> Column:
+    """A money total as the double of its value rounded (HALF_UP) to cents."""
+    return F.round(col(c), 2).cast("double")
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.fixed_values import N_TILES, POWER_USER_LIMIT, REST_SEGMENT, TOP_SEGMENT
-from growthlens.functions.exprs import hundred, pct
+from growthlens.functions.exprs import hundred, money_out, money_sum, pct
 from growthlens.session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33
@@ -68,7 +68,7 @@ def distributed_ntile(df: DataFrame, n_tiles: int, order: Sequence[Column],
 def user_gmv(orders: DataFrame) -> DataFrame:
     """(user_id, orders, user_gmv_raw) over delivered orders (partial aggregation)."""
     return (orders.where(F.col("is_delivered")).groupBy("user_id")
-            .agg(F.count(F.lit(1)).alias("orders"), F.sum("order_amount").alias("user_gmv_raw")))
+            .agg(F.count(F.lit(1)).alias("orders"), money_sum("order_amount").alias("user_gmv_raw")))
 
 
 def _ventiles(orders: DataFrame, n_tiles: int) -> DataFrame:
@@ -81,7 +81,7 @@ def power_users(orders: DataFrame, n_tiles: int = N_TILES, limit: int = POWER_US
     user_id, orders, user_gmv. Ties on GMV go to the lower user_id."""
     top = _ventiles(orders, n_tiles).where(F.col("tile") == 1)
     return (top.orderBy(F.desc("user_gmv_raw"), F.asc("user_id")).limit(limit)
-               .select("user_id", "orders", F.round("user_gmv_raw", 2).alias("user_gmv")))
+               .select("user_id", "orders", money_out("user_gmv_raw").alias("user_gmv")))
 
 
 def pareto_split(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
@@ -90,7 +90,7 @@ def pareto_split(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
     agg = (_ventiles(orders, n_tiles).groupBy(seg.alias("segment"))
            .agg(F.count(F.lit(1)).alias("users"), F.sum("user_gmv_raw").alias("gmv_raw")))
     total = F.sum("gmv_raw").over(Window.partitionBy())  # two rows
-    return agg.select("segment", "users", F.round("gmv_raw", 2).alias("segment_gmv"),
+    return agg.select("segment", "users", money_out("gmv_raw").alias("segment_gmv"),
                       F.round(hundred() * F.col("gmv_raw") / total, 2).alias("pct_of_total_gmv")
                       ).orderBy("segment")
 
@@ -103,7 +103,7 @@ def concentration_ratio(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
         F.count(F.lit(1)).alias("total_users"),
         F.sum(F.when(F.col("tile") == 1, F.col("user_gmv_raw"))).alias("top_gmv"),
         F.sum("user_gmv_raw").alias("total_gmv"))
-    gmv_share = F.try_divide(F.col("top_gmv"), F.col("total_gmv"))
+    gmv_share = F.try_divide(F.col("top_gmv").cast("double"), F.col("total_gmv"))
     pop_share = F.try_divide(F.col("top_users").cast("double"), F.col("total_users"))
     return agg.select(
         "top_users", "total_users",

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.fixed_values import ENTITY, FUNNEL_STEPS, TOP_K_IN_CITY, TOP_N_PER_CITY
-from growthlens.functions.exprs import hundred, month_key, pct
+from growthlens.functions.exprs import MONEY, hundred, money, money_out, money_sum, month_key, pct
 from growthlens.functions.joins import has_at_most
 from growthlens.functions.scope import ALL, Scope
 
@@ -32,7 +32,7 @@ def _cancelled():
 
 
 def _amount_if(cond):
-    return F.sum(F.when(cond, F.col("order_amount")).otherwise(F.lit(0.0)))
+    return F.sum(F.when(cond, money("order_amount")).otherwise(F.lit(0).cast(MONEY)))
 
 
 def _count_if(cond):
@@ -52,12 +52,12 @@ def gmv_mom(orders: DataFrame) -> DataFrame:
     """
     monthly = (orders.where(_delivered())
                .groupBy(F.trunc("order_date", "month").alias("month"))
-               .agg(F.sum("order_amount").alias("gmv_raw")))
+               .agg(money_sum("order_amount").alias("gmv_raw")))
     prev = F.lag("gmv_raw").over(Window.orderBy("month"))
     return monthly.select(
         month_key("month").alias("ym"),
-        F.round("gmv_raw", 2).alias("gmv"),
-        F.round(prev, 2).alias("prev_gmv"),
+        money_out("gmv_raw").alias("gmv"),
+        money_out(prev).alias("prev_gmv"),
         F.round(F.try_divide(hundred() * (F.col("gmv_raw") - prev), prev), 2).alias("mom_growth_pct"),
     ).orderBy("ym")
 
@@ -66,31 +66,31 @@ def gmv_monthly_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope =
     """(ym, gmv) of delivered orders inside the filter scope."""
     per_user_month = (scope.orders(orders).where(_delivered())
                       .groupBy("user_id", F.trunc("order_date", "month").alias("month"))
-                      .agg(F.sum("order_amount").alias("gmv_raw")))
+                      .agg(money_sum("order_amount").alias("gmv_raw")))
     joined = _with_city(per_user_month, user_city, scope)
     return (joined.groupBy("month").agg(F.sum("gmv_raw").alias("gmv_raw"))
-            .select(month_key("month").alias("ym"), F.round("gmv_raw", 2).alias("gmv"))
+            .select(month_key("month").alias("ym"), money_out("gmv_raw").alias("gmv"))
             .orderBy("ym"))
 
 
 def city_leaderboard(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
     """(city, orders, revenue): delivered orders and GMV per user city."""
     per_user = (scope.orders(orders).where(_delivered()).groupBy("user_id")
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("order_amount").alias("gmv_raw")))
+                .agg(F.count(F.lit(1)).alias("n"), money_sum("order_amount").alias("gmv_raw")))
     joined = _with_city(per_user, user_city, scope)
     return (joined.groupBy("city")
-            .agg(F.sum("n").alias("orders"), F.round(F.sum("gmv_raw"), 2).alias("revenue"))
+            .agg(F.sum("n").alias("orders"), money_out(F.sum("gmv_raw")).alias("revenue"))
             .orderBy(F.desc("revenue"), "city"))
 
 
 def avg_order_value_by_city(orders: DataFrame, user_city: DataFrame) -> DataFrame:
     """(city, orders, avg_order_value) over delivered orders."""
     per_user = (orders.where(_delivered()).groupBy("user_id")
-                .agg(F.count(F.lit(1)).alias("n"), F.sum("order_amount").alias("amount")))
+                .agg(F.count(F.lit(1)).alias("n"), money_sum("order_amount").alias("amount")))
     joined = _with_city(per_user, user_city)
     agg = joined.groupBy("city").agg(F.sum("n").alias("orders"), F.sum("amount").alias("amount"))
     return agg.select("city", "orders",
-                      F.round(F.try_divide(F.col("amount"), F.col("orders")), 2)
+                      F.round(F.try_divide(F.col("amount").cast("double"), F.col("orders")), 2)
                       .alias("avg_order_value")).orderBy(F.desc("avg_order_value"), "city")
 
 
@@ -112,7 +112,7 @@ def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = TOP_N_PER
                                          "restaurant_id", "inner")
     w = Window.partitionBy("city").orderBy(F.desc("revenue_raw"))
     ranked = rev.withColumn("city_rank", F.dense_rank().over(w)).where(F.col("city_rank") <= n)
-    return (ranked.select("city", "name", F.round("revenue_raw", 2).alias("revenue"), "city_rank")
+    return (ranked.select("city", "name", money_out("revenue_raw").alias("revenue"), "city_rank")
             .orderBy("city", "city_rank", "name"))
 
 
@@ -136,7 +136,7 @@ def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int =
     top = (per.join(in_city, "restaurant_id", "inner")
               .orderBy(F.desc("revenue_raw"), F.asc("restaurant_id")).limit(k))
     return top.select("name", "cuisine", "rating", "orders",
-                      F.round("revenue_raw", 2).alias("revenue"))
+                      money_out("revenue_raw").alias("revenue"))
 
 
 def group_share(lines: DataFrame, restaurants: DataFrame) -> DataFrame:
@@ -154,8 +154,8 @@ def group_share(lines: DataFrame, restaurants: DataFrame) -> DataFrame:
     return agg.select(
         "city",
         F.col("top.name").alias("top_restaurant"),
-        F.round("top.revenue_raw", 2).alias("top_revenue"),
-        F.round("city_raw", 2).alias("city_revenue"),
+        money_out("top.revenue_raw").alias("top_revenue"),
+        money_out("city_raw").alias("city_revenue"),
         pct(F.col("top.revenue_raw"), F.col("city_raw"), 2).alias("top_share_pct"),
     ).orderBy("city")
 
@@ -172,7 +172,7 @@ def cancellation_by_city(orders: DataFrame, user_city: DataFrame) -> DataFrame:
         F.sum("risk").alias("risk"))
     return agg.select("city", "total_orders", "cancelled_orders",
                       pct(F.col("cancelled_orders"), F.col("total_orders"), 2).alias("cancel_rate_pct"),
-                      F.round("risk", 2).alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
+                      money_out("risk").alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
 
 
 def cancellation_by_payment(orders: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def cancellation_by_payment(orders: DataFrame) -> DataFrame:
         _amount_if(_cancelled()).alias("risk"))
     return agg.select("payment_method", "total_orders", "cancelled_orders",
                       pct(F.col("cancelled_orders"), F.col("total_orders"), 2).alias("cancel_rate_pct"),
-                      F.round("risk", 2).alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
+                      money_out("risk").alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
 
 
 def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
@@ -200,7 +200,7 @@ def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope
         F.when(F.col("g_city") == 0, F.lit("city")).otherwise(F.lit("payment_method")).alias("dimension"),
         F.when(F.col("g_city") == 0, F.col("city")).otherwise(F.col("payment_method")).alias("value"),
         "delivered", "cancelled",
-        F.round("risk", 2).alias("revenue_at_risk"),
+        money_out("risk").alias("revenue_at_risk"),
         pct(F.col("cancelled"), F.col("delivered") + F.col("cancelled"), 2).alias("cancel_rate_pct"),
     ).orderBy("dimension", F.desc("cancel_rate_pct"), "value")
 
@@ -208,8 +208,8 @@ def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope
 def revenue_at_risk_total(orders: DataFrame) -> DataFrame:
     """One row: revenue_at_risk, delivered_gmv, risk_to_gmv_pct."""
     agg = orders.agg(_amount_if(_cancelled()).alias("risk"), _amount_if(_delivered()).alias("gmv"))
-    return agg.select(F.round("risk", 2).alias("revenue_at_risk"),
-                      F.round("gmv", 2).alias("delivered_gmv"),
+    return agg.select(money_out("risk").alias("revenue_at_risk"),
+                      money_out("gmv").alias("delivered_gmv"),
                       pct(F.col("risk"), F.col("gmv"), 2).alias("risk_to_gmv_pct"))
 
 
@@ -246,12 +246,12 @@ def kpi_overview(orders: DataFrame, user_city: DataFrame, events: DataFrame,
         return F.sum(F.when(city_ok, F.col(c)))
 
     totals = joined.agg(
-        F.round(cond_sum("gmv_in"), 2).alias("gmv"),
+        money_out(cond_sum("gmv_in")).alias("gmv"),
         cond_sum("orders_in").alias("orders"),
-        F.round(cond_sum("risk_in"), 2).alias("risk"),
-        F.round(F.sum("gmv_all"), 2).alias("full_gmv"),
+        money_out(cond_sum("risk_in")).alias("risk"),
+        money_out(F.sum("gmv_all")).alias("full_gmv"),
         F.sum("orders_all").alias("full_orders"),
-        F.round(F.sum("risk_all"), 2).alias("full_risk"),
+        money_out(F.sum("risk_all")).alias("full_risk"),
     )
 
     ev = events.where(F.col("event_name").isin(first_step, last_step))

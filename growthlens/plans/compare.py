@@ -61,5 +61,13 @@ def compare(name: str, df: DataFrame, con, sql: str) -> Outcome:
 
 
 def duckdb_views(con, sf_dir: str, tables) -> None:
+    """One DuckDB view per table; a table may be one parquet file or a
+    directory of parts (as Spark writes it). Missing tables are skipped."""
+    import os
     for t in tables:
-        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        path = f"{sf_dir}/{t}.parquet"
+        if os.path.isdir(path):
+            path = f"{path}/*.parquet"
+        elif not os.path.exists(path):
+            continue
+        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{path}')")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from growthlens.fixed_values import (DELIVERED, DELIVERY_TIME_LABELS,  # noqa: F401
                                      DELIVERY_TIME_SPLITS, MODEL_FUNNEL_STEPS)
+from growthlens.functions.exprs import money
 from growthlens.sources.views import activity_from_orders
 
 
@@ -77,7 +78,7 @@ class ModelViews:
     def lines(self) -> DataFrame:
         """(order_id, restaurant_id, revenue): one row per delivered order."""
         return (self.orders.where(F.col("is_delivered"))
-                .select("order_id", "restaurant_id", F.col("order_amount").alias("revenue")))
+                .select("order_id", "restaurant_id", money("order_amount").alias("revenue")))
 
     @property
     def events(self) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.functions.exprs import money
 from growthlens.functions.joins import bounded_broadcast
 from growthlens.sources.tables import Tables
 
@@ -134,7 +135,8 @@ def delivered_lines(t: Tables) -> DataFrame:
     """
     li = t.lineitem.select(
         F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("restaurant_id"),
-        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("revenue"))
+        (money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
+        .alias("revenue"))
     keys = delivered_orders(t).select("order_id")
     return li.join(keys, "order_id", "left_semi")
 
