@@ -2,9 +2,9 @@
 delivered order predict a repeat order?
 
 One hash aggregate per user replaces the ROW_NUMBER window, the second scan
-and the join: ``min_by(attr, (order_date, order_id))`` picks the first order's
-attribute (ties on date broken by order id) and ``count`` the delivered
-orders, both combined map-side.
+and the join: ``min_by(attr, key(order_date, order_id))`` picks the first
+order's attribute (ties on date broken by order id) and ``count`` the
+delivered orders, both combined map-side.
 """
 
 from __future__ import annotations
@@ -18,10 +18,22 @@ from growthlens.functions.exprs import bucketize, pct
 from growthlens.fixed_values import FIRST_ORDER_LABELS, FIRST_ORDER_SPLITS, REORDER_MIN_COUNT
 
 
+def order_key(date_col: str = "order_date", id_col: str = "order_id"):
+    """(date, id) as one exact, order-preserving DECIMAL(38,0):
+    days since 1970 * 10^20 + (id + 2^63). Any date and any 64-bit id map
+    monotonically, and a decimal ordering key keeps ``min_by`` in hash
+    aggregation (a struct key would force a sort-based aggregate)."""
+    date = F.col(date_col) if isinstance(date_col, str) else date_col
+    days = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("decimal(10,0)")
+    shifted = F.col(id_col).cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")
+    return (days * F.lit(str(10 ** 20)).cast("decimal(21,0)") + shifted).cast("decimal(38,0)")
+
+
 def first_event_per_user(orders: DataFrame, value_col: str = "order_amount") -> DataFrame:
-    """(user_id, first_value, n_delivered) over delivered orders."""
+    """(user_id, first_value, n_delivered) over delivered orders; the first
+    order is the earliest date, ties broken by the lower order id."""
     return (orders.where(F.col("is_delivered")).groupBy("user_id").agg(
-        F.min_by(F.col(value_col), F.struct("order_date", "order_id")).alias("first_value"),
+        F.min_by(F.col(value_col), order_key()).alias("first_value"),
         F.count(F.lit(1)).alias("n_delivered")))
 
 

@@ -220,3 +220,12 @@ def test_platform_is_null_without_an_integer_k(spark):
                                "user_id long, props string")
     got = {r.user_id: r.platform for r in df.select("user_id", platform_of().alias("platform")).collect()}
     assert got == {1: "Android", 2: None, 3: None, 4: "Web"}
+
+
+def test_order_key_preserves_date_then_id_order(spark):
+    from growthlens.operators.outcome import order_key
+    rows = [("1969-12-31", 5), ("1970-01-01", -9223372036854775808), ("1970-01-01", -1),
+            ("1970-01-01", 0), ("1970-01-01", 9223372036854775807), ("2024-02-29", 1), ("9999-12-31", 0)]
+    df = spark.createDataFrame([(d, i, n) for n, (d, i) in enumerate(rows)], "d string, i long, n int")
+    got = [r.n for r in df.select("n", order_key(F.to_date("d"), "i").alias("k")).orderBy("k").collect()]
+    assert got == list(range(len(rows)))
