@@ -124,7 +124,7 @@ def funnel_zero_filled(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     ).orderBy("step")
 
 
-def step_pair_baseline(events: DataFrame, from_step: str = "signup", to_step: str = "purchase",
+def step_pair_baseline(events: DataFrame, from_step: str = FUNNEL_STEPS[-2], to_step: str = FUNNEL_STEPS[-1],
                        entity: Sequence[str] = ENTITY, by: Sequence[str] = ()) -> DataFrame:
     """Distinct entities at two chosen steps and their ratio in % (one row,
     or one row per group of ``by``)."""
@@ -157,7 +157,7 @@ def conversion_contingency(events: DataFrame, steps: Sequence[str] = FUNNEL_STEP
     return out.orderBy(*by) if ordered and by else out
 
 
-def ab_arms(events: DataFrame, from_step: str = "signup", to_step: str = "purchase",
+def ab_arms(events: DataFrame, from_step: str = FUNNEL_STEPS[-2], to_step: str = FUNNEL_STEPS[-1],
             entity: Sequence[str] = ENTITY) -> DataFrame:
     """Deterministic 50/50 split of the entities that reached ``from_step``
     (md5 of the entity key, first 32 bits, mod 2), with the observed
