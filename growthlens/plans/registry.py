@@ -181,6 +181,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chi_square_tests": _q(_chi_square_tests),
     "chi_square_two_payments": _q(lambda c: testing.chi_square(testing.tag(
         testing.contingency_by_payment(c.orders, TWO_PAYMENTS, ordered=False), "payment_method"))),
+    "chi_square_cancellation_filtered": _q(lambda c: testing.chi_square(
+        revenue.cancellation_filtered(c.orders, c.user_city, SCOPE).select(
+            F.col("dimension").alias("test_id"), F.col("value").alias("label"),
+            F.col("delivered").alias("a"), F.col("cancelled").alias("b")))),
     "multiple_comparison_verdicts": _q(
         lambda c: testing.multiple_comparison_verdicts(_chi_square_tests(c))),
     "ab_assign": _q(lambda c: funnel.ab_arms(c.events, FROM_STEP, TO_STEP)),
