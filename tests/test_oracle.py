@@ -36,3 +36,18 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[:2] == ["cohort_month", "cohort_size"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_output_columns_are_plain_names(spark, name):
+    import re
+    cols = entry.queries()[name](spark, SF_SMALL).columns
+    assert len(cols) == len(set(cols))
+    assert all(re.fullmatch(r"[a-z_][a-z0-9_]*", c) for c in cols), cols
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_query_reads_the_fixture_tables(spark, name):
+    from growthlens.plans.inspect import plan_text
+    text = plan_text(entry.queries()[name](spark, SF_SMALL))
+    assert "Scan parquet" in text or "ExistingRDD" in text   # checkpointed derivations
