@@ -110,8 +110,9 @@ def user_activity(t: Tables) -> DataFrame:
 
 
 def users(t: Tables) -> DataFrame:
-    """(user_id, name, city, signup_date) — users with a cohort."""
-    act = user_activity(t).select("user_id", "signup_date")
+    """(user_id, name, city, signup_date) — users with a cohort. The join with
+    ``user_city`` already keeps known customers only, so customer is read once."""
+    act = activity_from_orders(orders(t)).select("user_id", "signup_date")
     return user_city(t).join(act, "user_id", "inner")
 
 
