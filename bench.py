@@ -2,7 +2,7 @@
 and print ONE JSON line with per-query wall seconds.
 
 Each query is fully executed with the `noop` sink (every row produced, nothing
-collected to the driver), $BENCH_REPEAT times (default 3); ``queries`` holds
+collected to the driver), $BENCH_REPEAT times (default 5); ``queries`` holds
 the median run, ``cold`` the first run (plan + JIT warm-up included), and
 ``value`` the sum of the medians. One untimed warm-up query absorbs JVM start-up.
 """
@@ -29,7 +29,7 @@ def main() -> None:
                           app_name="growthlens-bench")
     names = only or list(QUERIES)
     QUERIES["gmv_mom"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "5")))
     times: dict[str, float] = {}
     cold: dict[str, float] = {}
     for name in names:
