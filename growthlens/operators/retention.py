@@ -91,7 +91,7 @@ def exposure_baseline(activity: DataFrame, orders: DataFrame) -> DataFrame:
     random in its observable window. Excess is computed from unrounded values.
     """
     pu = exposure_per_user(activity, orders)
-    p_hit = F.lit(1.0) - F.pow(F.lit(1.0) - F.col("m1_days") / F.col("window_days"),
+    p_hit = F.lit(1.0) - F.pow(F.lit(1.0) - F.try_divide(F.col("m1_days"), F.col("window_days")),
                                F.col("n_delivered"))
     agg = pu.groupBy("cohort_month").agg(
         F.count(F.lit(1)).alias("cohort_size"),

@@ -88,3 +88,19 @@ def test_published_funnel_figures(spark):
     assert [r.event_name for r in drops if r.is_biggest_drop] == ["order_placed"]
     base = funnel.step_pair_baseline(m.events, "checkout", "order_placed", m.entity).collect()[0]
     assert (base.from_step_users, base.to_step_users, base.baseline_conversion_pct) == (862, 472, 54.76)
+
+
+def test_signup_after_data_end_does_not_fail(spark):
+    users = spark.createDataFrame([(1, "a", "Pune", "2024-01-05", "iOS"), (2, "b", "Pune", "2024-03-10", "Web"),
+                                   (3, "c", "Pune", "2024-03-11", "Web")],
+                                  "user_id long, name string, city string, signup_date string, "
+                                  "signup_platform string")
+    orders = spark.createDataFrame([(1, 1, 10, "2024-03-10", "delivered", 300.0, 25, "UPI")],
+                                   "order_id long, user_id long, restaurant_id long, order_date string, "
+                                   "order_status string, order_amount double, delivery_time_min int, "
+                                   "payment_method string")
+    m = ModelViews(users, orders)
+    got = {r.cohort_month: r for r in retention.exposure_baseline(m.activity, m.orders).collect()}
+    # user 3 signed up a day after the data end (window 0 days): no error, no hit
+    assert got["2024-03"].cohort_size == 2
+    assert got["2024-03"].expected_if_no_retention_pct == 0.0
