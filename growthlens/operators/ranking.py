@@ -91,7 +91,8 @@ def pareto_split(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("users"), F.sum("user_gmv_raw").alias("gmv_raw")))
     total = F.sum("gmv_raw").over(Window.partitionBy())  # two rows
     return agg.select("segment", "users", money_out("gmv_raw").alias("segment_gmv"),
-                      F.round(hundred() * F.col("gmv_raw") / total, 2).alias("pct_of_total_gmv")
+                      F.round(F.try_divide(hundred() * F.col("gmv_raw"), total), 2)
+                      .alias("pct_of_total_gmv")
                       ).orderBy("segment")
 
 

@@ -148,9 +148,9 @@ def two_proportion_ztest(arms: DataFrame, control: str = "control",
         F.max(F.when(F.col("arm") == treatment, F.col("converted"))).alias("converted_treatment"))
     n1, x1 = F.col("n_control"), F.col("converted_control")
     n2, x2 = F.col("n_treatment"), F.col("converted_treatment")
-    p1, p2 = x1 / n1, x2 / n2
-    pool = (x1 + x2) / (n1 + n2)
-    se = F.sqrt(pool * (F.lit(1.0) - pool) * (F.lit(1.0) / n1 + F.lit(1.0) / n2))
+    p1, p2 = F.try_divide(x1, n1), F.try_divide(x2, n2)   # an empty arm gives NULL, not an error
+    pool = F.try_divide(x1 + x2, n1 + n2)
+    se = F.sqrt(pool * (F.lit(1.0) - pool) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
     z = F.try_divide(p1 - p2, se)
     with_z = row.select("n_control", "converted_control", "n_treatment", "converted_treatment",
                         (hundred() * p1).alias("rc"), (hundred() * p2).alias("rt"), z.alias("z"))
@@ -175,7 +175,7 @@ def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = SAMPLE
     by = list(by)
     rows = baseline.select(
         *by,
-        (F.col("to_step_users") / F.col("from_step_users")).alias("p1"),
+        F.try_divide(F.col("to_step_users"), F.col("from_step_users")).alias("p1"),
         F.floor(F.col("from_step_users") / 2).cast("long").alias("available_per_group"),
         F.explode(grid).alias("g"))
     p1 = F.col("p1")

@@ -134,3 +134,9 @@ def test_chi_square_matches_spark_ml_on_row_level_data(spark):
     assert ours.dof == ml.degreesOfFreedom[0] == 4
     assert ours.chi2 == pytest.approx(ml.statistics[0], abs=1e-6)
     assert ours.p_value == pytest.approx(ml.pValues[0], abs=1e-9)
+
+
+def test_ztest_with_an_empty_arm_is_null_not_an_error(spark):
+    arms = spark.createDataFrame([("control", 10, 3)], "arm string, users long, converted long")
+    r = testing.two_proportion_ztest(arms).collect()[0]
+    assert r.z_stat is None and r.n_treatment is None
