@@ -26,13 +26,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthlens.functions.exprs import money
-from growthlens.functions.joins import bounded_broadcast
-from growthlens.sources.tables import Tables
-
 from growthlens.fixed_values import (CANCELLED, CANCELLED_CODE, DELIVERED, DELIVERED_CODE,  # noqa: F401
                                      ENTITY, FIRST_ORDER_LABELS, FIRST_ORDER_SPLITS, FUNNEL_STEPS,
                                      PLATFORMS)
+from growthlens.functions.exprs import money
+from growthlens.functions.joins import bounded_broadcast
+from growthlens.sources.tables import Tables
 
 # nation / region are fixed-size dimensions (25 / 5 rows); the bound is checked.
 _DIM_MAX_ROWS = 10_000
@@ -77,8 +76,9 @@ def user_city(t: Tables) -> DataFrame:
     """(user_id, name, city) for every customer; nation is a broadcast lookup."""
     c = t.customer.select(
         F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), "c_nationkey")
-    n = nations(t)
-    return c.join(n, c.c_nationkey == n.n_nationkey, "inner").select("user_id", "name", "city")
+    # Name-based conditions: the memoized nation frame may appear more than once in a plan.
+    return (c.join(nations(t), F.col("c_nationkey") == F.col("n_nationkey"), "inner")
+             .select("user_id", "name", "city"))
 
 
 def activity_from_orders(orders_df: DataFrame) -> DataFrame:
@@ -120,10 +120,9 @@ def restaurants(t: Tables) -> DataFrame:
     s = t.supplier.select(
         F.col("s_suppkey").alias("restaurant_id"), F.col("s_name").alias("name"),
         "s_nationkey", F.col("s_acctbal").alias("rating"))
-    n = nations(t)
     r = _dimension(t, "region", lambda: t.region.select(
         "r_regionkey", F.col("r_name").alias("cuisine")))
-    return (s.join(n, s.s_nationkey == n.n_nationkey, "inner")
+    return (s.join(nations(t), F.col("s_nationkey") == F.col("n_nationkey"), "inner")
              .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
              .select("restaurant_id", "name", "city", "cuisine", "rating"))
 
