@@ -1,25 +1,18 @@
 """Distribution tails for the statistical tests.
 
-The test statistics themselves are Column arithmetic over counts that Spark
-has already aggregated; only the final tail probability of each (a handful of
-rows) goes through these Arrow-batched pandas UDFs, written with the Python
-standard library (scipy is not required).
+The test statistics are Column arithmetic over counts Spark has already
+aggregated, and the tail probabilities are Column expressions too (finite
+series as ``aggregate`` over ``sequence``), so no Python runs on executors.
+The plain-Python versions below are the reference the tests check against;
+``normal_quantile`` turns parameters (alpha, power) into literals on the driver.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# The UDFs below and their helpers are shipped by value, so Python workers need
-# only the standard library and pandas, not this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def chi2_sf_scalar(x: float, k: int) -> float:
@@ -81,19 +74,70 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([None if (pd.isna(a) or pd.isna(b)) else chi2_sf_scalar(float(a), int(b))
-                      for a, b in zip(x, k)], dtype="float64")
+# ---- JVM-side tails: finite series as Spark higher-order functions ---------
+#
+# The same distributions as Column expressions (``aggregate`` over
+# ``sequence``), so the statistics stay inside whole-stage Spark SQL with no
+# Python worker. Terms are built by recurrence from a small start, so no
+# intermediate overflows.
+
+_ERF_TERMS = 200        # converges for y^2 <= 40
+_ERFC_ZERO_AT = 40.0    # erfc(sqrt(40)) < 1e-18
+
+
+def _series(last, first_term, ratio):
+    """sum_{n=0}^{last} t_n with t_0 = first_term, t_n = t_{n-1} * ratio(n)
+    (``last`` may be a Column; an empty range sums to first_term's n=0 only
+    when last >= 0, and to 0 when last < 0)."""
+    idx = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda n: n >= 1)
+    init = F.struct(first_term.alias("t"), first_term.alias("s"))
+    acc = F.aggregate(idx, init, lambda a, n: F.struct(
+        (a["t"] * ratio(n)).alias("t"), (a["s"] + a["t"] * ratio(n)).alias("s")))
+    return F.when(last >= 0, acc["s"]).otherwise(F.lit(0.0))
+
 
+def erfc_col(y):
+    """erfc(y) for y >= 0: 1 - (2/sqrt(pi)) e^{-y^2} sum_n y^{2n+1} 2^n / (2n+1)!!."""
+    y = y.cast("double")
+    y2 = y * y
+    s = _series(F.lit(_ERF_TERMS), y, lambda n: F.lit(2.0) * y2 / (F.lit(2) * n + 1))
+    erf = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-y2) * s
+    return (F.when(y.isNull(), F.lit(None).cast("double")).when(y <= 0, F.lit(1.0))
+             .when(y2 > _ERFC_ZERO_AT, F.lit(0.0)).otherwise(F.lit(1.0) - erf))
 
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided_p(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else normal_two_sided_scalar(float(v)) for v in z],
-                     dtype="float64")
 
+def chi2_sf_col(x, k):
+    """P(X > x), X ~ chi-square with integer k >= 1 degrees of freedom."""
+    x, k = x.cast("double"), k.cast("int")
+    h = x / 2.0
+    # even k: e^{-h} sum_{i<k/2} h^i / i!   (Poisson terms, no overflow)
+    even = _series(F.floor(k / 2).cast("int") - 1, F.exp(-h), lambda i: h / i)
+    # odd k: erfc(sqrt h) + e^{-h} sum_{i=1}^{(k-1)/2} h^{i-1/2} / Gamma(i+1/2)
+    first = F.exp(-h) * F.sqrt(h) / F.lit(math.gamma(1.5))
+    odd_tail = _series(F.floor((k - 1) / 2).cast("int") - 1, first, lambda i: h / (i + F.lit(0.5)))
+    odd = erfc_col(F.sqrt(h)) + odd_tail
+    value = F.when(k % 2 == 0, even).otherwise(odd)
+    return (F.when(x.isNull() | k.isNull() | (k < 1), F.lit(None).cast("double"))
+             .when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), value)))
+
+
+def normal_two_sided_col(z):
+    return erfc_col(F.abs(z.cast("double")) / F.lit(math.sqrt(2.0)))
 
-@F.pandas_udf(T.DoubleType())
-def t_two_sided_p(t: pd.Series, nu: pd.Series) -> pd.Series:
-    return pd.Series([None if (pd.isna(a) or pd.isna(b)) else t_two_sided_scalar(float(a), int(b))
-                      for a, b in zip(t, nu)], dtype="float64")
+
+def t_two_sided_col(t, nu):
+    """Two-sided p of Student's t with integer nu (Abramowitz & Stegun 26.7.3-4)."""
+    t, nu = t.cast("double"), nu.cast("int")
+    theta = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
+    c, s = F.cos(theta), F.sin(theta)
+    c2 = c * c
+    # odd nu: A = (2/pi)(theta + sin * sum_{j=0}^{(nu-3)/2} c^{2j+1} prod_{i<=j} 2i/(2i+1))
+    odd_sum = _series(F.floor((nu - 3) / 2).cast("int"), c,
+                      lambda j: c2 * (F.lit(2) * j) / (F.lit(2) * j + 1))
+    odd = F.lit(2.0 / math.pi) * (theta + s * odd_sum)
+    # even nu: A = sin * sum_{j=0}^{(nu-2)/2} c^{2j} prod_{i<=j} (2i-1)/(2i)
+    even = s * _series(F.floor((nu - 2) / 2).cast("int"), F.lit(1.0),
+                       lambda j: c2 * (F.lit(2) * j - 1) / (F.lit(2) * j))
+    a = F.when(nu % 2 == 1, odd).otherwise(even)
+    return (F.when(t.isNull() | nu.isNull() | (nu < 1), F.lit(None).cast("double"))
+             .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - a)))

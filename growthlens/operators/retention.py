@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from growthlens.fixed_values import DAYS_PER_MONTH, RETENTION_HORIZONS
 from growthlens.functions.exprs import hundred, month_key, pct
-from growthlens.functions.stats import t_two_sided_p
+from growthlens.functions.stats import t_two_sided_col
 
 
 def _signup_month():
@@ -131,9 +131,10 @@ def exposure_correlation(baseline: DataFrame, cohort_from: str | None = None,
                 F.corr("avg_window_months", "observed_m1_pct").alias("r"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
     with_t = agg.select("n", "r", t.alias("t"))
-    return with_t.select(
+    with_p = with_t.withColumn("p_raw", t_two_sided_col(F.col("t"), F.col("n") - 2))
+    return with_p.select(
         F.col("n").alias("n_cohorts"),
         F.round("r", 6).alias("r"),
         F.round("t", 6).alias("t_stat"),
-        F.round(t_two_sided_p(F.col("t"), F.col("n") - 2), 8).alias("p_value"),
+        F.round("p_raw", 8).alias("p_value"),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from growthlens.fixed_values import (ALPHA, NOT_SIGNIFICANT, RAW_SIGNIFICANT, SAMPLE_SIZE_LIFTS_PP,
                                      SAMPLE_SIZE_POWER, STILL_SIGNIFICANT)
 from growthlens.functions.exprs import hundred
-from growthlens.functions.stats import chi2_sf, normal_quantile, normal_two_sided_p
+from growthlens.functions.stats import chi2_sf_col, normal_quantile, normal_two_sided_col
 
 
 # ------------------------------------------------------- contingency ----
@@ -111,10 +111,13 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
         F.sum(term).alias("_chi2"))
     chi2 = (F.when(F.col("dof") == 0, F.lit(0.0))
              .when(F.col("_emin") > 0, F.col("_chi2")))
-    out = per.select(*key, "groups", "dof", "yates_applied", chi2.alias("chi2"))
-    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(chi2_sf(F.col("chi2"), F.col("dof")))
-    return out.select(*key, "groups", F.round("chi2", 6).alias("chi2"), "dof",
-                      F.round(p, 10).alias("p_value"), "yates_applied").orderBy(*key)
+    out = per.select(*key, "groups", "dof", "yates_applied", chi2.alias("chi2_raw"))
+    # p is projected before any output reuses an input name: column references
+    # inside the series' lambdas would otherwise bind to a same-named alias.
+    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(chi2_sf_col(F.col("chi2_raw"), F.col("dof")))
+    with_p = out.withColumn("p_raw", p)
+    return with_p.select(*key, "groups", F.round("chi2_raw", 6).alias("chi2"), "dof",
+                         F.round("p_raw", 10).alias("p_value"), "yates_applied").orderBy(*key)
 
 
 def multiple_comparison_verdicts(tests: DataFrame, m: int | None = None,
@@ -154,11 +157,11 @@ def two_proportion_ztest(arms: DataFrame, control: str = "control",
     z = F.try_divide(p1 - p2, se)
     with_z = row.select("n_control", "converted_control", "n_treatment", "converted_treatment",
                         (hundred() * p1).alias("rc"), (hundred() * p2).alias("rt"), z.alias("z"))
-    return with_z.select(
+    with_p = with_z.withColumn("p_raw", normal_two_sided_col(F.col("z")))
+    return with_p.select(
         "n_control", "converted_control", "n_treatment", "converted_treatment",
         F.round("rc", 2).alias("control_rate_pct"), F.round("rt", 2).alias("treatment_rate_pct"),
-        F.round("z", 6).alias("z_stat"),
-        F.round(normal_two_sided_p(F.col("z")), 10).alias("p_value"))
+        F.round("z", 6).alias("z_stat"), F.round("p_raw", 10).alias("p_value"))
 
 
 def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = SAMPLE_SIZE_LIFTS_PP,

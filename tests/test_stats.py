@@ -140,3 +140,17 @@ def test_ztest_with_an_empty_arm_is_null_not_an_error(spark):
     arms = spark.createDataFrame([("control", 10, 3)], "arm string, users long, converted long")
     r = testing.two_proportion_ztest(arms).collect()[0]
     assert r.z_stat is None and r.n_treatment is None
+
+
+def test_p_value_uses_the_unrounded_statistic(spark):
+    """The reported p is computed from the exact chi2, not its rounded display."""
+    rows = [("p", "1", 1000, 976), ("p", "2", 976, 1038), ("p", "3", 982, 1018),
+            ("p", "4", 1008, 1035), ("p", "5", 967, 1021)]
+    r = testing.chi_square(_tables(spark, rows)).collect()[0]
+    a = [1000, 976, 982, 1008, 967]
+    b = [976, 1038, 1018, 1035, 1021]
+    sa, sb = sum(a), sum(b)
+    n = sa + sb
+    chi = sum((x - (x + y) * sa / n) ** 2 / ((x + y) * sa / n) + (y - (x + y) * sb / n) ** 2 / ((x + y) * sb / n)
+              for x, y in zip(a, b))
+    assert r.p_value == round(stats.chi2_sf_scalar(chi, 4), 10)
