@@ -90,10 +90,12 @@ def _series(last, first_term, ratio):
     (``last`` may be a Column; an empty range sums to first_term's n=0 only
     when last >= 0, and to 0 when last < 0)."""
     idx = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda n: n >= 1)
-    init = F.struct(first_term.alias("t"), first_term.alias("s"))
-    acc = F.aggregate(idx, init, lambda a, n: F.struct(
-        (a["t"] * ratio(n)).alias("t"), (a["s"] + a["t"] * ratio(n)).alias("s")))
-    return F.when(last >= 0, acc["s"]).otherwise(F.lit(0.0))
+    # s trails t by one term, so each step evaluates ratio(n) once.
+    init = F.struct(first_term.alias("t"), F.lit(0.0).alias("s"))
+    total = F.aggregate(idx, init,
+                        lambda a, n: F.struct((a["t"] * ratio(n)).alias("t"), (a["s"] + a["t"]).alias("s")),
+                        lambda a: a["s"] + a["t"])
+    return F.when(last >= 0, total).otherwise(F.lit(0.0))
 
 
 def erfc_col(y):

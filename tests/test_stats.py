@@ -154,3 +154,19 @@ def test_p_value_uses_the_unrounded_statistic(spark):
     chi = sum((x - (x + y) * sa / n) ** 2 / ((x + y) * sa / n) + (y - (x + y) * sb / n) ** 2 / ((x + y) * sb / n)
               for x, y in zip(a, b))
     assert r.p_value == round(stats.chi2_sf_scalar(chi, 4), 10)
+
+
+def test_spark_tails_match_the_python_reference(spark):
+    from pyspark.sql import functions as F
+    rows = [(x, k) for x in (0.0, 0.01, 0.4473, 1.7535, 3.7, 11.4945, 38.76, 80.0, 200.0, 700.0)
+            for k in (1, 2, 3, 4, 5, 24, 25, 101)]
+    got = spark.createDataFrame(rows, "x double, k int").select(
+        "x", "k", stats.chi2_sf_col(F.col("x"), F.col("k")).alias("p")).collect()
+    assert max(abs(r.p - stats.chi2_sf_scalar(r.x, r.k)) for r in got) < 1e-13
+    got = spark.createDataFrame([(z,) for z in (0.0, 0.5, -1.30535, 2.0, 3.5, 6.0, 9.5)], "z double") \
+        .select("z", stats.normal_two_sided_col(F.col("z")).alias("p")).collect()
+    assert max(abs(r.p - stats.normal_two_sided_scalar(r.z)) for r in got) < 1e-13
+    got = spark.createDataFrame([(t, n) for t in (0.0, 0.7, 2.306, -5.3, 12.7) for n in (1, 2, 3, 8, 9, 67, 68)],
+                                "t double, nu int") \
+        .select("t", "nu", stats.t_two_sided_col(F.col("t"), F.col("nu")).alias("p")).collect()
+    assert max(abs(r.p - stats.t_two_sided_scalar(r.t, r.nu)) for r in got) < 1e-13
