@@ -7,6 +7,7 @@ columns so they reach the parquet scan as pushed filters.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,18 @@ class Scope:
     payments: tuple[str, ...] | None = None
     platforms: tuple[str, ...] | None = None
 
+    def __post_init__(self):
+        for name in ("month_start", "month_end"):
+            value = getattr(self, name)
+            if value is not None and not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", value):
+                raise ValueError(f"{name} must be 'YYYY-MM', got {value!r}")
+        if self.month_start and self.month_end and self.month_start > self.month_end:
+            raise ValueError("month_start is after month_end")
+        for name in ("cities", "payments", "platforms"):
+            value = getattr(self, name)
+            if isinstance(value, str):
+                raise ValueError(f"{name} must be a sequence of values, not a single string")
+
     def orders(self, orders: DataFrame) -> DataFrame:
         """Month range and payment filters on the canonical orders view."""
         return where_all(

@@ -229,3 +229,13 @@ def test_order_key_preserves_date_then_id_order(spark):
     df = spark.createDataFrame([(d, i, n) for n, (d, i) in enumerate(rows)], "d string, i long, n int")
     got = [r.n for r in df.select("n", order_key(F.to_date("d"), "i").alias("k")).orderBy("k").collect()]
     assert got == list(range(len(rows)))
+
+
+def test_scope_rejects_malformed_filters():
+    import pytest
+    from growthlens.functions.scope import Scope
+    for bad in (dict(month_start="2024-3"), dict(month_end="2024-13"), dict(month_start="2024-05", month_end="2024-04"),
+                dict(cities="Pune")):
+        with pytest.raises(ValueError):
+            Scope(**bad)
+    assert Scope(month_start="2024-01", month_end="2024-12", cities=("Pune",)).cities == ("Pune",)
