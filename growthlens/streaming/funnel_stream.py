@@ -10,7 +10,9 @@ arrive:
 
 The watermark column is part of the de-duplication key, so per-key state is
 dropped once the watermark passes that day, and a (day, step) count is final
-when emitted in append mode. ``funnel_from_daily`` turns the accumulated
+when emitted in append mode. This relies on the entity being a user-day: a
+user-grain funnel (distinct users over all time) has no day to evict on and
+would keep state for every user ever seen, so it stays a batch query. ``funnel_from_daily`` turns the accumulated
 daily counts into the same step table as the batch ``funnel_steps``.
 """
 
