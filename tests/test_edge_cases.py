@@ -239,3 +239,26 @@ def test_scope_rejects_malformed_filters():
         with pytest.raises(ValueError):
             Scope(**bad)
     assert Scope(month_start="2024-01", month_end="2024-12", cities=("Pune",)).cities == ("Pune",)
+
+
+def test_custom_retention_horizons(spark):
+    act = activity_from_orders(orders_frame(spark, ORDERS))
+    got = {r.cohort_month: r for r in retention.cohort_retention(act, horizons=(1, 3, 11)).collect()}
+    jan = got["2024-01"]
+    assert (jan.retained_m1, jan.retained_m3, jan.retained_m11) == (1, 1, 0)
+    assert "retention_m11_pct" in jan.asDict()
+
+
+def test_anti_join_with_a_hot_key(spark):
+    from growthlens.operators.setops import entities_without_activity
+    entities = spark.createDataFrame([(i, f"u{i}") for i in range(1, 6)], "user_id long, name string")
+    activity = spark.createDataFrame([(1,)] * 5000 + [(3,)], "user_id long")   # user 1 is hot
+    got = sorted(r.user_id for r in entities_without_activity(entities, activity, "user_id").collect())
+    assert got == [2, 4, 5]
+
+
+def test_tables_need_a_root_or_a_database(spark):
+    import pytest
+    from growthlens.sources.tables import Tables
+    with pytest.raises(ValueError):
+        Tables(spark)
