@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from growthlens.fixed_values import DAYS_PER_MONTH, RETENTION_HORIZONS
 from growthlens.functions.exprs import hundred, month_key, pct
 from growthlens.functions.stats import t_two_sided_col
+from growthlens.sources.views import MONTH_BITS, MONTH_MASKS, month_bit, month_index
 
 
 def _signup_month():
@@ -24,8 +25,15 @@ def _signup_month():
 
 
 def _retained(h: int):
-    """1 when the user has a delivered order in calendar month signup + h."""
-    return F.array_contains("delivered_months", F.add_months(_signup_month(), h)).cast("int")
+    """1 when the user has a delivered order in calendar month signup + h
+    (a bit test on the per-user month masks of ``activity_from_orders``)."""
+    target = month_index("signup_date") + h - F.col("month_base")
+    block, bit = F.floor(target / MONTH_BITS), target % MONTH_BITS
+    word = None
+    for b, name in enumerate(MONTH_MASKS):
+        word = F.when(block == b, F.col(name)) if word is None else word.when(block == b, F.col(name))
+    hit = F.coalesce(word, F.lit(0).cast("long")).bitwiseAND(month_bit(bit)) != 0
+    return F.coalesce(hit, F.lit(False)).cast("int")
 
 
 def cohort_retention(activity: DataFrame, horizons: Sequence[int] = RETENTION_HORIZONS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from growthlens.fixed_values import (DELIVERED, DELIVERY_TIME_LABELS,  # noqa: F401
                                      DELIVERY_TIME_SPLITS, MODEL_FUNNEL_STEPS)
 from growthlens.functions.exprs import money
-from growthlens.sources.views import activity_from_orders
+from growthlens.sources.views import MONTH_MASKS, activity_from_orders, month_index
 
 
 class ModelViews:
@@ -61,14 +61,16 @@ class ModelViews:
     def activity(self) -> DataFrame:
         """Every user with their own signup_date; order figures from orders
         (left join: users without orders have zero counts and no months)."""
-        per_user = activity_from_orders(self.orders).drop("signup_date")
+        per_user = activity_from_orders(self.orders).drop("signup_date", "month_base")
+        base = self.orders.select(F.min(month_index("order_date"))).scalar()
         users = self._users.select("user_id", F.to_date("signup_date").alias("signup_date"))
         joined = users.join(per_user, "user_id", "left")
         return joined.select(
             "user_id", "signup_date",
             F.coalesce("n_orders", F.lit(0)).alias("n_orders"),
             F.coalesce("n_delivered", F.lit(0)).alias("n_delivered"),
-            F.coalesce("delivered_months", F.array().cast("array<date>")).alias("delivered_months"))
+            *[F.coalesce(m, F.lit(0).cast("long")).alias(m) for m in MONTH_MASKS],
+            base.alias("month_base"))
 
     @property
     def restaurants(self) -> DataFrame:

@@ -81,22 +81,48 @@ def user_city(t: Tables) -> DataFrame:
              .select("user_id", "name", "city"))
 
 
+MONTH_BITS = 63           # bits used per long (2^62 is the largest exact power below 2^63)
+MONTH_BLOCKS = 9          # 9 x 63 = 567 months (47 years) of order history
+MONTH_MASKS = [f"dm{b}" for b in range(MONTH_BLOCKS)]
+
+
+def month_bit(offset):
+    """The long with only bit ``offset`` set (0 <= offset < 63), exactly."""
+    return F.pow(F.lit(2.0), offset).cast("long")
+
+
+def month_index(date_col):
+    """Months since year 0 (an integer), so month arithmetic is integer arithmetic."""
+    d = F.col(date_col) if isinstance(date_col, str) else date_col
+    return F.year(d) * 12 + F.month(d) - 1
+
+
 def activity_from_orders(orders_df: DataFrame) -> DataFrame:
     """One row per user of an orders-shaped frame: signup_date (first order
-    date), n_orders, n_delivered and the set of months with a delivered order.
-
-    A single hash aggregate keyed by user (partial aggregation on the map
-    side, so a user holding a third of all orders costs one row per map task).
-    ``delivered_months`` holds month starts, so its size is bounded by the
-    calendar span of the data, not by the number of orders.
+    date), n_orders, n_delivered, and the months with a delivered order as
+    bitmasks: bit i of ``dm{b}`` is month ``month_base + 63*b + i``.
+
+    A single hash aggregate keyed by user, with only fixed-width buffers
+    (min, count, bit_or), so it stays a partial + final hash aggregate at any
+    scale and a user holding a third of all orders costs one row per map
+    task. ``month_base`` is the first month of the data (a scalar subquery);
+    order histories longer than 567 months raise an error rather than lose
+    months.
     """
-    month = F.trunc("order_date", "month")
-    return orders_df.groupBy("user_id").agg(
+    base = orders_df.select(F.min(month_index("order_date"))).scalar()
+    rel = month_index("order_date") - base
+    checked = F.when(rel < MONTH_BITS * MONTH_BLOCKS, rel).otherwise(
+        F.raise_error(F.lit("order history spans more than 567 months")))
+    delivered_rel = F.when(F.col("is_delivered"), checked)
+    masks = [F.bit_or(F.when(F.floor(delivered_rel / MONTH_BITS) == b,
+                             month_bit(delivered_rel % MONTH_BITS)))
+             .alias(name) for b, name in enumerate(MONTH_MASKS)]
+    agg = orders_df.groupBy("user_id").agg(
         F.min("order_date").alias("signup_date"),
         F.count(F.lit(1)).alias("n_orders"),
         F.count(F.when(F.col("is_delivered"), 1)).alias("n_delivered"),
-        F.collect_set(F.when(F.col("is_delivered"), month)).alias("delivered_months"),
-    )
+        *masks)
+    return agg.withColumn("month_base", base)
 
 
 def user_activity(t: Tables) -> DataFrame:
