@@ -262,16 +262,3 @@ def test_tables_need_a_root_or_a_database(spark):
     from growthlens.sources.tables import Tables
     with pytest.raises(ValueError):
         Tables(spark)
-
-
-def test_month_masks_cover_long_histories_and_refuse_longer(spark):
-    import pytest
-    # 400 months between first and last order: crosses several 63-bit blocks
-    rows = [(1, 1, "delivered", "1990-01-15", 10, "UPI"), (2, 1, "delivered", "1990-02-15", 10, "UPI"),
-            (3, 2, "delivered", "2023-04-02", 10, "UPI"), (4, 2, "delivered", "2023-05-30", 10, "UPI")]
-    got = {r.cohort_month: r.retained_m1 for r in
-           retention.cohort_retention(activity_from_orders(orders_frame(spark, rows))).collect()}
-    assert got == {"1990-01": 1, "2023-04": 1}
-    too_long = rows + [(5, 3, "delivered", "2040-01-01", 10, "UPI")]      # 600 months
-    with pytest.raises(Exception, match="567 months"):
-        retention.cohort_retention(activity_from_orders(orders_frame(spark, too_long))).collect()
