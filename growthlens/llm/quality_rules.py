@@ -38,7 +38,7 @@ THRESHOLDS = (
     Rule("short_words", "word_chars", "n_words", "<", 200),
     Rule("long_words", "word_chars", "n_words", ">", 2000),
     Rule("symbols", "n_symbols", "n_words", ">", 10),
-    Rule("no_stop_words", "n_stop_words", "n_words", "<", 2, 100, 50),
+    Rule("few_stop_words", "n_stop_words", None, "<", 2, 1, 50),
     Rule("repeated_lines", "n_dup_lines", "n_lines", ">", 50),
 )
 #: The rules that every document is held to whatever the rest of the table says.
@@ -78,19 +78,23 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *base, words.alias("q_words"),
         F.filter(F.split("q_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("q_lines"),
         F.char_length(F.regexp_replace("q_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
-    windows = F.expr(
-        "CASE WHEN size(q_words) >= 5 THEN transform(sequence(0, size(q_words) - 5), i -> xxhash64("
-        "get(q_words, i), get(q_words, i + 1), get(q_words, i + 2), get(q_words, i + 3), get(q_words, i + 4)))"
-        " ELSE array() END")
+    # Hashes of 2, then 4, then 5 words at every position; the last four are of
+    # shorter windows, equal to no other.
+    pairs = F.transform("q_words", lambda w, i: F.xxhash64(w, F.get("q_words", i + 1)))
+    split = split.withColumn("q_pairs", pairs)
+    quads = F.transform("q_pairs", lambda p, i: F.xxhash64(p, F.get("q_pairs", i + 2)))
+    windows = F.transform("q_quads", lambda q, i: F.xxhash64(q, F.get("q_pairs", i + 3)))
     hashed = split.select(
         *base, "n_symbols",
         F.size("q_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
         F.size("q_lines").cast("long").alias("n_lines"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("q_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        windows.alias("q_win"))
-    return hashed.select(*base, *[c for c in MEASURES if c != "n_repeat_words"],
+        F.size(F.array_intersect("q_words", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        "q_pairs", quads.alias("q_quads"))
+    done = [c for c in MEASURES if c != "n_repeat_words"]
+    hashed = hashed.select(*base, *done, windows.alias("q_win"))
+    return hashed.select(*base, *done,
                          F.expr(_REPEATED).cast("long").alias("n_repeat_words"))
 
 
@@ -103,7 +107,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text",
 
     Words are runs of non-space (ASCII white space); a null or empty text has
     none and fails the length rule. n_symbols counts ``#*$%&|<>``; n_dup_lines
-    the lines with a word that equal an earlier one; n_repeat_words the words
+    the lines with a word that equal an earlier one; n_stop_words the distinct
+    stop words; n_repeat_words the words
     in 5-word windows found twice or more. Repeated rows are judged alike.
     Columns of ``docs`` named like a measure or verdict are replaced.
     """
