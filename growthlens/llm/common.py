@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks
+    import it where only the driver has it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_growthlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="growthlens-py-"))
+    sc.addPyFile(shutil.make_archive(f"{folder}/growthlens", "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._growthlens_shipped = True
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; ``lower`` is the fast form where the
     string is all ASCII."""
