@@ -9,13 +9,16 @@ empty and small segments at once, frequent ones when their counts are known.
 Candidates are verified on the whole sets.
 
 Why nothing is lost. In a band with largest size U, a pair's symmetric
-difference is at most H = U * 2(q-p)/(q+p) for a threshold p/q. There are
-m = H + 1 + 2(K + F) - c segments, c of them also indexed with one deletion. To
-share no entry, a pair must differ once in each plain segment, twice in each of
-the c, except where one of the two left an entry out. Each leaves out at most
-K + F (a smaller set some more: half of what its own bound lies below H), so
-m + c - 2(K + F) > H differences would be needed. F and that half go to the
-segments with fewest tokens at once, K to the entries counted most often.
+difference is at most H = U * 2(q-p)/(q+p) for a threshold p/q. The universe is
+cut into H + 1 + 2(K + F) units; a plain segment is one unit, one with deletions
+two. To share no entry, a pair must differ once in each plain segment and twice
+in each with deletions, once for each unit, except where one of the two left an
+entry out. Each leaves out at most K + F (a smaller set some more: half of what
+its own bound lies below H), so more than H differences would be needed. F and
+that half go to the segments with fewest tokens at once, K to the entries
+counted most often. What it costs decides the split: small sets, whose segments
+would hold few tokens and so be frequent, use deletions only and leave nothing
+out; large ones, where deletions would add an entry per token, use few.
 
 Classes instead of pairs. Equal sets are merged before indexing. In the sets
 that share an entry (a bucket), each is first compared with the smallest id
@@ -31,7 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, text_of
@@ -39,8 +42,9 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 WORDS, SIMILAR, OF = 4, 85, 100
-#: Size bands: [edge, next edge), each so many times as wide as the last.
-BAND_RATIO = 1.6
+#: Size bands are [edge, next edge), so many times as wide as the last; up to
+#: SMALL as narrow as the threshold allows.
+BAND_RATIO, SMALL = 1.6, 80
 
 
 class Band(NamedTuple):
@@ -49,23 +53,24 @@ class Band(NamedTuple):
     differ: int  # H
     spare: int  # K
     free: int  # F
-    deleted: int  # c
-    segments: int  # m
+    deleted: int  # segments with deletions
+    units: int
 
 
 @cache
 def band_of(size: int, p: int, q: int) -> Band:
     edge, index = 1, 0
     while True:
-        following = max(edge + 1, int(edge * BAND_RATIO))
+        following = edge * q // p + 1 if edge < SMALL else int(edge * BAND_RATIO)
         if size < following:
             break
         edge, index = following, index + 1
-    largest = following - 1
-    differ = 2 * largest * (q - p) // (q + p)
+    differ = 2 * (following - 1) * (q - p) // (q + p)
+    if edge < SMALL:
+        deleted = differ // 2 + 1
+        return Band(index, following - 1, differ, 0, 0, deleted, 2 * deleted)
     spare = free = 1 + differ // 48
-    deleted = 1 + spare // 4
-    return Band(index, largest, differ, spare, free, deleted, differ + 1 + 2 * (spare + free) - deleted)
+    return Band(index, following - 1, differ, spare, free, 1 + spare // 4, differ + 1 + 2 * (spare + free))
 
 
 def bands_for(size: int, p: int, q: int) -> list[Band]:
@@ -79,7 +84,7 @@ def bands_for(size: int, p: int, q: int) -> list[Band]:
 def left_out(size: int, band: Band, p: int, q: int) -> int:
     """Entries that a set of this size leaves out before any are counted."""
     own = (size + min(band.largest, size * q // p)) * (q - p) // (q + p)
-    return band.free + max(0, band.differ - own) // 2
+    return min(band.units - 2 * band.deleted, band.free + max(0, band.differ - own) // 2)
 
 
 def spares(size: int, p: int, q: int) -> tuple[int, int]:
@@ -98,8 +103,9 @@ def entries(tokens: np.ndarray, band: Band, p: int, q: int) -> np.ndarray:
     An entry is a hash of band, segment and the segment's tokens; bit 0 marks
     the segments with deletions, bit 1 odd bands.
     """
-    m, c = band.segments, band.deleted
-    segment = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    c, m = band.deleted, band.units - band.deleted
+    unit = ((tokens >> np.uint64(20)) % np.uint64(band.units)).astype(np.int64)
+    segment = np.where(unit < 2 * c, unit // 2, unit - c)
     order = np.argsort(segment, kind="stable")
     count = np.bincount(segment, minlength=m)
     ends = np.cumsum(count)
@@ -124,24 +130,44 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int):
             yield ids[i].as_py(), tokens
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of tokens falls on each. Two sets differ
+    in at least as many tokens as their bits do."""
+    odd = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_BITS = [f"bits{i}" for i in range(4)]
+_PROFILE = "id long, n long, digest binary, spare_even int, spare_odd int, " + ", ".join(f"{b} long" for b in _BITS)
+
+
 def _profiles(words: int, p: int, q: int):
-    """Per text: number of shingles, a 128-bit digest of the set, its spares."""
+    """Per text: number of shingles, a 128-bit digest of the set, its spares,
+    its parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, bits = [], [], [np.zeros((0, 4), np.int64)]
             for tokens in shingle_sets(batch.column(1), words):
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                bits.append(parity(tokens)[None])
             even, odd = zip(*[spares(n, p, q) for n in sizes]) if sizes else ((), ())
             yield pa.record_batch(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(even, pa.int32()), pa.array(odd, pa.int32())],
-                names=["id", "n", "digest", "spare_even", "spare_odd"])
+                 pa.array(even, pa.int32()), pa.array(odd, pa.int32()), *map(pa.array, np.ascontiguousarray(np.concatenate(bits).T))],
+                names=[x.split()[0] for x in _PROFILE.split(", ")])
 
     return run
 
 
+def _may_match(x: str, y: str, p: int, q: int) -> Column:
+    """False only for pairs whose sizes or parity bits rule the threshold out."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS), F.lit(0))
+    return (n * q >= m * p) & (m * q >= n * p) & (apart * (q + p) <= (n + m) * (q - p))
+
+
 def _index(words: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -215,11 +241,11 @@ def _token_batch(ids: list, part: list[np.ndarray]) -> pa.RecordBatch:
 
 def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets are similar enough."""
-    size = profiles.select("id", "n").dropDuplicates(["id"])
+    known = profiles.select("id", "n", *_BITS).dropDuplicates(["id"])
     pairs = materialize(
-        pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        .join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(F.least("na", "nb") * q >= F.greatest("na", "nb") * p).select("a", "b"), "pairs")
+        pairs.join(known.alias("x"), F.col("a") == F.col("x.id"))
+        .join(known.alias("y"), F.col("b") == F.col("y.id"))
+        .filter(_may_match("x", "y", p, q)).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = materialize(
         map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"),
@@ -242,17 +268,17 @@ def _second_pairs(buckets: DataFrame, classes: DataFrame, profiles: DataFrame, p
              .filter("lo < hi").select("entry", "held"))
     rows = materialize(rows.join(materialize(mixed, "mixed"), "entry"), "rows")
     odd = (F.col("entry").bitwiseAND(2) / 2).cast("int")
-    sizes = profiles.select("id", "n", "spare_even", "spare_odd").dropDuplicates(["id"])
+    sizes = profiles.select("id", "n", "spare_even", "spare_odd", *_BITS).dropDuplicates(["id"])
     rows = rows.join(sizes, "id").withColumn("odd", odd).withColumn("plain", F.col("entry").bitwiseAND(1) == 0)
     # A set's entries in one band are as many as its size allows.
     ranked = F.row_number().over(
         Window.partitionBy("id", "odd", "plain").orderBy(F.desc("held"), "entry"))
     left = F.when(F.col("odd") == 1, F.col("spare_odd")).otherwise(F.col("spare_even"))
     rows = rows.withColumn("rank", ranked).filter(~F.col("plain") | (F.col("rank") > left))
-    rows = materialize(rows.select("entry", "id", "class", "n"), "kept")
+    rows = materialize(rows.select("entry", "id", "class", "n", *_BITS), "kept")
     x, y = rows.alias("x"), rows.alias("y")
     return (x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.class") < F.col("y.class"))
-                   & (F.col("x.n") * q >= F.col("y.n") * p) & (F.col("y.n") * q >= F.col("x.n") * p))
+                   & _may_match("x", "y", p, q))
             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
@@ -273,7 +299,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     profiles = materialize(
         map_arrow(texts, _profiles(words, similar, of),
-                  "id long, n long, digest binary, spare_even int, spare_odd int"), "profiles")
+                  _PROFILE), "profiles")
     known = profiles.filter("n > 0 AND id IS NOT NULL")
     same = materialize(known.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
                        .filter("first < last").select("digest", "first"), "same")
