@@ -67,14 +67,14 @@ class Packer:
 
     def _place(self, piece: Piece) -> list[list[Piece]]:
         n, count = len(piece), self.level
-        # Change of the sum of squares / 2 for the fills 1 .. window - n.
+        # Change of the sum of squares for the fills 1 .. window - n.
         fills = count[1:self.window - n + 1]
-        change = count[n + 1:self.window + 1] - fills + 1
+        change = 2 * (count[n + 1:self.window + 1] - fills + 1)
         if len(change):
-            change[-1] = -fills[-1]  # a full window leaves the array
+            change[-1] = 1 - 2 * fills[-1]  # a full window leaves the array
             change = np.where(fills > 0, change, np.iinfo(np.int64).max)
             best = len(change) - 1 - int(np.argmin(change[::-1]))  # of equals, the fullest
-            at = best + 1 if change[best] <= count[n] else 0
+            at = best + 1 if change[best] <= 2 * count[n] + 1 else 0
         else:
             at = 0
         if at:
