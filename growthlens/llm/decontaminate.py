@@ -126,7 +126,7 @@ class Block:
                 window.append(np.full(len(h), len(self.windows)))
                 self.windows.append(part)
                 owners.append(item)
-        self.owners = np.array(owners, np.int64)
+        self.owners: list[int | None] = owners
         empty = np.zeros(0, np.int64)
         grams = np.concatenate([empty.astype(np.uint64), *grams])
         order = np.argsort(grams, kind="stable")
@@ -186,7 +186,7 @@ class Block:
             found = _place(part, joined[lo:min(int(starts[t + 1]), middle + 2 * (e + 1) + len(part) + e)], e)
             if found and (int(t), int(w), lo + found[1]) not in done:
                 done.add((int(t), int(w), lo + found[1]))
-                yield (int(t), int(self.owners[w]), int(origin[lo + found[1]] - begin[t]),
+                yield (int(t), self.owners[w], int(origin[lo + found[1]] - begin[t]),
                        int(origin[lo + found[2] - 1] - begin[t]) + 1, found[0])
 
 
@@ -237,7 +237,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Compared are lower-cased letters, digits and non-ASCII characters; anything
     else is one space. Windows are whole items up to 160 characters, else 160
     every 80. Null and empty texts match nothing; nor do items under 24
-    characters. Rows are distinct, so repeated rows add none.
+    characters. An item without id still counts. Rows are distinct, so repeated
+    rows add none.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
