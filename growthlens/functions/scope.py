@@ -61,9 +61,6 @@ class Scope:
     def city_predicate(self):
         return in_values("city", self.cities)
 
-    def events(self, events: DataFrame) -> DataFrame:
-        return where_all(events, in_values("platform", self.platforms))
-
     def platform_predicate(self):
         return in_values("platform", self.platforms)
 

@@ -3,8 +3,9 @@
 The test statistics are Column arithmetic over counts Spark has already
 aggregated, and the tail probabilities are Column expressions too (finite
 series as ``aggregate`` over ``sequence``), so no Python runs on executors.
-The plain-Python versions below are the reference the tests check against;
-``normal_quantile`` turns parameters (alpha, power) into literals on the driver.
+Small tails keep their relative precision: nothing is taken from one, and
+terms that underflow are carried as logarithms. ``normal_quantile`` turns
+parameters (alpha, power) into literals on the driver.
 """
 
 from __future__ import annotations
@@ -12,134 +13,109 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def chi2_sf_scalar(x: float, k: int) -> float:
-    """P(X > x) for a chi-square variable with integer k degrees of freedom."""
-    if x is None or k is None or k < 1 or math.isnan(x):
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    h = x / 2.0
-    if k % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, k // 2):
-            term *= h / i
-            total += term
-        return min(1.0, math.exp(-h) * total)
-    total = math.erfc(math.sqrt(h))
-    if k > 1:
-        # e^{-h} * sum_{i=1}^{(k-1)/2} h^{i-1/2} / Gamma(i + 1/2)
-        term = math.sqrt(h) / math.gamma(1.5)
-        acc = term
-        for i in range(2, (k - 1) // 2 + 1):
-            term *= h / (i - 0.5)
-            acc += term
-        total += math.exp(-h) * acc
-    return min(1.0, total)
-
-
-def normal_two_sided_scalar(z: float) -> float:
-    if z is None or math.isnan(z):
-        return float("nan")
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def t_two_sided_scalar(t: float, nu: int) -> float:
-    """Two-sided p of Student's t with integer nu (Abramowitz & Stegun 26.7.3-4)."""
-    if t is None or nu is None or nu < 1 or math.isnan(t):
-        return float("nan")
-    theta = math.atan(abs(t) / math.sqrt(nu))
-    c, s = math.cos(theta), math.sin(theta)
-    if nu % 2 == 1:
-        acc = 0.0
-        if nu > 1:
-            term = c
-            acc = term
-            for j in range(1, (nu - 3) // 2 + 1):
-                term *= c * c * (2 * j) / (2 * j + 1)
-                acc += term
-        a = (2.0 / math.pi) * (theta + s * acc)
-    else:
-        term, acc = 1.0, 1.0
-        for j in range(1, (nu - 2) // 2 + 1):
-            term *= c * c * (2 * j - 1) / (2 * j)
-            acc += term
-        a = s * acc
-    return max(0.0, 1.0 - a)
-
-
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-# ---- JVM-side tails: finite series as Spark higher-order functions ---------
-#
-# The same distributions as Column expressions (``aggregate`` over
-# ``sequence``), so the statistics stay inside whole-stage Spark SQL with no
-# Python worker. Terms are built by recurrence from a small start, so no
-# intermediate overflows.
-
-_ERF_TERMS = 200        # converges for y^2 <= 40
-_ERFC_ZERO_AT = 40.0    # erfc(sqrt(40)) < 1e-18
+def _sum_of_exp(last: Column, first_log: Column, log_ratio) -> Column:
+    """sum_{n=0}^{last} exp(l_n), l_0 = first_log, l_n = l_{n-1} + log_ratio(n);
+    0 where last < 0. Logarithms, so that a term too small for a double does
+    not take the later ones with it."""
+    steps = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda n: n >= 1)
+    start = F.struct(first_log.alias("l"), F.exp(first_log).alias("s"))
+    step = lambda a, n: F.transform(  # noqa: E731  one evaluation of the new logarithm
+        F.array(a["l"] + log_ratio(n)), lambda l: F.struct(l.alias("l"), (a["s"] + F.exp(l)).alias("s")))[0]
+    return F.when(last >= 0, F.aggregate(steps, start, step, lambda a: a["s"])).otherwise(F.lit(0.0))
 
 
-def _series(last, first_term, ratio):
-    """sum_{n=0}^{last} t_n with t_0 = first_term, t_n = t_{n-1} * ratio(n)
-    (``last`` may be a Column; an empty range sums to first_term's n=0 only
-    when last >= 0, and to 0 when last < 0)."""
-    idx = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda n: n >= 1)
+def _series(last: Column, first: Column, ratio) -> Column:
+    """sum_{n=0}^{last} t_n with t_0 = first, t_n = t_{n-1} * ratio(n); 0 where last < 0."""
+    steps = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda n: n >= 1)
     # s trails t by one term, so each step evaluates ratio(n) once.
-    init = F.struct(first_term.alias("t"), F.lit(0.0).alias("s"))
-    total = F.aggregate(idx, init,
+    total = F.aggregate(steps, F.struct(first.alias("t"), F.lit(0.0).alias("s")),
                         lambda a, n: F.struct((a["t"] * ratio(n)).alias("t"), (a["s"] + a["t"]).alias("s")),
                         lambda a: a["s"] + a["t"])
     return F.when(last >= 0, total).otherwise(F.lit(0.0))
 
 
-def erfc_col(y):
-    """erfc(y) for y >= 0: 1 - (2/sqrt(pi)) e^{-y^2} sum_n y^{2n+1} 2^n / (2n+1)!!."""
-    y = y.cast("double")
-    y2 = y * y
-    s = _series(F.lit(_ERF_TERMS), y, lambda n: F.lit(2.0) * y2 / (F.lit(2) * n + 1))
-    erf = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-y2) * s
-    return (F.when(y.isNull(), F.lit(None).cast("double")).when(y <= 0, F.lit(1.0))
-             .when(y2 > _ERFC_ZERO_AT, F.lit(0.0)).otherwise(F.lit(1.0) - erf))
-
-
-def chi2_sf_col(x, k):
-    """P(X > x), X ~ chi-square with integer k >= 1 degrees of freedom."""
-    x, k = x.cast("double"), k.cast("int")
-    h = x / 2.0
-    # even k: e^{-h} sum_{i<k/2} h^i / i!   (Poisson terms, no overflow)
-    even = _series(F.floor(k / 2).cast("int") - 1, F.exp(-h), lambda i: h / i)
-    # odd k: erfc(sqrt h) + e^{-h} sum_{i=1}^{(k-1)/2} h^{i-1/2} / Gamma(i+1/2)
-    first = F.exp(-h) * F.sqrt(h) / F.lit(math.gamma(1.5))
-    odd_tail = _series(F.floor((k - 1) / 2).cast("int") - 1, first, lambda i: h / (i + F.lit(0.5)))
-    odd = erfc_col(F.sqrt(h)) + odd_tail
-    value = F.when(k % 2 == 0, even).otherwise(odd)
-    return (F.when(x.isNull() | k.isNull() | (k < 1), F.lit(None).cast("double"))
-             .when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), value)))
-
-
-def normal_two_sided_col(z):
-    return erfc_col(F.abs(z.cast("double")) / F.lit(math.sqrt(2.0)))
-
-
-def t_two_sided_col(t, nu):
-    """Two-sided p of Student's t with integer nu (Abramowitz & Stegun 26.7.3-4)."""
-    t, nu = t.cast("double"), nu.cast("int")
-    theta = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
-    c, s = F.cos(theta), F.sin(theta)
-    c2 = c * c
-    # odd nu: A = (2/pi)(theta + sin * sum_{j=0}^{(nu-3)/2} c^{2j+1} prod_{i<=j} 2i/(2i+1))
-    odd_sum = _series(F.floor((nu - 3) / 2).cast("int"), c,
-                      lambda j: c2 * (F.lit(2) * j) / (F.lit(2) * j + 1))
-    odd = F.lit(2.0 / math.pi) * (theta + s * odd_sum)
-    # even nu: A = sin * sum_{j=0}^{(nu-2)/2} c^{2j} prod_{i<=j} (2i-1)/(2i)
-    even = s * _series(F.floor((nu - 2) / 2).cast("int"), F.lit(1.0),
-                       lambda j: c2 * (F.lit(2) * j - 1) / (F.lit(2) * j))
-    a = F.when(nu % 2 == 1, odd).otherwise(even)
-    return (F.when(t.isNull() | nu.isNull() | (nu < 1), F.lit(None).cast("double"))
-             .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - a)))
+#: Steps after which the two forms of erfc have converged to a double's
+#: precision on their side of y = 2.
+_SERIES_STEPS, _FRACTION_STEPS = 60, 100
+
+
+def with_erfc(df: DataFrame, y: str, out: str) -> DataFrame:
+    """``df`` plus erfc(y) for y >= 0: the power series of erf up to 2, where the
+    result is not small, and beyond it the continued fraction
+    exp(-y^2) / sqrt(pi) / (y + (1/2) / (y + (2/2) / (y + ...)))."""
+    c = F.col(y)
+    y2 = f"_{out}_y2"
+    staged = df.withColumn(y, c.cast("double")).withColumn(y2, c.cast("double") * c.cast("double"))
+    low = F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-F.col(y2)) * _series(
+        F.lit(_SERIES_STEPS), c, lambda n: F.lit(2.0) * F.col(y2) / (F.lit(2) * n + 1))
+    fraction = F.aggregate(F.sequence(F.lit(_FRACTION_STEPS), F.lit(1), F.lit(-1)), c,
+                           lambda f, n: c + n / F.lit(2.0) / f)
+    high = F.exp(-F.col(y2)) / F.lit(math.sqrt(math.pi)) / fraction
+    value = (F.when(c.isNull(), F.lit(None).cast("double")).when(c <= 0, F.lit(1.0))
+             .when(c <= 2, low).otherwise(high))
+    return staged.withColumn(out, value).drop(y2)
+
+
+def with_chi2_sf(df: DataFrame, x: str, k: str, out: str) -> DataFrame:
+    """``df`` plus P(X > x), X ~ chi-square with integer k >= 1 degrees of freedom."""
+    h, root, log_h = (f"_{out}_{s}" for s in ("h", "root", "log"))
+    staged = (df.withColumn(h, F.greatest(F.col(x).cast("double"), F.lit(0.0)) / 2.0)
+              .withColumn(root, F.sqrt(h)).withColumn(log_h, F.ln(h)))
+    staged = with_erfc(staged, root, f"_{out}_erfc")
+    dof = F.col(k).cast("int")
+    # even k: e^-h sum_{i<k/2} h^i / i!; odd k: erfc(sqrt h) +
+    # e^-h sum_{i=1}^{(k-1)/2} h^{i-1/2} / Gamma(i+1/2)
+    odd = dof % 2 == 1
+    half = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    first = -F.col(h) + half * (F.col(log_h) - F.lit(2 * math.lgamma(1.5)))
+    terms = _sum_of_exp(F.floor((dof - odd.cast("int")) / 2).cast("int") - 1, first,
+                        lambda i: F.col(log_h) - F.ln(i + half))
+    value = terms + F.when(odd, F.col(f"_{out}_erfc")).otherwise(F.lit(0.0))
+    p = (F.when(F.col(x).isNull() | dof.isNull() | (dof < 1), F.lit(None).cast("double"))
+         .when(F.col(x) <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), value)))
+    return staged.withColumn(out, p).drop(h, root, log_h, f"_{out}_erfc")
+
+
+def with_normal_two_sided(df: DataFrame, z: str, out: str) -> DataFrame:
+    y = f"_{out}_y"
+    return with_erfc(df.withColumn(y, F.abs(F.col(z).cast("double")) / F.lit(math.sqrt(2.0))), y, out).drop(y)
+
+
+def with_t_two_sided(df: DataFrame, t: str, nu: str, out: str) -> DataFrame:
+    """``df`` plus the two-sided p of Student's t with integer nu degrees of freedom.
+
+    Up to |t| = 2 one minus the finite series of Abramowitz & Stegun 26.7.3-4;
+    beyond it, where that difference would cancel, the incomplete beta function
+    I_x(nu/2, 1/2), x = nu / (nu + t^2), by its hypergeometric series.
+    """
+    x, n, s2, a = (f"_{out}_{s}" for s in ("x", "n", "s2", "a"))
+    staged = (df.withColumn(n, F.col(nu).cast("int"))
+              .withColumn(s2, F.pow(F.abs(F.col(t).cast("double")), F.lit(2.0)))
+              .withColumn(x, F.col(n) / (F.col(n) + F.col(s2)))
+              .withColumn(s2, F.col(s2) / (F.col(n) + F.col(s2))).withColumn(a, F.col(n) / F.lit(2.0)))
+    odd = F.col(n) % 2 == 1
+    sine, c2 = F.sqrt(F.col(s2)), F.col(x)
+    inner = _series(F.floor((F.col(n) - 2 - odd.cast("int")) / 2).cast("int"), F.when(odd, F.sqrt(c2)).otherwise(F.lit(1.0)),
+                    lambda j: c2 * (F.lit(2) * j - F.when(odd, F.lit(0)).otherwise(F.lit(1)))
+                    / (F.lit(2) * j + F.when(odd, F.lit(1)).otherwise(F.lit(0))))
+    near = F.lit(1.0) - F.when(odd, F.lit(2.0 / math.pi) * (F.asin(sine) + sine * inner)).otherwise(sine * inner)
+    # Gamma(a + 1/2) / Gamma(a) by steps of one from a = 1/2 or 1.
+    ratio = F.aggregate(
+        F.filter(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / 2).cast("int")), lambda j: j >= 1),
+        F.when(odd, F.lit(1 / math.sqrt(math.pi))).otherwise(F.lit(math.sqrt(math.pi) / 2)),
+        lambda g, j: g * (F.lit(2) * j + F.when(odd, F.lit(0)).otherwise(F.lit(1)))
+        / (F.lit(2) * j - F.when(odd, F.lit(1)).otherwise(F.lit(0))))
+    steps = F.ceil(F.lit(40.0) / -F.ln(c2)).cast("int") + 10
+    far = (F.exp(F.col(a) * F.ln(c2)) * sine / (F.col(a) * F.lit(math.sqrt(math.pi))) * ratio
+           * _series(steps, F.lit(1.0), lambda j: c2 * (F.col(a) + j - F.lit(0.5)) / (F.col(a) + j)))
+    p = (F.when(F.col(t).isNull() | F.col(n).isNull() | (F.col(n) < 1), F.lit(None).cast("double"))
+         .when(F.abs(t) <= 2, F.greatest(F.lit(0.0), near)).otherwise(far))
+    return staged.withColumn(out, p).drop(x, n, s2, a)

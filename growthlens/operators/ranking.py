@@ -4,57 +4,67 @@ operators built on it (power users, Pareto split, concentration ratio).
 ``NTILE(N) OVER (ORDER BY ...)`` with no PARTITION BY moves every row into one
 task. ``distributed_ntile`` computes the identical assignment in parallel:
 
-1. range-partition by the total order (ties broken by the key), sort inside
-   each partition and tag each row with its position
-   (``monotonically_increasing_id`` = partition index << 33 | row index);
-2. ``checkpoint()`` that table into the shared checkpoint folder so positions
-   stay fixed if an executor is lost and a stage is recomputed;
-3. count rows per range partition (k rows), turn the counts into running
-   offsets, broadcast those k rows back (k is the partition count we chose,
-   a proven bound) and compute the global rank i = offset + row index + 1;
+1. quantile bounds of the value and of the key, one small aggregate. They only
+   have to be some fixed numbers: any bounds give the same ranks;
+2. a row's bucket is its place among the bounds. Rows whose value equals a
+   bound are a bucket of their own (a value that many rows share is bound to be
+   one), split further by the key's bounds;
+3. counts per bucket (bounded by the number of bounds) give each bucket's
+   offset, and the rank is offset + row number within the bucket;
 4. with n rows, q = n div N, r = n mod N, the first r tiles hold q+1 rows:
    tile = ceil(i/(q+1)) if i <= r(q+1) else r + ceil((i - r(q+1))/q).
+
+Nothing is written or collected, and a recomputed stage gives the same ranks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.fixed_values import N_TILES, POWER_USER_LIMIT, REST_SEGMENT, TOP_SEGMENT
 from growthlens.functions.exprs import hundred, money_out, money_sum, pct
-from growthlens.session import ensure_checkpoint_dir
 
-_LOCAL_BITS = 33
-_LOCAL_MASK = (1 << _LOCAL_BITS) - 1
+#: The value has FANOUT ** 2 - 1 quantile bounds, the key as many for its own
+#: (smaller) fan-out.
+FANOUT, KEY_FANOUT = 32, 8
+
+
+def _quantiles(column: str, fanout: int) -> Column:
+    n = fanout ** 2
+    return F.percentile_approx(column, [i / n for i in range(1, n)], 10 * max(n, 100))
 
 
-def distributed_ntile(df: DataFrame, n_tiles: int, order: Sequence[Column],
-                      num_partitions: int | None = None) -> DataFrame:
+def _below(bounds: Column, fanout: int, value: Column) -> Column:
+    """How many of the sorted ``bounds`` are smaller: first among every
+    ``fanout``-th, then among those between two of them."""
+    every = F.transform(F.sequence(F.lit(1), F.lit(fanout - 1)), lambda i: F.get(bounds, i * fanout - 1))
+    coarse = F.size(F.filter(every, lambda b: b < value)) * fanout
+    return coarse + F.size(F.filter(F.slice(bounds, coarse + 1, F.lit(fanout - 1)), lambda b: b < value))
+
+
+def distributed_ntile(df: DataFrame, n_tiles: int, value: str, key: str,
+                      fanout: int = FANOUT, key_fanout: int = KEY_FANOUT) -> DataFrame:
     """``df`` plus ``rank_pos`` (1..n) and ``tile`` (1..n_tiles), equal to
-    ``row_number()`` / ``ntile(n_tiles)`` over ``ORDER BY order``. ``order``
-    must be a total order (end it with a unique key)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    k = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    positioned = (df.repartitionByRange(k, *order)
-                    .sortWithinPartitions(*order)
-                    .withColumn("_pos", F.monotonically_increasing_id())
-                    .checkpoint(eager=True))
-    part = F.shiftright(F.col("_pos"), _LOCAL_BITS)
-    local = F.col("_pos").bitwiseAND(F.lit(_LOCAL_MASK))
-    counts = positioned.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_cnt"))
-    # k rows only: running offsets over the range partitions.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ``row_number()`` / ``ntile(n_tiles)`` over ``ORDER BY value DESC, key``.
+    ``value`` is numeric and not null; ``key`` is a unique number."""
+    limits = df.select(F.struct(_quantiles(value, fanout).alias("v"), _quantiles(key, key_fanout).alias("k"))).scalar()
+    # Bounds have the columns' own types: what equals a bound equals it exactly.
+    below = df.withColumn("_limits", limits).withColumn("_below", _below(F.col("_limits.v"), fanout, F.col(value)))
+    on_bound = F.coalesce(F.get(F.col("_limits.v"), F.col("_below")) == F.col(value), F.lit(False))
+    # Descending by value: even numbers lie between bounds, odd ones on them.
+    tagged = below.withColumn("_place", -2 * F.col("_below") - on_bound.cast("int")).withColumn(
+        "_part", F.when(on_bound, _below(F.col("_limits.k"), key_fanout, F.col(key))).otherwise(0)).drop("_limits")
+    counts = tagged.groupBy("_place", "_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    # Bounded: a row per value bound, and per key bound on each.
+    before = Window.orderBy("_place", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_part",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        "_place", "_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
-    ranked = (positioned.withColumn("_part", part)
-              .join(F.broadcast(offsets), "_part", "inner")
-              .withColumn("rank_pos", F.col("_off") + local + 1))
+    within = F.row_number().over(Window.partitionBy("_place", "_part").orderBy(F.desc(value), F.asc(key)))
+    ranked = (tagged.withColumn("_row", within)
+              .join(F.broadcast(offsets), ["_place", "_part"], "inner")
+              .withColumn("rank_pos", F.col("_off") + F.col("_row")))
     i, n = F.col("rank_pos"), F.col("_n")
     q = F.floor(n / F.lit(n_tiles)).cast("long")
     r = (n % F.lit(n_tiles)).cast("long")
@@ -62,7 +72,7 @@ def distributed_ntile(df: DataFrame, n_tiles: int, order: Sequence[Column],
     tile = (F.when(q == 0, i)
              .when(i <= big, F.ceil(i / (q + 1)))
              .otherwise(r + F.ceil((i - big) / q))).cast("int")
-    return ranked.withColumn("tile", tile).drop("_pos", "_part", "_off", "_n")
+    return ranked.withColumn("tile", tile).drop("_below", "_place", "_part", "_row", "_off", "_n")
 
 
 def user_gmv(orders: DataFrame) -> DataFrame:
@@ -71,17 +81,22 @@ def user_gmv(orders: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("orders"), money_sum("order_amount").alias("user_gmv_raw")))
 
 
-def _ventiles(orders: DataFrame, n_tiles: int) -> DataFrame:
+def power_users(orders: DataFrame, n_tiles: int = N_TILES, limit: int = POWER_USER_LIMIT) -> DataFrame:
+    """The first ``limit`` users of the top tile by delivered GMV:
+    user_id, orders, user_gmv. Ties on GMV go to the lower user_id.
+
+    A top-k; the first of N tiles of n rows holds ceil(n / N) of them."""
     per_user = user_gmv(orders)
-    return distributed_ntile(per_user, n_tiles, [F.desc("user_gmv_raw"), F.asc("user_id")])
+    first_tile = per_user.select(F.ceil(F.count(F.lit(1)) / F.lit(n_tiles))).scalar()
+    by = [F.desc("user_gmv_raw"), F.asc("user_id")]
+    top = per_user.orderBy(*by).limit(limit)
+    ranked = top.withColumn("place", F.row_number().over(Window.orderBy(*by)))  # of ``limit`` rows
+    return (ranked.where(F.col("place") <= first_tile).orderBy("place")
+            .select("user_id", "orders", money_out("user_gmv_raw").alias("user_gmv")))
 
 
-def power_users(orders: DataFrame, n_tiles: int = N_TILES, limit: int = POWER_USER_LIMIT) -> DataFrame:
-    """The first ``limit`` users of the top tile by delivered GMV:
-    user_id, orders, user_gmv. Ties on GMV go to the lower user_id."""
-    top = _ventiles(orders, n_tiles).where(F.col("tile") == 1)
-    return (top.orderBy(F.desc("user_gmv_raw"), F.asc("user_id")).limit(limit)
-               .select("user_id", "orders", money_out("user_gmv_raw").alias("user_gmv")))
+def _ventiles(orders: DataFrame, n_tiles: int) -> DataFrame:
+    return distributed_ntile(user_gmv(orders), n_tiles, "user_gmv_raw", "user_id")
 
 
 def pareto_split(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from growthlens.fixed_values import DAYS_PER_MONTH, RETENTION_HORIZONS
 from growthlens.functions.exprs import hundred, month_key, pct
-from growthlens.functions.stats import t_two_sided_col
+from growthlens.functions.stats import with_t_two_sided
 
 
 def _signup_month():
@@ -130,8 +130,8 @@ def exposure_correlation(baseline: DataFrame, cohort_from: str | None = None,
     agg = b.agg(F.count(F.lit(1)).alias("n"),
                 F.corr("avg_window_months", "observed_m1_pct").alias("r"))
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
-    with_t = agg.select("n", "r", t.alias("t"))
-    with_p = with_t.withColumn("p_raw", t_two_sided_col(F.col("t"), F.col("n") - 2))
+    with_t = agg.select("n", "r", t.alias("t"), (F.col("n") - 2).alias("dof"))
+    with_p = with_t_two_sided(with_t, "t", "dof", "p_raw")
     return with_p.select(
         F.col("n").alias("n_cohorts"),
         F.round("r", 6).alias("r"),

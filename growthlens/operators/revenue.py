@@ -17,12 +17,8 @@ from pyspark.sql import functions as F
 
 from growthlens.fixed_values import ENTITY, FUNNEL_STEPS, TOP_K_IN_CITY, TOP_N_PER_CITY
 from growthlens.functions.exprs import MONEY, hundred, money, money_out, money_sum, month_key, pct
-from growthlens.functions.joins import has_at_most
 from growthlens.functions.scope import ALL, Scope
 
-# Most restaurants of one city whose ids may be broadcast to filter lines early.
-GROUP_BROADCAST_MAX_ROWS = 1_000_000
-
 def _delivered():
     return F.col("is_delivered")
 
@@ -116,21 +112,20 @@ def top_n_per_group(lines: DataFrame, restaurants: DataFrame, n: int = TOP_N_PER
             .orderBy("city", "city_rank", "name"))
 
 
-def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int = TOP_K_IN_CITY) -> DataFrame:
+def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int = TOP_K_IN_CITY,
+                   delivered: DataFrame | None = None) -> DataFrame:
     """Top-k restaurants of one city by delivered revenue:
     name, cuisine, rating, orders (distinct orders), revenue. Ties → lower id.
 
-    When the city's restaurant ids are proven few, they are broadcast and
-    filter the lines before any shuffle. Otherwise lines are aggregated per
-    restaurant first (partial aggregation absorbs a hot restaurant) and the
-    city is applied to the per-restaurant rows — a shuffled semi join on
-    restaurant_id followed by an aggregate on the same key would leave a hot
-    restaurant's lines in one task.
+    ``delivered``: the order ids to count, where ``lines`` holds other orders
+    too. The city's restaurants filter the lines first, below the join with the
+    orders, so only that city's lines are shuffled by order. How the small side
+    travels is Spark's choice.
     """
     in_city = restaurants.where(F.col("city") == city)
-    ids = in_city.select("restaurant_id")
-    if has_at_most(ids, GROUP_BROADCAST_MAX_ROWS):
-        lines = lines.join(F.broadcast(ids), "restaurant_id", "left_semi")
+    lines = lines.join(in_city.select("restaurant_id"), "restaurant_id", "left_semi")
+    if delivered is not None:
+        lines = lines.join(delivered, "order_id", "left_semi")
     per = lines.groupBy("restaurant_id").agg(
         F.countDistinct("order_id").alias("orders"), F.sum("revenue").alias("revenue_raw"))
     top = (per.join(in_city, "restaurant_id", "inner")
@@ -140,24 +135,40 @@ def top_k_in_group(lines: DataFrame, restaurants: DataFrame, city: str, k: int =
 
 
 def group_share(lines: DataFrame, restaurants: DataFrame) -> DataFrame:
-    """Per restaurant city: its biggest restaurant and that restaurant's share of
-    the city's delivered revenue: city, top_restaurant, top_revenue,
-    city_revenue, top_share_pct. A plain aggregate (max_by + sum), so a city
-    holding a third of all restaurants is still combined map-side."""
+    """Every restaurant's share of its city's delivered revenue: city,
+    restaurant_id, name, revenue, city_revenue, share_pct. City totals are an
+    aggregate that is joined back, so no task holds a city's restaurants."""
     rev = restaurant_revenue(lines).join(restaurants.select("restaurant_id", "name", "city"),
                                          "restaurant_id", "inner")
-    order_key = F.struct(F.col("revenue_raw"), (-F.col("restaurant_id")).alias("neg_id"))
-    agg = rev.groupBy("city").agg(
-        F.max_by(F.struct("name", "revenue_raw"), order_key).alias("top"),
-        F.sum("revenue_raw").alias("city_raw"),
-    )
-    return agg.select(
-        "city",
-        F.col("top.name").alias("top_restaurant"),
-        money_out("top.revenue_raw").alias("top_revenue"),
+    total = rev.groupBy("city").agg(F.sum("revenue_raw").alias("city_raw"))
+    return rev.join(total, "city").select(
+        "city", "restaurant_id", "name", money_out("revenue_raw").alias("revenue"),
+        money_out("city_raw").alias("city_revenue"),
+        pct(F.col("revenue_raw"), F.col("city_raw"), 2).alias("share_pct"))
+
+
+def _rank_key():
+    """(revenue, lowest id) as one exact, order-preserving DECIMAL(38,0): whole
+    hundredths of cents * 10^19 + (2^63 - id). A decimal key keeps ``max_by`` in
+    hash aggregation, where a struct would force a sort."""
+    units = (F.col("revenue_raw") * F.lit(10000)).cast("decimal(19,0)")
+    low_id = F.lit(str(2 ** 63 - 1)).cast("decimal(19,0)") - F.col("restaurant_id").cast("decimal(19,0)")
+    return (units * F.lit(str(10 ** 18)).cast("decimal(19,0)") * F.lit(10).cast("decimal(2,0)") + low_id).cast("decimal(38,0)")
+
+
+def group_top_share(lines: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """Per restaurant city: its biggest restaurant and that restaurant's share of
+    the city's delivered revenue: city, top_restaurant, top_revenue,
+    city_revenue, top_share_pct. Plain aggregates, so a city holding a third of
+    all restaurants is still combined map-side."""
+    rev = restaurant_revenue(lines).join(restaurants.select("restaurant_id", "city"), "restaurant_id", "inner")
+    top = rev.groupBy("city").agg(
+        F.max_by("restaurant_id", _rank_key()).alias("restaurant_id"),
+        F.max("revenue_raw").alias("top_raw"), F.sum("revenue_raw").alias("city_raw"))
+    return top.join(restaurants.select("restaurant_id", "name"), "restaurant_id").select(
+        "city", F.col("name").alias("top_restaurant"), money_out("top_raw").alias("top_revenue"),
         money_out("city_raw").alias("city_revenue"),
-        pct(F.col("top.revenue_raw"), F.col("city_raw"), 2).alias("top_share_pct"),
-    ).orderBy("city")
+        pct(F.col("top_raw"), F.col("city_raw"), 2).alias("top_share_pct")).orderBy("city")
 
 
 # ----------------------------------------------------- cancellations ----
@@ -185,7 +196,8 @@ def cancellation_by_payment(orders: DataFrame) -> DataFrame:
                       money_out("risk").alias("revenue_at_risk")).orderBy(F.desc("cancel_rate_pct"))
 
 
-def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
+def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope = ALL,
+                          ordered: bool = True) -> DataFrame:
     """By user city and by payment method under the filter scope, in one pass
     (GROUPING SETS over one pre-aggregated join): dimension, value, delivered,
     cancelled, revenue_at_risk, cancel_rate_pct."""
@@ -196,13 +208,14 @@ def cancellation_filtered(orders: DataFrame, user_city: DataFrame, scope: Scope
     agg = joined.groupingSets([["city"], ["payment_method"]], "city", "payment_method").agg(
         F.sum("d").alias("delivered"), F.sum("c").alias("cancelled"),
         F.sum("risk").alias("risk"), F.grouping("city").alias("g_city"))
-    return agg.select(
+    out = agg.select(
         F.when(F.col("g_city") == 0, F.lit("city")).otherwise(F.lit("payment_method")).alias("dimension"),
         F.when(F.col("g_city") == 0, F.col("city")).otherwise(F.col("payment_method")).alias("value"),
         "delivered", "cancelled",
         money_out("risk").alias("revenue_at_risk"),
         pct(F.col("cancelled"), F.col("delivered") + F.col("cancelled"), 2).alias("cancel_rate_pct"),
-    ).orderBy("dimension", F.desc("cancel_rate_pct"), "value")
+    )
+    return out.orderBy("dimension", F.desc("cancel_rate_pct"), "value") if ordered else out
 
 
 def revenue_at_risk_total(orders: DataFrame) -> DataFrame:

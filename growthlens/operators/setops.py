@@ -20,11 +20,19 @@ def entities_without_activity(entities: DataFrame, activity: DataFrame,
     return entities.join(activity.select(*keys).distinct(), keys, "left_anti")
 
 
-def dataset_diff(a: DataFrame, b: DataFrame, side_col: str = "side") -> DataFrame:
-    """Rows of ``a`` missing from ``b`` and rows of ``b`` missing from ``a``,
-    keeping multiplicity (EXCEPT ALL both ways), tagged 'only_in_a' / 'only_in_b'.
-    Empty when the two datasets are equal as multisets."""
-    b = b.select(*a.columns)
-    left = a.exceptAll(b).withColumn(side_col, F.lit("only_in_a"))
-    right = b.exceptAll(a).withColumn(side_col, F.lit("only_in_b"))
-    return left.unionByName(right)
+def dataset_diff(a: DataFrame, b: DataFrame, side_col: str = "side",
+                 copies_col: str = "copies") -> DataFrame:
+    """Rows that ``a`` has more often than ``b`` or the other way round, tagged
+    'only_in_a' / 'only_in_b', with how many copies more. Empty when the two
+    are equal as multisets.
+
+    One pass: each row counts +1 or -1, and equal rows are summed, combined
+    map-side, so a row held a billion times is one row per map task. Copies are
+    a number, not repeated rows.
+    """
+    columns = a.columns
+    signed = (a.withColumn("_sign", F.lit(1).cast("long"))
+              .unionByName(b.select(*columns).withColumn("_sign", F.lit(-1).cast("long"))))
+    more = signed.groupBy(*columns).agg(F.sum("_sign").alias("_more")).where(F.col("_more") != 0)
+    return more.select(*columns, F.when(F.col("_more") > 0, "only_in_a").otherwise("only_in_b").alias(side_col),
+                       F.abs("_more").alias(copies_col))

@@ -3,21 +3,20 @@
 Contingency tables are aggregates Spark computes from the full tables; the
 tests then run as Column arithmetic over those few rows, keyed by
 ``test_id`` so any number of tests (one per segment, say) run in one plan.
-Only tail probabilities go through the stdlib pandas UDFs of
-``growthlens.functions.stats``.
+Tail probabilities are Column expressions of ``growthlens.functions.stats``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.fixed_values import (ALPHA, NOT_SIGNIFICANT, RAW_SIGNIFICANT, SAMPLE_SIZE_LIFTS_PP,
                                      SAMPLE_SIZE_POWER, STILL_SIGNIFICANT)
 from growthlens.functions.exprs import hundred
-from growthlens.functions.stats import chi2_sf_col, normal_quantile, normal_two_sided_col
+from growthlens.functions.stats import normal_quantile, with_chi2_sf, with_normal_two_sided
 
 
 # ------------------------------------------------------- contingency ----
@@ -84,54 +83,53 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
     default). A zero expected cell makes the test undefined: chi2 and p are
     NULL. A single group gives chi2 = 0, dof = 0, p = 1.
     """
+    out = chi_square_raw(tables, key, yates)
+    return out.select(*key, "groups", F.round("chi2_raw", 6).alias("chi2"), "dof",
+                      F.round("p_raw", 10).alias("p_value"), "yates_applied").orderBy(*key)
+
+
+def chi_square_raw(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool = True) -> DataFrame:
+    """``chi_square`` unrounded and unordered: key..., groups, dof, yates_applied,
+    chi2_raw, p_raw. Totals are an aggregate joined back (one row per test), and
+    all of it is double arithmetic, so neither the number of labels of a test
+    nor the size of its counts matters."""
     key = list(key)
-    # Totals as window sums over each test's own rows (a handful per test): the
-    # contingency input is computed once and the per-test aggregate below reuses
-    # the window's partitioning, no self-join.
-    w = Window.partitionBy(*key)
-    cells = tables.select(*key, "a", "b", F.count(F.lit(1)).over(w).alias("_r"),
-                          F.sum("a").over(w).alias("_A"), F.sum("b").over(w).alias("_B"))
-    n = F.col("_A") + F.col("_B")
-    row = F.col("a") + F.col("b")
-    ea = F.try_divide(row * F.col("_A"), n)
-    eb = F.try_divide(row * F.col("_B"), n)
+    totals = tables.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_r"), F.sum("a").cast("double").alias("_A"), F.sum("b").cast("double").alias("_B"))
+    cells = tables.select(*key, F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).join(totals, key)
+    row = (F.col("a") + F.col("b")) / (F.col("_A") + F.col("_B"))
+    total = F.col("_A") + F.col("_B")
     dof = (F.col("_r") - 1).cast("int")
     use_yates = (dof == 1) if yates else F.lit(False)
+    share = F.when(total > 0, row)
+    cells = cells.select(*key, "a", "b", "_r", (share * F.col("_A")).alias("_ea"), (share * F.col("_B")).alias("_eb"),
+                         dof.alias("dof"), use_yates.alias("yates_applied"))
+
+    def term(o, e):
+        d = F.abs(F.col(o) - F.col(e))
+        d = F.when(F.col("yates_applied"), F.greatest(d - F.lit(0.5), F.lit(0.0))).otherwise(d)
+        return F.try_divide(d * d, F.col(e))
+
+    per = cells.groupBy(*key, F.col("_r").alias("groups"), "dof", "yates_applied").agg(
+        F.min(F.least("_ea", "_eb")).alias("_emin"), F.sum(term("a", "_ea") + term("b", "_eb")).alias("_chi2"))
+    chi2 = F.when(F.col("dof") == 0, F.lit(0.0)).when(F.col("_emin") > 0, F.col("_chi2"))
+    out = with_chi2_sf(per.select(*key, "groups", "dof", "yates_applied", chi2.alias("chi2_raw")), "chi2_raw", "dof", "p_raw")
+    return out.withColumn("p_raw", F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(F.col("p_raw")))
+
 
-    def dev(o, e):
-        d = F.abs(F.col(o) - e)
-        return F.when(use_yates, F.greatest(d - F.lit(0.5), F.lit(0.0))).otherwise(d)
-
-    term = F.try_divide(dev("a", ea) ** 2, ea) + F.try_divide(dev("b", eb) ** 2, eb)
-    per = cells.groupBy(*key).agg(
-        F.first("_r").alias("groups"),
-        F.first(dof).alias("dof"),
-        F.first(use_yates).alias("yates_applied"),
-        F.min(F.least(ea, eb)).alias("_emin"),
-        F.sum(term).alias("_chi2"))
-    chi2 = (F.when(F.col("dof") == 0, F.lit(0.0))
-             .when(F.col("_emin") > 0, F.col("_chi2")))
-    out = per.select(*key, "groups", "dof", "yates_applied", chi2.alias("chi2_raw"))
-    # p is projected before any output reuses an input name: column references
-    # inside the series' lambdas would otherwise bind to a same-named alias.
-    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(chi2_sf_col(F.col("chi2_raw"), F.col("dof")))
-    with_p = out.withColumn("p_raw", p)
-    return with_p.select(*key, "groups", F.round("chi2_raw", 6).alias("chi2"), "dof",
-                         F.round("p_raw", 10).alias("p_value"), "yates_applied").orderBy(*key)
-
-
-def multiple_comparison_verdicts(tests: DataFrame, m: int | None = None,
-                                 alpha: float = ALPHA) -> DataFrame:
+def multiple_comparison_verdicts(tests: DataFrame, m: int | None = None, alpha: float = ALPHA,
+                                 p: str = "p_value") -> DataFrame:
     """Per test: the naive verdict at alpha, the Bonferroni verdict at alpha/m and
-    the family-wise error 1 - (1 - alpha)^m. m defaults to the number of tests."""
-    fam = F.lit(m) if m else F.count(F.lit(1)).over(Window.partitionBy())  # one row per test
-    with_m = tests.withColumn("family_size", fam.cast("int"))
+    the family-wise error 1 - (1 - alpha)^m. m defaults to the number of tests.
+    Verdicts compare ``p`` as it is; only the shown p_value is rounded."""
+    family = F.lit(m) if m else tests.select(F.count(F.lit(1))).scalar()
+    with_m = tests.withColumn("family_size", family.cast("int"))
     threshold = F.lit(alpha) / F.col("family_size")
-    survives = F.col("p_value") < threshold
+    survives = F.col(p) < threshold
     return with_m.select(
-        "test_id", "p_value", "family_size",
+        "test_id", F.round(p, 10).alias("p_value"), "family_size",
         threshold.alias("bonferroni_alpha"),
-        F.when(F.col("p_value") < alpha, RAW_SIGNIFICANT).otherwise(NOT_SIGNIFICANT).alias("raw_verdict"),
+        F.when(F.col(p) < alpha, RAW_SIGNIFICANT).otherwise(NOT_SIGNIFICANT).alias("raw_verdict"),
         F.when(survives, STILL_SIGNIFICANT).otherwise(NOT_SIGNIFICANT).alias("corrected_verdict"),
         F.coalesce(survives, F.lit(False)).alias("survives_correction"),
         F.round(F.lit(1.0) - F.pow(F.lit(1.0 - alpha), F.col("family_size")), 6)
@@ -157,7 +155,7 @@ def two_proportion_ztest(arms: DataFrame, control: str = "control",
     z = F.try_divide(p1 - p2, se)
     with_z = row.select("n_control", "converted_control", "n_treatment", "converted_treatment",
                         (hundred() * p1).alias("rc"), (hundred() * p2).alias("rt"), z.alias("z"))
-    with_p = with_z.withColumn("p_raw", normal_two_sided_col(F.col("z")))
+    with_p = with_normal_two_sided(with_z, "z", "p_raw")
     return with_p.select(
         "n_control", "converted_control", "n_treatment", "converted_treatment",
         F.round("rc", 2).alias("control_rate_pct"), F.round("rt", 2).alias("treatment_rate_pct"),
@@ -195,5 +193,5 @@ def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = SAMPLE
 
 
 __all__ = ["contingency_by_city", "contingency_by_payment", "order_contingencies", "contingency_from",
-           "tag", "chi_square", "multiple_comparison_verdicts", "two_proportion_ztest",
+           "tag", "chi_square", "chi_square_raw", "multiple_comparison_verdicts", "two_proportion_ztest",
            "required_sample_size"]

@@ -7,6 +7,7 @@ DuckDB SQL formulation of the same question.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from growthlens.functions.scope import Scope, filter_scope
 from growthlens.operators import funnel, outcome, ranking, retention, revenue, setops, testing
-from growthlens.sources import adhoc, catalog, views
-from growthlens.sources.tables import Tables
+from growthlens.sources import adhoc, catalog, sinks, views
+from growthlens.sources.tables import FIXTURE_TABLES, Tables
 
 # Parameters of the registered instances (fixed, shared with the oracle).
 SCOPE = Scope(
@@ -30,39 +31,23 @@ DRILL_CITY = "NATION_9"
 TWO_PAYMENTS = ("1-URGENT", "5-LOW")
 FROM_STEP, TO_STEP = "signup", "purchase"
 CORRELATION_RANGE = ("1995-01", "1997-12")
-PLAYGROUND_SQL = """
-SELECT u.city,
-       count(o.order_id) AS orders,
-       round(sum(o.order_amount) / count(o.order_id), 2) AS avg_order_value
-FROM {orders} AS o
-INNER JOIN {users} AS u USING (user_id)
-WHERE o.order_status = :status
-GROUP BY u.city
-ORDER BY 3 DESC"""
-ROW_COUNT_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
-
-
-_TABLES: dict[tuple[str, str], Tables] = {}
-
-
-def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """One lazy Tables accessor per (session, directory): raw-table plans are
-    immutable, so queries share them (and their dimension size checks)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
-        app = f"session-{id(spark)}"
-    key = (app, sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = Tables(spark, sf_dir)
-    return _TABLES[key]
+# How much buyers of a city spend, and how many of them came back.
+BUYERS_SQL = """
+WITH spend AS (
+  SELECT user_id, count(*) AS n, sum(CAST(order_amount AS DECIMAL(18,2))) AS paid
+  FROM {orders} WHERE order_status = :status GROUP BY user_id)
+SELECT city, count(*) AS buyers, sum(n) AS orders,
+       round(CAST(sum(paid) AS DOUBLE) / count(*), 2) AS spend_per_buyer,
+       round(100.0D * count_if(n > 1) / count(*), 2) AS repeat_buyer_pct
+FROM spend JOIN {users} USING (user_id)
+GROUP BY city"""
 
 
 class Ctx:
     """Canonical views over one fixture directory (built lazily, once)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.t = _tables(spark, sf_dir)
+        self.t = Tables(spark, sf_dir)
         self._memo: dict[str, DataFrame] = {}
 
     def _get(self, name, fn):
@@ -114,17 +99,18 @@ def _contingency_tables(c: Ctx) -> DataFrame:
     return orders_side.unionByName(plat).unionByName(first)
 
 
-def _sql_playground_example(c: Ctx) -> DataFrame:
-    """The ad-hoc SQL example (orders per user city and average delivered
-    order value) through spark.sql with a bound status and a 500-row cap."""
+def _sql_buyers_by_city(c: Ctx) -> DataFrame:
+    """An ad-hoc question through spark.sql with a bound status: all rows."""
     frames = adhoc.canonical_frames(c.t)
-    df = adhoc.run_sql(c.t.spark, PLAYGROUND_SQL, {"status": "delivered"},
-                       {"orders": frames["orders"], "users": frames["users"]})
-    return adhoc.capped(df, adhoc.ROW_LIMIT)
+    return adhoc.run_sql(c.t.spark, BUYERS_SQL, {"status": "delivered"},
+                         {"orders": frames["orders"], "users": frames["users"]})
 
 
-def _chi_square_tests(c: Ctx) -> DataFrame:
-    return testing.chi_square(_contingency_tables(c))
+def _written_and_read(c: Ctx) -> DataFrame:
+    """The monthly revenue as written by the sink and read back."""
+    path = f"{c.t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/growthlens-monthly-{uuid.uuid4().hex}"
+    sinks.write_result(revenue.gmv_mom(c.orders), path)
+    return c.t.spark.read.parquet(path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -149,11 +135,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retention.exposure_baseline(c.activity, c.orders), *CORRELATION_RANGE)),
     # GMV
     "gmv_mom": _q(lambda c: revenue.gmv_mom(c.orders)),
+    "gmv_mom_written": _q(_written_and_read),
     "gmv_monthly_filtered": _q(lambda c: revenue.gmv_monthly_filtered(c.orders, c.user_city, SCOPE)),
     "city_leaderboard": _q(lambda c: revenue.city_leaderboard(c.orders, c.user_city, MONTHS_ONLY)),
     "top_n_per_group": _q(lambda c: revenue.top_n_per_group(c.lines, c.restaurants)),
-    "top_k_in_group": _q(lambda c: revenue.top_k_in_group(c.lines, c.restaurants, DRILL_CITY)),
+    "top_k_in_group": _q(lambda c: revenue.top_k_in_group(
+        views.order_lines(c.t), c.restaurants, DRILL_CITY,
+        delivered=views.delivered_orders(c.t).select("order_id"))),
     "group_share": _q(lambda c: revenue.group_share(c.lines, c.restaurants)),
+    "group_top_share": _q(lambda c: revenue.group_top_share(c.lines, c.restaurants)),
     # concentration
     "power_users": _q(lambda c: ranking.power_users(c.orders)),
     "pareto_split": _q(lambda c: ranking.pareto_split(c.orders)),
@@ -178,15 +168,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contingency_platform": _q(lambda c: funnel.conversion_contingency(c.events)),
     "contingency_first_order": _q(lambda c: outcome.first_event_outcome(c.orders).select(
         "first_order_bucket", "reordered", "did_not_reorder")),
-    "chi_square_tests": _q(_chi_square_tests),
+    "chi_square_tests": _q(lambda c: testing.chi_square(_contingency_tables(c))),
     "chi_square_two_payments": _q(lambda c: testing.chi_square(testing.tag(
         testing.contingency_by_payment(c.orders, TWO_PAYMENTS, ordered=False), "payment_method"))),
     "chi_square_cancellation_filtered": _q(lambda c: testing.chi_square(
-        revenue.cancellation_filtered(c.orders, c.user_city, SCOPE).select(
+        revenue.cancellation_filtered(c.orders, c.user_city, SCOPE, ordered=False).select(
             F.col("dimension").alias("test_id"), F.col("value").alias("label"),
             F.col("delivered").alias("a"), F.col("cancelled").alias("b")))),
     "multiple_comparison_verdicts": _q(
-        lambda c: testing.multiple_comparison_verdicts(_chi_square_tests(c))),
+        lambda c: testing.multiple_comparison_verdicts(
+            testing.chi_square_raw(_contingency_tables(c)), p="p_raw")),
     "ab_assign": _q(lambda c: funnel.ab_arms(c.events, FROM_STEP, TO_STEP)),
     "two_proportion_ztest": _q(lambda c: testing.two_proportion_ztest(
         funnel.ab_arms(c.events, FROM_STEP, TO_STEP))),
@@ -195,7 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "required_sample_size_by_platform": _q(lambda c: testing.required_sample_size(
         funnel.step_pair_baseline(c.events, FROM_STEP, TO_STEP, by=("platform",)), (6.0,), (0.8,),
         by=("platform",))),
-    "sql_avg_order_value_by_city": _q(_sql_playground_example),
+    "sql_buyers_by_city": _q(_sql_buyers_by_city),
     # set-style
     "users_without_delivered_order": _q(lambda c: setops.entities_without_activity(
         c.user_city, views.delivered_orders(c.t), "user_id")),
@@ -204,7 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                           F.col("o_orderstatus").alias("status")),
         c.t.lineitem.select(F.col("l_orderkey").alias("order_id")), "order_id")),
     "table_row_counts": _q(lambda c: catalog.table_row_counts(
-        {name: c.t.table(name) for name in ROW_COUNT_TABLES})),
+        {name: c.t.table(name) for name in FIXTURE_TABLES})),
     "dataset_diff": _q(lambda c: setops.dataset_diff(
         c.orders.where(F.col("is_delivered")).select("user_id", "payment_method"),
         c.orders.where(~F.col("is_delivered")).select("user_id", "payment_method"))),

@@ -7,7 +7,6 @@ exist so tests and ``bench.py`` configure Spark the same way.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,59 +25,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("GROWTHLENS_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Make sure reliable checkpoints have a directory.
-
-    On a cluster the shared folder comes from ``spark.checkpoint.dir``; it is
-    read from the session and never replaced. Only a local-mode session with
-    no setting at all gets a private scratch folder (tests, laptops).
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a shared folder "
-            "(HDFS/S3/ABFS) so checkpoints survive executor loss")
-    scratch = tempfile.mkdtemp(prefix="growthlens-ckpt-")
-    sc.setCheckpointDir(scratch)
-    return scratch
-
-
-def cluster_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Session settings sized for a job reading ``input_bytes`` on ``cores``
-    executor cores: shuffle partitions so that each holds about
-    ``target_partition_bytes`` (at least two waves of tasks), 128 MB scan
-    splits, AQE coalescing/skew splitting around the same advisory size, and
-    runtime bloom filters for the selective fact-to-fact semi joins."""
-    partitions = max(2 * cores, -(-input_bytes // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(128 << 20),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
-        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    }

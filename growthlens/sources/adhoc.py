@@ -3,16 +3,16 @@
 ``spark.sql`` already is the query engine: DataFrames are passed as ``{name}``
 placeholders (query-scoped views, nothing registered globally), values as
 ``:name`` parameter markers (never spliced into the text), and the parser
-rejects multi-statement text. ``capped`` fetches at most ``row_limit`` rows and
-flags whether more existed (limit + 1).
+rejects multi-statement text. ``capped`` is for pages that show a bounded number
+of rows; no registered query uses it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from growthlens.sources import views
@@ -25,7 +25,7 @@ def canonical_frames(t: Tables) -> dict[str, DataFrame]:
     """The analytic model's tables, by the names ad-hoc SQL uses."""
     return {
         "orders": views.orders(t),
-        "users": views.users(t),
+        "users": views.user_city(t),
         "restaurants": views.restaurants(t),
         "order_lines": views.delivered_lines(t),
         "app_events": views.app_events(t),
@@ -39,11 +39,15 @@ def run_sql(spark: SparkSession, sql: str, args: Mapping[str, Any] | None = None
     return spark.sql(sql, args=dict(args or {}), **dict(frames or {}))
 
 
-def capped(df: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """At most ``row_limit`` rows of ``df`` plus a ``truncated`` flag.
+def capped(df: DataFrame, order: Sequence[Column], row_limit: int = ROW_LIMIT) -> DataFrame:
+    """The first ``row_limit`` rows of ``df`` by ``order``, plus a ``truncated``
+    flag. ``order`` must be total (end it with a unique key), so that which rows
+    are shown does not depend on the run.
 
     The window counts the at most row_limit + 1 rows the limit lets through.
     """
-    head = df.limit(row_limit + 1)
+    if not order:
+        raise ValueError("a capped fetch needs an order")
+    head = df.orderBy(*order).limit(row_limit + 1)
     flagged = head.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > row_limit)
-    return flagged.limit(row_limit)
+    return flagged.orderBy(*order).limit(row_limit)

@@ -17,8 +17,7 @@ BOUND_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem"
 class Tables:
     """Lazy accessor ``tables.orders`` → DataFrame over ``{root}/orders.parquet``,
     or over the catalog table ``{database}.orders`` when ``database`` is given
-    (e.g. tables written bucketed by ``sources.layout``; bucketed scans let
-    joins on the bucket key skip the shuffle).
+    (tables bucketed by a join key let joins on it skip the shuffle).
 
     ``root`` may be any Hadoop-compatible URI (local dir, HDFS, S3, ABFS).
     """
@@ -30,7 +29,6 @@ class Tables:
         self.database = database
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
-        self.memo: dict[str, DataFrame] = {}   # derived frames, e.g. checked dimensions
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"

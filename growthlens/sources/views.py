@@ -30,12 +30,8 @@ from growthlens.fixed_values import (CANCELLED, CANCELLED_CODE, DELIVERED, DELIV
                                      ENTITY, FIRST_ORDER_LABELS, FIRST_ORDER_SPLITS, FUNNEL_STEPS,
                                      PLATFORMS)
 from growthlens.functions.exprs import money
-from growthlens.functions.joins import bounded_broadcast
 from growthlens.sources.tables import Tables
 
-# nation / region are fixed-size dimensions (25 / 5 rows); the bound is checked.
-_DIM_MAX_ROWS = 10_000
-
 
 def orders(t: Tables) -> DataFrame:
     """One row per finished order."""
@@ -60,23 +56,15 @@ def delivered_orders(t: Tables) -> DataFrame:
     return orders(t).where(F.col("is_delivered"))
 
 
-def _dimension(t: Tables, name: str, df_fn) -> DataFrame:
-    """A dimension frame, broadcast only after its row bound is checked (once per Tables)."""
-    if name not in t.memo:
-        t.memo[name] = bounded_broadcast(df_fn(), _DIM_MAX_ROWS)
-    return t.memo[name]
-
-
 def nations(t: Tables) -> DataFrame:
-    return _dimension(t, "nation", lambda: t.nation.select(
-        "n_nationkey", F.col("n_name").alias("city"), "n_regionkey"))
+    """The city dimension; joins with it carry no hint, Spark knows its size."""
+    return t.nation.select("n_nationkey", F.col("n_name").alias("city"), "n_regionkey")
 
 
 def user_city(t: Tables) -> DataFrame:
-    """(user_id, name, city) for every customer; nation is a broadcast lookup."""
+    """(user_id, name, city) for every customer."""
     c = t.customer.select(
         F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), "c_nationkey")
-    # Name-based conditions: the memoized nation frame may appear more than once in a plan.
     return (c.join(nations(t), F.col("c_nationkey") == F.col("n_nationkey"), "inner")
              .select("user_id", "name", "city"))
 
@@ -120,25 +108,27 @@ def restaurants(t: Tables) -> DataFrame:
     s = t.supplier.select(
         F.col("s_suppkey").alias("restaurant_id"), F.col("s_name").alias("name"),
         "s_nationkey", F.col("s_acctbal").alias("rating"))
-    r = _dimension(t, "region", lambda: t.region.select(
-        "r_regionkey", F.col("r_name").alias("cuisine")))
+    r = t.region.select("r_regionkey", F.col("r_name").alias("cuisine"))
     return (s.join(nations(t), F.col("s_nationkey") == F.col("n_nationkey"), "inner")
              .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "inner")
              .select("restaurant_id", "name", "city", "cuisine", "rating"))
 
 
+def order_lines(t: Tables) -> DataFrame:
+    """(order_id, restaurant_id, revenue) for every line, of whatever order."""
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("restaurant_id"),
+        (money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
+        .alias("revenue"))
+
+
 def delivered_lines(t: Tables) -> DataFrame:
-    """(order_id, restaurant_id, revenue) for lines of delivered orders.
+    """``order_lines`` of delivered orders.
 
     A left-semi join: the order side contributes only its key, and the join
     keeps each line at most once whatever the order side holds.
     """
-    li = t.lineitem.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("restaurant_id"),
-        (money("l_extendedprice") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")))
-        .alias("revenue"))
-    keys = delivered_orders(t).select("order_id")
-    return li.join(keys, "order_id", "left_semi")
+    return order_lines(t).join(delivered_orders(t).select("order_id"), "order_id", "left_semi")
 
 
 def platform_of(props: str = "props"):

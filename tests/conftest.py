@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from growthlens.session import ensure_checkpoint_dir  # noqa: E402
-
 SF_SMALL = "/root/testdata/sf0.001"
 SF_GATE = "/root/testdata/sf0.01"
 
@@ -21,5 +19,4 @@ def spark():
          .config("spark.ui.enabled", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
     yield s

@@ -173,22 +173,40 @@ def test_top_n_keeps_dense_rank_ties(spark):
                                  "restaurant_id long, name string, city string, cuisine string, rating double")
     got = revenue.top_n_per_group(lines, rest, 2).collect()
     assert sorted((r.name, r.city_rank) for r in got) == [("r1", 1), ("r2", 1), ("r3", 2)]
-    share = revenue.group_share(lines, rest).collect()[0]
-    assert share.top_restaurant == "r1" and share.top_share_pct == round(100 * 10 / 26, 2)
+    top = revenue.group_top_share(lines, rest).collect()[0]
+    assert top.top_restaurant == "r1" and top.top_share_pct == round(100 * 10 / 26, 2)
+    shares = {r.name: r.share_pct for r in revenue.group_share(lines, rest).collect()}
+    assert shares == {f"r{i}": round(100 * v / 26, 2) for i, v in ((1, 10), (2, 10), (3, 5), (4, 1))}
     top1 = revenue.top_k_in_group(lines, rest, "C", 1).collect()
     assert [r.name for r in top1] == ["r1"]
 
 
-def test_top_k_in_group_both_paths_agree(spark, monkeypatch):
+def test_top_k_in_group_counts_delivered_orders_only(spark):
     lines = spark.createDataFrame([(1, 1, 10.0), (2, 1, 5.0), (2, 2, 30.0), (3, 3, 7.0), (4, 4, 99.0)],
                                   "order_id long, restaurant_id long, revenue double")
     rest = spark.createDataFrame([(1, "r1", "C", "x", 1.0), (2, "r2", "C", "x", 2.0),
                                   (3, "r3", "C", "y", 3.0), (4, "r4", "D", "y", 4.0)],
                                  "restaurant_id long, name string, city string, cuisine string, rating double")
-    broadcast_path = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2).collect()]
-    monkeypatch.setattr(revenue, "GROUP_BROADCAST_MAX_ROWS", 0)
-    shuffle_path = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2).collect()]
-    assert broadcast_path == shuffle_path == [("r2", "x", 2.0, 1, 30.0), ("r1", "x", 1.0, 2, 15.0)]
+    every = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2).collect()]
+    assert every == [("r2", "x", 2.0, 1, 30.0), ("r1", "x", 1.0, 2, 15.0)]
+    delivered = spark.createDataFrame([(1,), (3,), (4,)], "order_id long")
+    some = [tuple(r) for r in revenue.top_k_in_group(lines, rest, "C", 2, delivered).collect()]
+    assert some == [("r1", "x", 1.0, 1, 10.0), ("r3", "y", 3.0, 1, 7.0)]
+
+
+def test_dataset_diff_counts_copies(spark):
+    from growthlens.operators import setops
+
+    a = spark.createDataFrame([(1, "x")] * 5 + [(2, "y"), (None, "n"), (3, "z")], "k long, v string")
+    b = spark.createDataFrame([("x", 1)] * 2 + [("y", 2)] * 4 + [("z", 3)], "v string, k long")
+    got = {(r.k, r.v, r.side, r.copies) for r in setops.dataset_diff(a, b).collect()}
+    assert got == {(1, "x", "only_in_a", 3), (2, "y", "only_in_b", 3), (None, "n", "only_in_a", 1)}
+    assert setops.dataset_diff(a, a).count() == 0
+    # A row that makes up most of the data is counted, never made again.
+    hot = spark.range(200_000, numPartitions=8).selectExpr("IF(id % 10 = 0, id, 7) AS k", "'h' AS v")
+    plan = setops.dataset_diff(hot, a)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    assert {(r.k, r.copies) for r in setops.dataset_diff(hot, a).where("k = 7").collect()} == {(7, 180_000)}
 
 
 def test_pct_rounds_half_up_and_is_null_on_zero(spark):

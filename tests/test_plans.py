@@ -115,3 +115,47 @@ def test_runtime_bloom_filter_prunes_lines_of_undelivered_orders(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "might_contain" in text and "bloom_filter_agg" in text
+
+
+def _without_broadcasts(spark, fn):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return fn()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_citys_lines_are_filtered_below_the_order_join(spark):
+    """Only the city's lines reach the exchange by order: of the two semi joins
+    the one on restaurant ids is the lower, next to the line scan."""
+    text = _without_broadcasts(spark, lambda: plan_text(_q(spark, "top_k_in_group")))
+    by_order = re.search(r"Left keys \[1\]: \[order_id#\d+L\]\nRight keys \[1\]: \[order_id#\d+L\]", text)
+    by_restaurant = re.search(r"Left keys \[1\]: \[restaurant_id#\d+L\]\nRight keys \[1\]: \[restaurant_id#\d+L\]\nJoin type: LeftSemi", text)
+    assert by_order and by_restaurant
+    number = lambda m: int(re.findall(r"\n\((\d+)\) SortMergeJoin", text[:m.start()])[-1])
+    assert number(by_restaurant) < number(by_order)   # numbered from the leaves up
+
+
+def test_shares_and_diff_stay_in_hash_aggregation(spark):
+    for name in ("group_share", "group_top_share", "dataset_diff", "sql_buyers_by_city"):
+        assert "SortAggregate" not in plan_text(_q(spark, name)), name
+
+
+def test_no_registered_query_is_cut(spark):
+    """The only limits are the top-k features."""
+    for name in QUERIES:
+        text = plan_text(_q(spark, name))
+        if name not in ("power_users", "top_k_in_group"):
+            assert "GlobalLimit" not in text and "TakeOrderedAndProject" not in text, name
+
+
+def test_ad_hoc_query_aggregates_per_user_before_the_join(spark):
+    ops = _without_broadcasts(spark, lambda: operator_tree(_q(spark, "sql_buyers_by_city")))
+    join_at = next(i for i, o in enumerate(ops) if "Join" in o)
+    assert any("Aggregate" in o for o in ops[join_at + 1:])
+
+
+def test_chi_square_inner_steps_are_not_sorted(spark):
+    for name in ("multiple_comparison_verdicts", "chi_square_cancellation_filtered"):
+        assert plan_text(_q(spark, name)).count("rangepartitioning") <= 1, name

@@ -14,7 +14,7 @@ from frames import orders_frame
 def test_distributed_ntile_matches_window(spark, n, parts):
     df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 37).cast("double").alias("v"))
     order = [F.desc("v"), F.asc("k")]
-    got = ranking.distributed_ntile(df, 20, order, num_partitions=parts)
+    got = ranking.distributed_ntile(df, 20, "v", "k", fanout=parts, key_fanout=3)
     expect = df.select("k", F.ntile(20).over(Window.orderBy(*order)).alias("t"),
                        F.row_number().over(Window.orderBy(*order)).alias("i"))
     joined = got.join(expect, "k", "full")
@@ -23,9 +23,22 @@ def test_distributed_ntile_matches_window(spark, n, parts):
                         | F.col("tile").isNull() | F.col("t").isNull()).count() == 0
 
 
+@pytest.mark.parametrize("fanout", [2, 32])
+def test_ntile_where_most_rows_are_tied(spark, fanout):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 != 0, 5).otherwise(F.col("id") % 11)
+                                  .cast("decimal(28,2)").alias("v"))
+    order = [F.desc("v"), F.asc("k")]
+    expect = df.select("k", F.ntile(20).over(Window.orderBy(*order)).alias("t"))
+    got = ranking.distributed_ntile(df, 20, "v", "k", fanout=fanout).join(expect, "k")
+    assert got.count() == 3000 and got.where("tile <> t").count() == 0
+    # The tied rows are spread over tasks.
+    largest = ranking.distributed_ntile(df, 20, "v", "k", fanout=fanout)
+    assert "checkpoint" not in largest._jdf.queryExecution().toString()
+
+
 def test_first_ventile_size_of_1561_users(spark):
     df = spark.range(1561).select(F.col("id").alias("k"), F.rand(7).alias("v"))
-    got = ranking.distributed_ntile(df, 20, [F.desc("v"), F.asc("k")], num_partitions=6)
+    got = ranking.distributed_ntile(df, 20, "v", "k")
     assert got.where("tile = 1").count() == 79
 
 

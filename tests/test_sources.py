@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from growthlens.sources import adhoc, catalog, sinks, views
 from growthlens.sources.tables import Tables
@@ -27,11 +28,16 @@ def test_run_sql_rejects_two_statements(spark):
 
 @pytest.mark.parametrize("n,limit,rows,truncated", [(3, 5, 3, False), (5, 5, 5, False), (6, 5, 5, True)])
 def test_capped_fetch(spark, n, limit, rows, truncated):
-    got = adhoc.capped(spark.range(n), limit).collect()
-    assert len(got) == rows
+    got = adhoc.capped(spark.range(n).repartition(3), [F.desc("id")], limit).collect()
+    assert [r.id for r in got] == list(range(n - 1, n - 1 - rows, -1))
     assert all(r.truncated == truncated for r in got)
 
 
+def test_capped_fetch_needs_an_order(spark):
+    with pytest.raises(ValueError):
+        adhoc.capped(spark.range(3), [])
+
+
 def test_row_counts_and_schema_listing(spark):
     t = Tables(spark, SF_SMALL)
     got = {r.table_name: r.n for r in catalog.table_row_counts({"nation": t.nation, "region": t.region}).collect()}
@@ -46,11 +52,3 @@ def test_write_result_round_trip(spark):
     sinks.write_result(df, out, partition_by=["k"])
     back = spark.read.parquet(out)
     assert sorted((r.k, r.v) for r in back.collect()) == [("a", 1), ("b", 2)]
-
-
-def test_cluster_conf_sizes_partitions():
-    from growthlens.session import cluster_conf
-    conf = cluster_conf(100 << 40, 8000)          # 100 TB on 8000 cores
-    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
-    small = cluster_conf(1 << 30, 8)
-    assert int(small["spark.sql.shuffle.partitions"]) == 16

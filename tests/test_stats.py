@@ -8,6 +8,8 @@ import pytest
 from growthlens.functions import stats
 from growthlens.operators import testing
 
+import tails
+
 
 def _tables(spark, rows):
     return spark.createDataFrame(rows, "test_id string, label string, a long, b long")
@@ -42,7 +44,7 @@ def test_yates_on_two_by_two(spark):
     chi = sum((abs(obs[i][j] - rows[i] * cols[j] / n) - 0.5) ** 2 / (rows[i] * cols[j] / n)
               for i in range(2) for j in range(2))
     assert r.chi2 == pytest.approx(chi, abs=1e-6)
-    assert r.p_value == pytest.approx(stats.chi2_sf_scalar(chi, 1), abs=1e-8)
+    assert r.p_value == pytest.approx(tails.chi2_sf_scalar(chi, 1), abs=1e-8)
 
 
 def test_one_group_and_zero_column(spark):
@@ -90,13 +92,13 @@ def test_sample_size_golden(spark):
 
 @pytest.mark.parametrize("t,nu", [(12.706, 1), (2.306, 8), (2.262, 9), (2.086, 20)])
 def test_t_tail_table_values(t, nu):
-    assert stats.t_two_sided_scalar(t, nu) == pytest.approx(0.05, abs=2e-4)
+    assert tails.t_two_sided_scalar(t, nu) == pytest.approx(0.05, abs=2e-4)
 
 
 def test_correlation_p_golden():
     r, n = -0.93, 11
     t = r * math.sqrt((n - 2) / (1 - r * r))
-    assert stats.t_two_sided_scalar(t, n - 2) == pytest.approx(3.4e-5, rel=0.05)
+    assert tails.t_two_sided_scalar(t, n - 2) == pytest.approx(3.4e-5, rel=0.05)
 
 
 @pytest.mark.parametrize("k", range(1, 9))
@@ -110,8 +112,8 @@ def test_chi2_tail_matches_series_definition(k):
     c = 1.0 / (2 ** (k / 2) * math.gamma(k / 2))
     dens = lambda v: c * v ** (k / 2 - 1) * math.exp(-v / 2)
     integral = h * (sum(dens(x + i * h) for i in range(1, steps)) + (dens(x) + dens(hi)) / 2)
-    assert stats.chi2_sf_scalar(x, k) == pytest.approx(integral, rel=1e-6)
-    assert stats.chi2_sf_scalar(0.0, k) == 1.0
+    assert tails.chi2_sf_scalar(x, k) == pytest.approx(integral, rel=1e-6)
+    assert tails.chi2_sf_scalar(0.0, k) == 1.0
 
 
 def test_chi_square_matches_spark_ml_on_row_level_data(spark):
@@ -153,20 +155,59 @@ def test_p_value_uses_the_unrounded_statistic(spark):
     n = sa + sb
     chi = sum((x - (x + y) * sa / n) ** 2 / ((x + y) * sa / n) + (y - (x + y) * sb / n) ** 2 / ((x + y) * sb / n)
               for x, y in zip(a, b))
-    assert r.p_value == round(stats.chi2_sf_scalar(chi, 4), 10)
+    assert r.p_value == round(tails.chi2_sf_scalar(chi, 4), 10)
 
 
-def test_spark_tails_match_the_python_reference(spark):
-    from pyspark.sql import functions as F
-    rows = [(x, k) for x in (0.0, 0.01, 0.4473, 1.7535, 3.7, 11.4945, 38.76, 80.0, 200.0, 700.0)
-            for k in (1, 2, 3, 4, 5, 24, 25, 101)]
-    got = spark.createDataFrame(rows, "x double, k int").select(
-        "x", "k", stats.chi2_sf_col(F.col("x"), F.col("k")).alias("p")).collect()
-    assert max(abs(r.p - stats.chi2_sf_scalar(r.x, r.k)) for r in got) < 1e-13
-    got = spark.createDataFrame([(z,) for z in (0.0, 0.5, -1.30535, 2.0, 3.5, 6.0, 9.5)], "z double") \
-        .select("z", stats.normal_two_sided_col(F.col("z")).alias("p")).collect()
-    assert max(abs(r.p - stats.normal_two_sided_scalar(r.z)) for r in got) < 1e-13
-    got = spark.createDataFrame([(t, n) for t in (0.0, 0.7, 2.306, -5.3, 12.7) for n in (1, 2, 3, 8, 9, 67, 68)],
-                                "t double, nu int") \
-        .select("t", "nu", stats.t_two_sided_col(F.col("t"), F.col("nu")).alias("p")).collect()
-    assert max(abs(r.p - stats.t_two_sided_scalar(r.t, r.nu)) for r in got) < 1e-13
+def _close(got, want, rel):
+    return got == pytest.approx(want, rel=rel, abs=1e-300)
+
+
+def test_chi_square_tail(spark):
+    rows = [(x, k) for x in (0.0, 0.01, 0.4473, 1.7535, 3.7, 11.4945, 38.76, 80.0, 200.0, 700.0) for k in (1, 2, 3, 4, 5, 24, 25, 101)]
+    rows += [(k * f, k) for k in (1500, 1600, 1601, 2000, 5000) for f in (0.9, 0.95, 1.0, 1.05, 1.2)]
+    df = spark.createDataFrame([(float(x), k) for x, k in rows], "x double, k int")
+    for r in stats.with_chi2_sf(df, "x", "k", "p").collect():
+        assert _close(r.p, tails.chi2_sf_scalar(r.x, r.k), 1e-9), (r.x, r.k)
+
+
+def test_normal_tail_keeps_relative_precision(spark):
+    df = spark.createDataFrame([(z,) for z in (0.0, 0.5, -1.30535, 2.0, 2.8, 2.9, 3.5, 6.0, 8.0, 8.5, 9.0, -10.0, 12.0, 20.0, None)], "z double")
+    for r in stats.with_normal_two_sided(df, "z", "p").collect():
+        assert r.p is None if r.z is None else _close(r.p, tails.normal_two_sided_scalar(r.z), 1e-11), r.z
+
+
+def test_student_tail_keeps_relative_precision(spark):
+    df = spark.createDataFrame([(float(t), n) for t in (0, 0.7, 1.99, 2.01, 2.306, -5.3, 12.7, 40) for n in (1, 2, 3, 8, 9, 67, 68, 900)], "t double, nu int")
+    for r in stats.with_t_two_sided(df, "t", "nu", "p").collect():
+        assert _close(r.p, tails.t_two_sided_scalar(r.t, r.nu, 20_000), 1e-6), (r.t, r.nu)
+    none = stats.with_t_two_sided(spark.createDataFrame([(None, 3), (1.0, 0), (1.0, None)], "t double, nu int"), "t", "nu", "p")
+    assert {r.p for r in none.collect()} == {None}
+
+
+def test_chi_square_of_very_large_counts(spark):
+    rows = [("big", "x", 6_000_000_000, 4_000_000_000), ("big", "y", 6_000_100_000, 3_999_900_000),
+            ("huge", "x", 10**17, 10**17), ("huge", "y", 10**17, 10**17), ("huge", "z", 10**17, 10**17)]
+    got = {r.test_id: r for r in testing.chi_square_raw(_tables(spark, rows)).collect()}
+    n, a = 10_000_000_000, 12_000_100_000
+    e, f = a / 2, n - a / 2
+    want = 2 * ((abs(6_000_000_000 - e) - 0.5) ** 2 / e + (abs(4_000_000_000 - f) - 0.5) ** 2 / f)
+    assert got["big"].chi2_raw == pytest.approx(want, rel=1e-6) and 0 < got["big"].p_raw < 1
+    assert (got["huge"].chi2_raw, got["huge"].p_raw) == (0.0, 1.0)
+
+
+def test_two_thousand_groups_of_coin_flips_are_not_significant(spark):
+    import random
+    rng = random.Random(11)
+    rows = [("coin", str(i), a, 1000 - a) for i in range(2001) for a in [sum(rng.getrandbits(1) for _ in range(1000))]]
+    raw = testing.chi_square_raw(_tables(spark, rows))
+    r = raw.collect()[0]
+    assert r.dof == 2000 and r.p_raw == pytest.approx(tails.chi2_sf_scalar(r.chi2_raw, 2000), rel=1e-8) and r.p_raw > 0.05
+    v = testing.multiple_comparison_verdicts(raw, p="p_raw").collect()[0]
+    assert v.corrected_verdict == "not significant"
+
+
+def test_verdicts_use_the_unrounded_p(spark):
+    tests = spark.createDataFrame([("tiny", 4e-11), ("edge", 0.05 - 1e-12)], "test_id string, p_raw double")
+    got = {r.test_id: r for r in testing.multiple_comparison_verdicts(tests, m=1, p="p_raw").collect()}
+    assert got["tiny"].p_value == 0.0 and got["tiny"].corrected_verdict == "still significant"
+    assert got["edge"].p_value == 0.05 and got["edge"].raw_verdict == "significant"
