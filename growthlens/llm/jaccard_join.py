@@ -114,13 +114,19 @@ def entries(tokens: np.ndarray, band: Band, p: int, q: int) -> np.ndarray:
     sums = total[ends] - total[ends - count]
     place = (np.arange(m, dtype=np.uint64) + np.uint64((band.index + 1) << 32)) * _SEGMENT
     full = mix(sums + place) & ~(_DELETED | _PARITY)
+    # What costs most is left out at once: segments with deletions of two tokens
+    # or fewer (two units each), then the plain segments with fewest tokens.
+    out = left_out(len(tokens), band, p, q)
+    thin = np.flatnonzero(count[:c] <= 2)[:out // 2]
+    kept = np.sort(np.argsort(count[c:], kind="stable")[out - 2 * len(thin):])
+    wide = np.ones(c, bool)
+    wide[thin] = False
     # One token less in each of the first c segments.
     first = int(ends[c - 1])
-    fewer = mix(sums[:c].repeat(count[:c]) - values[:first] + place[:c].repeat(count[:c])) & ~(_DELETED | _PARITY)
-    out = left_out(len(tokens), band, p, q)
-    kept = np.sort(np.argsort(count[c:], kind="stable")[out:])
+    fewer = (sums[:c].repeat(count[:c]) - values[:first] + place[:c].repeat(count[:c]))[wide.repeat(count[:c])]
+    fewer = mix(fewer) & ~(_DELETED | _PARITY)
     odd = _PARITY if band.index & 1 else np.uint64(0)
-    return np.concatenate((full[:c] | _DELETED, fewer | _DELETED, full[c:][kept])) | odd
+    return np.concatenate((full[:c][wide] | _DELETED, fewer | _DELETED, full[c:][kept])) | odd
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
@@ -239,6 +245,46 @@ def _token_batch(ids: list, part: list[np.ndarray]) -> pa.RecordBatch:
                            names=["id", "tokens"])
 
 
+#: Widest parity bits of a set, in bytes; a width of four bits per token until then.
+MOST_WIDE = 4096
+
+
+def wide_parity(tokens: np.ndarray) -> bytes:
+    """``parity`` in enough bits that nearly every differing token shows."""
+    size = max(256, min(8 * MOST_WIDE, 1 << (4 * len(tokens)).bit_length()))
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A bound from below on how many tokens two sets differ in. The wider bits
+    are folded to the width of the others."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        tokens, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        wide = [wide_parity(tokens[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.record_batch([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(wide, pa.binary())], names=["id", "n", "wide"])
+
+
+def _near_enough(p: int, q: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, wa, wb = (batch.column(i) for i in (2, 3, 4))
+            kept = [least_difference(x.as_py(), y.as_py()) * (q + p) <= m.as_py() * (q - p) for m, x, y in zip(n, wa, wb)]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets are similar enough."""
     known = profiles.select("id", "n", *_BITS).dropDuplicates(["id"])
@@ -250,6 +296,13 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: in
     sets = materialize(
         map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"),
                   _tokens(words), "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+    # Pairs just short of the threshold are many in large families: their parity
+    # bits are a sixteenth of the tokens that would otherwise travel with each.
+    wide = materialize(map_arrow(sets, _wide, "id long, n long, wide binary"), "wide")
+    x = wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    y = wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    checked = pairs.join(y, "b").join(x, "a").select("a", "b", F.col("na") + F.col("nb"), "wa", "wb")
+    pairs = materialize(map_arrow(checked, _near_enough(p, q), "a long, b long"), "near")
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = right.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))

@@ -71,12 +71,12 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus the measures the threshold table names."""
     text = text_of(text_col)
     base = [c for c in docs.columns if c not in MEASURES]
-    trimmed = docs.select(*base, F.btrim(text, F.lit(SPACE)).alias("q_text"))
+    trimmed = docs.select(*base, F.btrim(text, F.lit(SPACE)).alias("q_text"),
+                          F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("q_lines"))
     words = (F.when(F.col("q_text") == "", F.array().cast("array<string>"))
              .otherwise(F.split("q_text", "[ \\t-\\r]+")))
     split = trimmed.select(
-        *base, words.alias("q_words"),
-        F.filter(F.split("q_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("q_lines"),
+        *base, words.alias("q_words"), "q_lines",
         F.char_length(F.regexp_replace("q_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
     # Hashes of 2, then 4, then 5 words at every position; the last four are of
     # shorter windows, equal to no other.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (chat_format, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier,
                quality_rules, secret_scan, warc)
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401  (registered with QUERIES)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}

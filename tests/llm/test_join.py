@@ -133,6 +133,17 @@ def test_pairs_at_the_bound_share_entries(p, q):
             assert len(shared) > spare
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        sizes = rng.integers(0, 2000, 3)
+        parts = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in sizes]
+        a, b = (np.unique(np.concatenate((parts[0], x))) for x in parts[1:])
+        differ = len(np.setxor1d(a, b))
+        assert J.least_difference(J.wide_parity(a), J.wide_parity(b)) <= differ
+        assert int(np.bitwise_count(J.parity(a).view(np.uint64) ^ J.parity(b).view(np.uint64)).sum()) <= differ
+
+
 def test_components_of_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 9), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}

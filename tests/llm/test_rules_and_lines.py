@@ -43,6 +43,11 @@ def test_rules_on_hard_texts(spark):
     assert "mine" == quality_rules.quality_rules(df).first()["entry"]
 
 
+def test_lines_are_compared_with_their_white_space(spark):
+    texts = [" a line\na line", "a line\na line ", "\ta line\n\ta line", " x\n x\nx"]
+    check_rules(*texts_frame(spark, texts))
+
+
 def test_rules_empty_table(no_docs):
     out = quality_rules.quality_rules(no_docs)
     assert out.count() == 0 and {"kept", "base_failed", "failed_rules", *BASE} <= set(out.columns)
