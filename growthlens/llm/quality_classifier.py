@@ -36,10 +36,12 @@ class Model(NamedTuple):
 
 def _features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of every word and character (byte) n-gram of the
-    texts data[cuts[i]:cuts[i+1]]."""
+    texts data[cuts[i]:cuts[i+1]], and of a mark per word that says whether its
+    text has had the three words from there on before."""
     words, count = word_hashes(data, cuts)
     texts = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    buckets, owners = [words & np.uint64(BUCKETS - 1)], [np.repeat(np.arange(len(cuts) - 1), count)]
+    owner = np.repeat(np.arange(len(cuts) - 1), count)
+    buckets, owners = [words & np.uint64(BUCKETS - 1), _marks(words, owner)], [owner, owner]
     wide = data.astype(np.uint64)
     for n in GRAMS:
         m = max(0, len(data) - n + 1)
@@ -53,6 +55,18 @@ def _features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
+def _marks(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A mark's bucket for each word: seen or not."""
+    n = len(words)
+    three = words.copy()
+    for k in (1, 2):
+        three[:max(0, n - k)] = mix(three[:max(0, n - k)]) + words[k:]
+    key = mix(three + owner.astype(np.uint64) * _P)
+    first = np.zeros(n, bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    return mix(np.where(first, np.uint64(1), np.uint64(2))) & np.uint64(BUCKETS - 1)
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """One pass of gradient steps per epoch over the sample, in a fixed order."""
     rng = np.random.default_rng(SEED)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (chat_format, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality_classifier,
                quality_rules, secret_scan, warc)
-from .common import table
+from .common import materialize, table
 from .oracle import ORACLE_SQL  # noqa: F401  (registered with QUERIES)
 
 
@@ -26,7 +26,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)],
                                  "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    read = chat_format.read_back(chat_format.format_trees(chat_format.linear_trees(rows)))
+    written = materialize(chat_format.format_trees(chat_format.linear_trees(rows)), "chats")
+    read = chat_format.read_back(written)
     return read.select(F.expr("nullif(tree, '')").cast("long").alias("conv_id"), "n_turns", "turns_sha256",
                        "loss_chars", "loss_sha256", "formatted_chars")
 
