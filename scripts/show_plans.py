@@ -26,8 +26,8 @@ def main() -> None:
     out = ["# Physical plans of the registered queries",
            "",
            "Generated by `scripts/show_plans.py` with `spark.sql.autoBroadcastJoinThreshold=-1`",
-           "(only size-checked broadcast hints remain, as on a cluster where the fact",
-           "tables are far above any threshold). AQE re-plans at run time on top of these.",
+           "(as on a cluster where the fact tables are far above any threshold; bounded",
+           "literal frames keep their hints). AQE re-plans at run time on top of these.",
            ""]
     for name in QUERIES:
         text = plan_text(QUERIES[name](spark, sf_dir))
