@@ -47,7 +47,7 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def _member(record: bytes) -> bytes:
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress(record) + packer.flush()
 
 
@@ -241,9 +241,11 @@ def arc_to_warc(archives: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Data
     firsts = materialize(
         known.groupBy("digest").agg(F.min(F.struct("page", "url", "date")).alias("first"), F.max("page").alias("last"))
         .filter("first.page < last").select("digest", "first"), "firsts")
-    # As many rows as the archive has records.
-    revisits = (known.join(firsts, "digest").filter("page > first.page")
-                .groupBy("archive").agg(F.collect_set(F.struct(F.col("page").alias("later"), "first.*")).alias("firsts")))
+    # As many rows as the archive has records. Written out: where they are few,
+    # Spark sends them to the archives instead of shuffling those.
+    revisits = materialize(
+        known.join(firsts, "digest").filter("page > first.page")
+        .groupBy("archive").agg(F.collect_set(F.struct(F.col("page").alias("later"), "first.*")).alias("firsts")), "revisits")
     return map_arrow(archives.join(revisits, "archive", "left").select("archive", "content", "firsts"), _write_warc, _ARCHIVE)
 
 
