@@ -292,7 +292,9 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: in
         pairs.join(known.alias("x"), F.col("a") == F.col("x.id"))
         .join(known.alias("y"), F.col("b") == F.col("y.id"))
         .filter(_may_match("x", "y", p, q)).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    # Written out: where the ids are few, Spark sends them to the texts instead
+    # of shuffling those.
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     sets = materialize(
         map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"),
                   _tokens(words), "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
