@@ -6,6 +6,10 @@ character q-grams, all on diagonals (document position - window position) that
 lie at most e apart. So shared q-grams are counted in overlapping diagonal
 bands, regions that reach the bound are kept, and a banded alignment decides.
 
+Quoted parts are found from any start in the item: every part of PART characters
+holds one of the seeds, shorter windows at every PART_STEP characters, whose
+regions are then aligned with each part around the seed.
+
 Benchmarks of any size go through in blocks of bounded size, one pass over the
 documents each; only block and matches are shipped.
 """
@@ -25,6 +29,9 @@ from .common import map_arrow, materialize, text_of
 #: q-gram length; window length and step; edits per 100 characters; items
 #: shorter than MIN_CHARS (normalised) match nothing, they tell too little.
 Q, WINDOW, STEP, EDITS_PER_100, MIN_CHARS = 10, 160, 80, 6, 24
+#: Shortest part of an item that counts, and how far apart its seeds start.
+PART, PART_STEP = 64, 16
+_SEED, _PART_EDITS = PART - PART_STEP + 1, PART * EDITS_PER_100 // 100
 #: Characters of benchmark text per block, characters of documents per pass.
 BLOCK_CHARS, PASS_CHARS = 4_000_000, 1_000_000
 _TABLE_BITS = 22
@@ -111,6 +118,8 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.windows: list[np.ndarray] = []
+        #: Per window, the parts that it is the seed of; of whole windows none.
+        self.parts: list[list[np.ndarray]] = []
         owners, grams, where, window = [], [], [], []
         for item, text in items:
             c, _, _ = normalised([text])
@@ -118,13 +127,17 @@ class Block:
             if len(c) < MIN_CHARS:
                 continue
             starts = [*range(0, len(c) - WINDOW, STEP), max(0, len(c) - WINDOW)]
-            for a in starts:
-                part = c[a:a + WINDOW]
+            cuts = [(c[a:a + WINDOW], []) for a in starts]
+            if len(c) > PART:
+                cuts += [(c[a:a + _SEED], [c[b:b + PART] for b in range(max(0, a - PART_STEP + 1), min(a, len(c) - PART) + 1)])
+                         for a in range(0, len(c) - _SEED + 1, PART_STEP)]
+            for part, around in cuts:
                 h = gram_hashes(part)
                 grams.append(h)
                 where.append(np.arange(len(h)))
                 window.append(np.full(len(h), len(self.windows)))
                 self.windows.append(part)
+                self.parts.append(around)
                 owners.append(item)
         self.owners: list[int | None] = owners
         empty = np.zeros(0, np.int64)
@@ -134,7 +147,7 @@ class Block:
         self.where = np.concatenate([empty, *where])[order]
         self.window = np.concatenate([empty, *window])[order]
         size = np.array([len(w) for w in self.windows], np.int64)
-        self.edits = size * EDITS_PER_100 // 100
+        self.edits = np.where([bool(x) for x in self.parts], _PART_EDITS, size * EDITS_PER_100 // 100)
         self.need = np.maximum(1, size + 1 - Q - Q * self.edits)
 
     @cached_property
@@ -162,7 +175,8 @@ class Block:
         window = self.window[rows]
         # Too few in the whole text: no band of it can reach the bound.
         pair = text * len(self.windows) + window
-        enough = np.bincount(pair)[pair] >= self.need[window] if len(pair) else np.zeros(0, bool)
+        _, same, count = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = count[same] >= self.need[window]
         at, rows, text, window = at[enough], rows[enough], text[enough], window[enough]
         width = self.edits[window] + 1
         shift = at - starts[text] - self.where[rows] + WINDOW  # diagonal, not negative
@@ -179,23 +193,53 @@ class Block:
         first = np.flatnonzero(head)
         shared = np.diff(np.append(first, key.shape[1]))
         done: set[tuple[int, int, int]] = set()
-        for t, w, k in key[:, first[shared >= self.need[key[1, first]]]].T if len(first) else ():
-            e, part = int(self.edits[w]), self.windows[w]
-            middle = int(starts[t]) + int(k) * (e + 1) - WINDOW
-            lo = max(int(starts[t]), middle - e)
-            found = _place(part, joined[lo:min(int(starts[t + 1]), middle + 2 * (e + 1) + len(part) + e)], e)
-            if found and (int(t), int(w), lo + found[1]) not in done:
-                done.add((int(t), int(w), lo + found[1]))
-                yield (int(t), self.owners[w], int(origin[lo + found[1]] - begin[t]),
+        covered: dict[tuple[int, int | None], list[tuple[int, int]]] = {}
+        regions = key[:, first[shared >= self.need[key[1, first]]]].T.tolist() if len(first) else []
+        # Whole windows first: a seed within a place of its item tells no more.
+        for t, w, k in sorted(regions, key=lambda r: bool(self.parts[r[1]])):
+            e, part, around = int(self.edits[w]), self.windows[w], self.parts[w]
+            middle = int(starts[t]) + k * (e + 1) - WINDOW
+            lo, hi = middle - e, middle + 2 * (e + 1) + len(part) + e
+            places = covered.setdefault((t, self.owners[w]), [])
+            if around and any(a <= lo + e and hi - 2 * e - 2 <= b for a, b in places):
+                continue
+            lo, hi = max(int(starts[t]), lo), min(int(starts[t + 1]), hi)
+            found = _place(part, joined[lo:hi], e)
+            if found and around:
+                lo = max(int(starts[t]), lo - PART_STEP - e)
+                found = _best(around, joined[lo:min(int(starts[t + 1]), hi + PART_STEP + e)], e)
+            if found and (t, w, lo + found[1]) not in done:
+                done.add((t, w, lo + found[1]))
+                places.append((lo + found[1], lo + found[2]))
+                yield (t, self.owners[w], int(origin[lo + found[1]] - begin[t]),
                        int(origin[lo + found[2] - 1] - begin[t]) + 1, found[0])
 
 
-def _place(window: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int, int] | None:
+def _exact(window: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
     raw = region.tobytes()
     at = raw.find(window.tobytes())
     while at > 0 and at % 4:
         at = raw.find(window.tobytes(), at + 1)
-    return (0, at // 4, at // 4 + len(window)) if at >= 0 else banded_alignment(window, region, edits)
+    return (0, at // 4, at // 4 + len(window)) if at >= 0 else None
+
+
+def _place(window: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int, int] | None:
+    return _exact(window, region) or banded_alignment(window, region, edits)
+
+
+def _best(parts: list[np.ndarray], region: np.ndarray, edits: int) -> tuple[int, int, int] | None:
+    """The place of that of the ``parts``, all of one length, with the fewest edits."""
+    for part in parts:
+        if found := _exact(part, region):
+            return found
+    cost, steps = np.zeros((len(parts), len(region) + 1), np.int64), np.arange(len(region) + 1)
+    for column in np.stack(parts, axis=1):
+        best = cost + 1
+        np.minimum(best[:, 1:], cost[:, :-1] + (region != column[:, None]), out=best[:, 1:])
+        cost = np.minimum.accumulate(best - steps, axis=1) + steps
+        if cost.min() > edits:
+            return None
+    return banded_alignment(parts[int(np.argmin(cost.min(axis=1)))], region, edits)
 
 
 def _scan(block):
@@ -232,13 +276,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Bloc
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, start, end, edits): places of documents that equal a window
-    of a benchmark item but for a few edits.
+    or a part of a benchmark item but for a few edits.
 
     Compared are lower-cased letters, digits and non-ASCII characters; anything
     else is one space. Windows are whole items up to 160 characters, else 160
-    every 80. Null and empty texts match nothing; nor do items under 24
-    characters. An item without id still counts. Rows are distinct, so repeated
-    rows add none.
+    every 80; parts are any 64 characters, from any start, with up to 3 edits.
+    A passage longer than a part gives several rows; parts within the place of a
+    window or part already found give none. Null and empty texts match nothing;
+    nor do items under 24 characters. An item without id still counts. Rows are
+    distinct, so repeated rows add none.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))

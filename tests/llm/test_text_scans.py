@@ -66,6 +66,27 @@ def test_clean_texts_have_no_matches(block):
     assert list(block.matches(texts)) == []
 
 
+def test_part_passages_of_long_items():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    items = [(i, " ".join(rng.sample(words, n))) for i, n in enumerate((20, 40, 90))]
+    block, texts, want = D.Block(items), [], []
+    for i, x in items:
+        for a in range(0, len(x) - D.PART, 3):
+            part = list(x[a:a + D.PART])
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                part[rng.randrange(1, D.PART - 1)] = "z"
+            texts.append("".join(part) if a % 2 else f"0 1 2 {''.join(part)} 3 4 5")
+            want.append(i)
+    got = {t: set() for t in range(len(texts))}
+    for t, i, start, end, _ in block.matches(texts):
+        got[t].add(i)
+        assert 0 <= start < end <= len(texts[t])
+    assert [got[t] for t in got] == [{i} for i in want]
+    short = [x[a:a + D.PART - 8] for _, x in items for a in range(0, len(x) - D.PART, 7)]
+    assert list(block.matches([f"0123 {x} 4567" for x in short])) == []
+
+
 def test_alignment_against_full_table():
     rng = random.Random(1)
 
