@@ -24,6 +24,8 @@ from .common import map_arrow, text_of
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A candidate is random below so many characters per token.
 CHARS_PER_TOKEN, MIN_CHARS, CANDIDATE_CHARS = 2.2, 20, 4096
+#: Strings without a digit, as words are, are held to a stricter limit.
+STRICT = 0.8
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "random")
 
@@ -33,7 +35,6 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
-_MIXED = re.compile(r"[0-9]")
 #: Digests (MD5, SHA-1, SHA-224/256/384/512 in hex) and UUIDs: random looking,
 #: but identifiers, not secrets.
 _KNOWN = re.compile(
@@ -69,14 +70,14 @@ class TokenTest:
         found = []
         for m in _CANDIDATE.finditer(text):
             s = m[0]
-            if _MIXED.search(s) and not _KNOWN.fullmatch(s) and self._random(s):
+            if not _KNOWN.fullmatch(s) and self._random(s):
                 found.append((m.start(), m.end(), "random"))
         return found
 
     def _random(self, s: str) -> bool:
         # In pieces, so that one very long run costs no more than its length.
         tokens = sum(len(self._code.encode_ordinary(s[i:i + CANDIDATE_CHARS])) for i in range(0, len(s), CANDIDATE_CHARS))
-        return len(s) < self._limit * tokens
+        return len(s) < self._limit * (1 if any(map(str.isdigit, s)) else STRICT) * tokens
 
 
 _tests: dict[tuple[str, float], TokenTest] = {}

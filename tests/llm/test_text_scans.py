@@ -175,6 +175,25 @@ def test_token_test_finds_random_strings_only(spark):
     assert all("random" not in found[i] for i in range(1, 5))
 
 
+@pytest.fixture(scope="module")
+def token_test():
+    import public_tokenizers
+
+    return secret_scan.TokenTest(str(public_tokenizers.path(secret_scan.VOCABULARY)), secret_scan.CHARS_PER_TOKEN)
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def test_keys_without_digits(token_test):
+    rng = random.Random(5)
+    for n in (24, 40):
+        keys = ["".join(rng.choice(LETTERS) for _ in range(n)) for _ in range(300)]
+        assert sum(token_test.random_spans(f"see {k} ok") == [(4, 4 + n, "random")] for k in keys) >= 295
+    for word in ("internationalizationlibrary", "production_database_connection_string", "getElementsByTagNameAndAttribute"):
+        assert token_test.random_spans(f"see {word} ok") == []
+
+
 # -- licenses ------------------------------------------------------------------------
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
