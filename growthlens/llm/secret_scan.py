@@ -3,7 +3,8 @@
 Text that looks like language takes few tokens for its characters; keys and
 passwords take many. Candidate strings with few characters per token under a
 tiktoken vocabulary are reported, after known digests and identifiers are set
-aside. Fixed patterns for assignments, access keys and hex runs are reported
+aside: whole runs, their parts between separators, and windows of tokens, so
+that readable text joined to a key does not hide it. Fixed patterns for assignments, access keys and hex runs are reported
 besides, whatever their token count.
 """
 
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +25,10 @@ from .common import map_arrow, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A candidate is random below so many characters per token.
-CHARS_PER_TOKEN, MIN_CHARS, CANDIDATE_CHARS = 2.2, 20, 4096
-#: Strings without a digit, as words are, are held to a stricter limit.
-STRICT = 0.8
+CHARS_PER_TOKEN, MIN_CHARS, CANDIDATE_CHARS = 2.2, 16, 4096
+#: Windows are the tokens that reach so many characters. They, and strings that
+#: are shorter or without a digit, as words are, are held to a stricter limit.
+WINDOW_CHARS, STRICT = 20, 0.8
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "random")
 
@@ -35,11 +38,13 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
+_PART = re.compile(r"[A-Za-z0-9]{%d,}" % MIN_CHARS)
+_NUMBERS = re.compile(r"[0-9+/_=-]*")
 #: Digests (MD5, SHA-1, SHA-224/256/384/512 in hex) and UUIDs: random looking,
 #: but identifiers, not secrets.
 _KNOWN = re.compile(
-    r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
-    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+)")
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?![A-Za-z0-9])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -64,20 +69,62 @@ class TokenTest:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._code = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._chars = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._chars[list(ranks.values())] = [len(token) for token in ranks]
         self._limit = limit
 
     def random_spans(self, text: str) -> list[tuple[int, int, str]]:
         found = []
         for m in _CANDIDATE.finditer(text):
-            s = m[0]
-            if not _KNOWN.fullmatch(s) and self._random(s):
-                found.append((m.start(), m.end(), "random"))
+            at = m.start()
+            for known in (*_KNOWN.finditer(text, at, m.end()), None):
+                stop = known.start() if known else m.end()
+                if stop - at >= MIN_CHARS:
+                    found += [(at + a, at + b, "random") for a, b in self._random(text[at:stop])]
+                at = known.end() if known else stop
         return found
 
-    def _random(self, s: str) -> bool:
+    def _random(self, s: str) -> list[tuple[int, int]]:
+        """(start, end) of the random places in a run, apart from each other."""
+        if _NUMBERS.fullmatch(s):
+            return []
+        chars = self._tokens(s)
+        found = [m.span() for m in _PART.finditer(s) if self._low(m[0], self._tokens(m[0]))]
+        # Separators are tokens of their own in readable names: not counted.
+        end = np.cumsum(chars)
+        start = end - chars
+        word = np.array([any(map(str.isalnum, s[a:b])) for a, b in zip(start.tolist(), end.tolist())])
+        if self._low(s, chars) and (not self._strict(s) or self._low(s, chars[word])):
+            found.append((0, len(s)))
+        start, end, chars = start[word], end[word], chars[word]
+        upto = np.cumsum(chars)
+        last = np.searchsorted(upto, upto - chars + WINDOW_CHARS)
+        first = np.flatnonzero(last < len(end))
+        last = last[first]
+        low = upto[last] - upto[first] + chars[first] < self._limit * STRICT * (last - first + 1)
+        for i, j in zip(first[low].tolist(), last[low].tolist()):
+            while i < j and chars[i] > 3:
+                i += 1
+            while i < j and chars[j] > 3:
+                j -= 1
+            found.append((int(start[i]), int(end[j])))
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(x for x in found if not _NUMBERS.fullmatch(s, *x)):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], b))
+            else:
+                out.append((a, b))
+        return out
+
+    def _strict(self, s: str) -> bool:
+        return len(s) < WINDOW_CHARS or not any(map(str.isdigit, s))
+
+    def _low(self, s: str, chars: np.ndarray) -> bool:
+        return chars.sum() < self._limit * (STRICT if self._strict(s) else 1) * len(chars)
+
+    def _tokens(self, s: str) -> np.ndarray:
         # In pieces, so that one very long run costs no more than its length.
-        tokens = sum(len(self._code.encode_ordinary(s[i:i + CANDIDATE_CHARS])) for i in range(0, len(s), CANDIDATE_CHARS))
-        return len(s) < self._limit * (1 if any(map(str.isdigit, s)) else STRICT) * tokens
+        return self._chars[[t for i in range(0, len(s), CANDIDATE_CHARS) for t in self._code.encode_ordinary(s[i:i + CANDIDATE_CHARS])]]
 
 
 _tests: dict[tuple[str, float], TokenTest] = {}

@@ -194,6 +194,31 @@ def test_keys_without_digits(token_test):
         assert token_test.random_spans(f"see {word} ok") == []
 
 
+def test_keys_joined_to_readable_text(token_test):
+    rng = random.Random(6)
+
+    def key(n):
+        return "".join(rng.choice(LETTERS + "0123456789") for _ in range(n))
+
+    for head, n in (("", 16), ("", 18), ("production_database_connection_string=", 24),
+                    ("com/organization/project/settings/", 20), ("hooks/services/incoming/webhook/", 32)):
+        hit = 0
+        for _ in range(200):
+            k = key(n)
+            at = len(head) + 4
+            spans = token_test.random_spans(f"see {head}{k} ok")
+            assert all(a < b for a, b, _ in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+            hit += any(a < at + n and b > at for a, b, _ in spans)
+        assert hit >= 190
+    words = "/".join(["organization", "configuration", "settings", "production"] * 200)
+    keys = [key(32) for _ in range(3)]
+    text = words + "/" + "/".join(f"{k}/{words}" for k in keys)
+    spans = token_test.random_spans(text)
+    assert len(spans) == 3 and all(text.index(k) in range(a, b) for k, (a, b, _) in zip(keys, spans))
+    for known in ("d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000"):
+        assert token_test.random_spans(f"see objects/{known} ok") == []
+
+
 # -- licenses ------------------------------------------------------------------------
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
