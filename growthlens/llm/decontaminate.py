@@ -37,6 +37,7 @@ BLOCK_CHARS, PASS_CHARS = 4_000_000, 1_000_000
 _TABLE_BITS = 22
 _P = 0x9E3779B97F4A7C15
 _MATCHES = "id long, item_id long, start long, end long, edits long"
+_KEYED = f"key long, {_MATCHES}"
 
 
 #: Lower-cased letters and digits; 0 for other ASCII, 128 stands for the rest.
@@ -246,16 +247,16 @@ def _scan(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = block.value
         for batch in batches:
-            ids, texts, part, held = batch.column(0).to_pylist(), batch.column(1), 0, 0
+            ids, texts, part, held = list(zip(*(batch.column(i).to_pylist() for i in (2, 0)))), batch.column(1), 0, 0
             rows: list[tuple] = []
             for i in range(len(ids)):
                 held += len(texts[i].as_buffer() or b"")
                 if held >= PASS_CHARS or i + 1 == len(ids):
-                    rows += [(ids[part + m[0]], *m[1:]) for m in known.matches(texts.slice(part, i + 1 - part).to_pylist())]
+                    rows += [(*ids[part + m[0]], *m[1:]) for m in known.matches(texts.slice(part, i + 1 - part).to_pylist())]
                     part, held = i + 1, 0
             if rows:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)],
-                                      names=["id", "item_id", "start", "end", "edits"])
+                                      names=["key", "id", "item_id", "start", "end", "edits"])
 
     return run
 
@@ -283,18 +284,29 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     every 80; parts are any 64 characters, from any start, with up to 3 edits.
     A passage longer than a part gives several rows; parts within the place of a
     window or part already found give none. Null and empty texts match nothing;
-    nor do items under 24 characters. An item without id still counts. Rows are
-    distinct, so repeated rows add none.
+    nor do items under 24 characters. An item or document without id still counts.
+    Rows are distinct, so repeated rows add none.
     """
+    return _keyed_matches(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("key").distinct()
+
+
+def _key(text_col: str):
+    return F.xxhash64(text_of(text_col))
+
+
+def _keyed_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
+                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The matches and a hash of the text, which tells rows without id, or with
+    the same id, apart."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), _key(text_col).alias("key"))
     found = []
     for block in _blocks(benchmark, item_col, item_text_col):
         shipped = spark.sparkContext.broadcast(block)
-        found.append(materialize(map_arrow(texts, _scan(shipped), _MATCHES).distinct(), "matches"))
+        found.append(materialize(map_arrow(texts, _scan(shipped), _KEYED).distinct(), "matches"))
         shipped.unpersist()
     if not found:
-        return spark.createDataFrame([], _MATCHES)
+        return spark.createDataFrame([], _KEYED)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -304,12 +316,14 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                            text_col: str = "text", **columns: str) -> DataFrame:
     """Per row of ``docs``: id_col, contaminated, n_items, item_ids (sorted,
-    comma-joined), spans (``item:start:end:edits``, by item and place)."""
-    found = benchmark_matches(docs, benchmark, id_col, text_col, **columns)
+    comma-joined), spans (``item:start:end:edits``, by item and place). Each row
+    is judged by its own text, also without id or with that of another row."""
+    found = _keyed_matches(docs, benchmark, id_col, text_col, **columns)
     place = F.struct("item_id", "start", "end", "edits")
-    each = found.groupBy("id").agg(F.array_sort(F.collect_set("item_id")).alias("items"),
+    each = found.groupBy("id", "key").agg(F.array_sort(F.collect_set("item_id")).alias("items"),
                                    F.array_sort(F.collect_set(place)).alias("places"))
-    joined = docs.select(F.col(id_col).alias("own_id")).join(each, F.col("own_id").cast("long") == F.col("id"), "left")
+    joined = docs.select(F.col(id_col).alias("own_id"), _key(text_col).alias("own_key")).join(
+        each, F.col("own_id").cast("long").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
     return joined.select(
         F.col("own_id").alias(id_col), F.col("items").isNotNull().alias("contaminated"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -320,6 +334,9 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str =
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                          text_col: str = "text", **columns: str) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage."""
-    bad = benchmark_matches(docs, benchmark, id_col, text_col, **columns).select(F.col("id").alias("bad_id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("bad_id"), "left_anti")
+    """``docs`` without the rows that hold a benchmark passage; rows without id
+    are judged like others."""
+    bad = (_keyed_matches(docs, benchmark, id_col, text_col, **columns)
+           .select(F.col("id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("bad_id"))
+                     & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("bad_key")), "left_anti")

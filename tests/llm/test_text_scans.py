@@ -129,6 +129,14 @@ def test_blocks_and_hard_texts(spark, monkeypatch):
     assert D.decontamination_report(df.limit(0), bench).count() == 0
 
 
+def test_documents_without_id(spark):
+    docs = spark.createDataFrame([(None, f"so {ITEM} it"), (None, "nothing of it"), (1, ITEM), (1, "nor here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    got = D.decontamination_report(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_ids) for r in got) == [(0, ""), (0, "7"), (1, ""), (1, "7")]
+    assert sorted(r.text for r in D.without_contaminated(docs, bench).collect()) == ["nor here", "nothing of it"]
+
+
 # -- secrets -----------------------------------------------------------------------
 
 KINDS = ("assign", "access", "hex")
