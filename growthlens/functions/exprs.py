@@ -78,11 +78,10 @@ def month_range_predicate(ts_col, month_start: str | None, month_end: str | None
     return _and_all(preds)
 
 
-def in_values(c, values: Sequence | None) -> Column | None:
-    """``c IN (values)``; an empty or missing selection means every value."""
-    if not values:
-        return None
-    return col(c).isin(list(values))
+def in_values(c, values: Sequence | None) -> Column:
+    """``c IN (values)``; an empty or missing selection means every value that
+    there is to select, so NULLs drop out as they do from any selection."""
+    return col(c).isin(list(values)) if values else col(c).isNotNull()
 
 
 def _and_all(preds) -> Column | None:

@@ -1,7 +1,8 @@
 """The filter bundle shared by the dashboard-style operators.
 
 Month range, user city, payment method and platform. An empty or missing
-selection means "all values". Order predicates are expressed on the raw
+selection means "all values", which NULL is not: like any other selection it
+drops rows without the value. Order predicates are expressed on the raw
 columns so they reach the parquet scan as pushed filters.
 """
 
@@ -44,16 +45,10 @@ class Scope:
         )
 
     def order_predicate(self):
-        """The same order filters as one Column (None when unfiltered)."""
-        preds = [month_range_predicate("order_ts", self.month_start, self.month_end),
-                 in_values("payment_method", self.payments)]
-        preds = [p for p in preds if p is not None]
-        if not preds:
-            return None
-        out = preds[0]
-        for p in preds[1:]:
-            out = out & p
-        return out
+        """The same order filters as one Column."""
+        months = month_range_predicate("order_ts", self.month_start, self.month_end)
+        payments = in_values("payment_method", self.payments)
+        return payments if months is None else months & payments
 
     def cities_of(self, user_city: DataFrame) -> DataFrame:
         return where_all(user_city, in_values("city", self.cities))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlens.functions.exprs import pct
+from growthlens.functions.exprs import in_values, pct
 from growthlens.sources.views import ENTITY, FUNNEL_STEPS
 
 
@@ -102,7 +102,7 @@ def funnel_zero_filled(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     Loss follows pandas ``pct_change``: prior 0 and now > 0 is an infinite gain
     (loss -inf, never the biggest); 0 → 0 counts as no change.
     """
-    ev = events.where(F.col("platform").isin(list(platforms))) if platforms else events
+    ev = events.where(in_values("platform", platforms))
     counts = (ev.where(F.col("event_name").isin(list(steps)))
                 .select("event_name", *entity).distinct()
                 .groupBy("event_name").agg(F.count(F.lit(1)).alias("n")))

@@ -1,5 +1,6 @@
 """Exact NTILE without a single-partition window, and the concentration
-operators built on it (power users, Pareto split, concentration ratio).
+operators (power users, Pareto split, concentration ratio, GMV by tile). Where
+only the first tile's size and sum are wanted, ``top_tile`` selects instead.
 
 ``NTILE(N) OVER (ORDER BY ...)`` with no PARTITION BY moves every row into one
 task. ``distributed_ntile`` computes the identical assignment in parallel:
@@ -95,30 +96,62 @@ def power_users(orders: DataFrame, n_tiles: int = N_TILES, limit: int = POWER_US
             .select("user_id", "orders", money_out("user_gmv_raw").alias("user_gmv")))
 
 
-def _ventiles(orders: DataFrame, n_tiles: int) -> DataFrame:
-    return distributed_ntile(user_gmv(orders), n_tiles, "user_gmv_raw", "user_id")
+#: A value's range is a whole number that never falls as the value rises, NULL
+#: below all: 65,536 ranges per e-fold.
+_TOP_TILE = """
+WITH placed AS (
+  SELECT v, coalesce(CAST(sign(v) AS INT) * CAST(floor(ln(abs(CAST(v AS DOUBLE)) + 1) * 65536) AS BIGINT), -(1L << 62)) AS range
+  FROM {values}),
+ranges AS (SELECT range, count(*) AS held, sum(v) AS held_sum FROM placed GROUP BY range),
+sized AS (
+  SELECT range, held, coalesce(sum(held) OVER above, 0) AS before, sum(held_sum) OVER above AS sum_before,
+         sum(held) OVER () AS n, sum(held_sum) OVER () AS total
+  FROM ranges WINDOW above AS (ORDER BY range DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (
+  SELECT range, n, total, sum_before, (n + :tiles - 1) div :tiles AS top_n, (n + :tiles - 1) div :tiles - before AS need
+  FROM sized WHERE before < (n + :tiles - 1) div :tiles AND before + held >= (n + :tiles - 1) div :tiles),
+inside AS (
+  SELECT /*+ BROADCAST(cut) */ v, top_n, n, total, sum_before, need, count(*) AS held
+  FROM placed JOIN cut USING (range) GROUP BY ALL),
+taken AS (
+  SELECT *, greatest(0, least(held, need - coalesce(sum(held) OVER (
+    ORDER BY v DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS took FROM inside)
+SELECT top_n, coalesce(first(sum_before), 0) + coalesce(sum(v * took), 0) AS top_sum, n, total
+FROM taken GROUP BY top_n, n, total"""
+
+
+def top_tile(df: DataFrame, n_tiles: int, value: str) -> DataFrame:
+    """One row on the first of ``n_tiles`` tiles of ``df`` by ``value``
+    descending: top_n, top_sum, n, total (none for an empty ``df``). Equal to
+    sums over ``ntile(n_tiles)``: whichever of tied rows are taken, the sum is one.
+
+    Counts and sums per value range say which range holds the cut, one row and
+    so a bounded broadcast; only that range's values are ranked, equal ones as
+    one. Ranges are as many as the values' spread asks for, not as their number.
+    """
+    return df.sparkSession.sql(_TOP_TILE, args={"tiles": n_tiles}, values=df.select(F.col(value).alias("v")))
 
 
 def pareto_split(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
     """Top tile vs the rest: segment, users, segment_gmv, pct_of_total_gmv."""
-    seg = F.when(F.col("tile") == 1, F.lit(TOP_SEGMENT)).otherwise(F.lit(REST_SEGMENT))
-    agg = (_ventiles(orders, n_tiles).groupBy(seg.alias("segment"))
-           .agg(F.count(F.lit(1)).alias("users"), F.sum("user_gmv_raw").alias("gmv_raw")))
-    total = F.sum("gmv_raw").over(Window.partitionBy())  # two rows
-    return agg.select("segment", "users", money_out("gmv_raw").alias("segment_gmv"),
-                      F.round(F.try_divide(hundred() * F.col("gmv_raw"), total), 2)
-                      .alias("pct_of_total_gmv")
-                      ).orderBy("segment")
+    top = top_tile(user_gmv(orders), n_tiles, "user_gmv_raw")
+    total = F.coalesce(F.col("total"), F.lit(0))
+    segments = F.inline(F.array(
+        F.struct(F.lit(TOP_SEGMENT).alias("segment"), F.col("top_n").alias("users"), F.col("top_sum").alias("gmv_raw")),
+        F.struct(F.lit(REST_SEGMENT).alias("segment"), (F.col("n") - F.col("top_n")).alias("users"),
+                 (total - F.col("top_sum")).alias("gmv_raw"))))
+    rows = top.select("total", segments).where(F.col("users") > 0)
+    return rows.select("segment", "users", money_out("gmv_raw").alias("segment_gmv"),
+                       F.round(F.try_divide(hundred() * F.col("gmv_raw"), F.col("total")), 2)
+                       .alias("pct_of_total_gmv")).orderBy("segment")
 
 
 def concentration_ratio(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
     """One row: top-tile users, all users, the top tile's GMV share and
     population share (%), and their ratio (how many times its head count)."""
-    agg = _ventiles(orders, n_tiles).agg(
-        F.count(F.when(F.col("tile") == 1, 1)).alias("top_users"),
-        F.count(F.lit(1)).alias("total_users"),
-        F.sum(F.when(F.col("tile") == 1, F.col("user_gmv_raw"))).alias("top_gmv"),
-        F.sum("user_gmv_raw").alias("total_gmv"))
+    agg = top_tile(user_gmv(orders), n_tiles, "user_gmv_raw").agg(
+        F.coalesce(F.max("top_n"), F.lit(0)).alias("top_users"), F.coalesce(F.max("n"), F.lit(0)).alias("total_users"),
+        F.max("top_sum").alias("top_gmv"), F.max("total").alias("total_gmv"))
     gmv_share = F.try_divide(F.col("top_gmv").cast("double"), F.col("total_gmv"))
     pop_share = F.try_divide(F.col("top_users").cast("double"), F.col("total_users"))
     return agg.select(
@@ -126,3 +159,12 @@ def concentration_ratio(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
         pct(F.col("top_gmv"), F.col("total_gmv"), 2).alias("top_gmv_share_pct"),
         pct(F.col("top_users"), F.col("total_users"), 2).alias("population_share_pct"),
         F.round(F.try_divide(gmv_share, pop_share), 2).alias("concentration_ratio"))
+
+
+def gmv_by_tile(orders: DataFrame, n_tiles: int = N_TILES) -> DataFrame:
+    """Per tile of users by delivered GMV: tile, users, tile_gmv, and the largest
+    and smallest GMV in it. Ties go by user_id, so every user has one tile."""
+    tiled = distributed_ntile(user_gmv(orders), n_tiles, "user_gmv_raw", "user_id")
+    return tiled.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("users"), money_out(F.sum("user_gmv_raw")).alias("tile_gmv"),
+        money_out(F.max("user_gmv_raw")).alias("largest_gmv"), money_out(F.min("user_gmv_raw")).alias("smallest_gmv")).orderBy("tile")

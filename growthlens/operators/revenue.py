@@ -35,8 +35,10 @@ def _count_if(cond):
     return F.count(F.when(cond, 1))
 
 
-def _with_city(per_user: DataFrame, user_city: DataFrame, scope: Scope = ALL) -> DataFrame:
-    return per_user.join(scope.cities_of(user_city.select("user_id", "city")), "user_id", "inner")
+def _with_city(per_user: DataFrame, user_city: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """Inner join with the user's city, filtered where there is a scope."""
+    cities = user_city.select("user_id", "city")
+    return per_user.join(scope.cities_of(cities) if scope else cities, "user_id", "inner")
 
 
 # ---------------------------------------------------------------- GMV ----
@@ -239,8 +241,7 @@ def kpi_overview(orders: DataFrame, user_city: DataFrame, events: DataFrame,
     aggregates of one per-user pre-aggregate. The funnel tile (platform filter
     only) is another single aggregate, attached as a scalar subquery.
     """
-    in_scope = scope.order_predicate()
-    in_scope = F.lit(True) if in_scope is None else in_scope
+    in_scope = F.coalesce(scope.order_predicate(), F.lit(False))
     per_user = orders.groupBy("user_id").agg(
         _amount_if(_delivered() & in_scope).alias("gmv_in"),
         _count_if(_delivered() & in_scope).alias("orders_in"),
@@ -251,9 +252,7 @@ def kpi_overview(orders: DataFrame, user_city: DataFrame, events: DataFrame,
     )
     cities = user_city.select("user_id", "city")
     joined = per_user.join(cities, "user_id", "left")
-    city_ok = F.col("city").isNotNull()
-    if scope.city_predicate() is not None:
-        city_ok = city_ok & scope.city_predicate()
+    city_ok = scope.city_predicate()
 
     def cond_sum(c):
         return F.sum(F.when(city_ok, F.col(c)))
@@ -268,8 +267,7 @@ def kpi_overview(orders: DataFrame, user_city: DataFrame, events: DataFrame,
     )
 
     ev = events.where(F.col("event_name").isin(first_step, last_step))
-    plat_ok = scope.platform_predicate()
-    plat_ok = F.lit(True) if plat_ok is None else plat_ok
+    plat_ok = F.coalesce(scope.platform_predicate(), F.lit(False))
     ent = list(entity)
     flags = ev.groupBy(*ent).agg(
         F.max((plat_ok & (F.col("event_name") == first_step)).cast("int")).alias("o_in"),

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.fixed_values import (ALPHA, NOT_SIGNIFICANT, RAW_SIGNIFICANT, SAMPLE_SIZE_LIFTS_PP,
                                      SAMPLE_SIZE_POWER, STILL_SIGNIFICANT)
 from growthlens.functions.exprs import hundred
-from growthlens.functions.stats import normal_quantile, with_chi2_sf, with_normal_two_sided
+from growthlens.functions.stats import chi2_sf_sql, normal_quantile, with_normal_two_sided
 
 
 # ------------------------------------------------------- contingency ----
@@ -68,8 +68,16 @@ def contingency_from(frame: DataFrame, label: str, a: str, b: str) -> DataFrame:
                         F.col(b).cast("long").alias("b"))
 
 
+def city_payment_cells(orders: DataFrame, user_city: DataFrame) -> DataFrame:
+    """(label = user city, outcome = payment method, n = orders): the cells that
+    have orders. Orders are counted per user and payment before the join."""
+    per = orders.groupBy("user_id", "payment_method").agg(F.count(F.lit(1)).alias("n"))
+    joined = per.join(user_city.select("user_id", "city"), "user_id", "inner")
+    return joined.groupBy(F.col("city").alias("label"), F.col("payment_method").alias("outcome")).agg(F.sum("n").alias("n"))
+
+
 def tag(frame: DataFrame, test_id: str) -> DataFrame:
-    return frame.select(F.lit(test_id).alias("test_id"), "label", "a", "b")
+    return frame.select(F.lit(test_id).alias("test_id"), *[c for c in frame.columns if c != "test_id"])
 
 
 # ----------------------------------------------------------- chi-square ----
@@ -81,7 +89,8 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
     Expected counts E = row total x column total / N. With dof = 1 the Yates
     continuity correction max(|O - E| - 0.5, 0) is applied (as scipy does by
     default). A zero expected cell makes the test undefined: chi2 and p are
-    NULL. A single group gives chi2 = 0, dof = 0, p = 1.
+    NULL. A single group gives chi2 = 0, dof = 0, p = 1. ``chi_square_table``
+    takes tables of more columns.
     """
     out = chi_square_raw(tables, key, yates)
     return out.select(*key, "groups", F.round("chi2_raw", 6).alias("chi2"), "dof",
@@ -90,31 +99,84 @@ def chi_square(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool
 
 def chi_square_raw(tables: DataFrame, key: Sequence[str] = ("test_id",), yates: bool = True) -> DataFrame:
     """``chi_square`` unrounded and unordered: key..., groups, dof, yates_applied,
-    chi2_raw, p_raw. Totals are an aggregate joined back (one row per test), and
-    all of it is double arithmetic, so neither the number of labels of a test
-    nor the size of its counts matters."""
+    chi2_raw, p_raw. One aggregate per test, combined map-side.
+
+    With row totals R, column totals A and B: chi2 = N^2 / AB * (AB/N - sum(ab/R)).
+    Both terms in brackets are split into whole part and rest, so that counts of
+    any size lose nothing to their difference. In a 2 x 2 table all four cells
+    lie equally far from what is expected, and that distance follows from chi2.
+    """
+    key = list(key)
+    cells = tables.selectExpr(*key, "CAST(a AS DECIMAL(19,0)) AS a", "CAST(b AS DECIMAL(19,0)) AS b")
+    per = cells.groupBy(*key).agg(*map(F.expr, (
+        "count(*) AS groups", "CAST(sum(a) AS DECIMAL(19,0)) AS A", "CAST(sum(b) AS DECIMAL(19,0)) AS B",
+        "CAST(min(a + b) AS DOUBLE) AS least", "CAST(max(a + b) AS DOUBLE) AS most",
+        "sum((a * b) div nullif(a + b, 0)) AS whole",
+        "sum(CAST((a * b) % nullif(a + b, 0) AS DOUBLE) / nullif(CAST(a + b AS DOUBLE), 0D)) AS rest")))
+    yates_at = "groups = 2" if yates else "FALSE"
+    gap = per.selectExpr(
+        *key, "groups", "CAST(groups - 1 AS INT) AS dof", f"{yates_at} AS yates_applied", "least", "most",
+        "CAST(A AS DOUBLE) AS a", "CAST(B AS DOUBLE) AS b", "CAST(A AS DOUBLE) + CAST(B AS DOUBLE) AS n",
+        "greatest(0D, CAST((A * B) div nullif(A + B, 0) - whole AS DOUBLE) "
+        "+ CAST((A * B) % nullif(A + B, 0) AS DOUBLE) / nullif(CAST(A + B AS DOUBLE), 0D) - rest) AS gap")
+    apart = "greatest(sqrt(gap * n * least) * sqrt(most) - n / 2, 0D)"
+    return _with_p(gap.selectExpr(
+        *key, "groups", "dof", "yates_applied",
+        "CASE WHEN dof = 0 THEN 0D WHEN least > 0 AND a > 0 AND b > 0 THEN "
+        f"IF(yates_applied, ({apart} / least) * ({apart} / most), gap * n) * (n / a / b) END AS chi2_raw"))
+
+
+def _with_p(tests: DataFrame) -> DataFrame:
+    """``p_raw`` of ``chi2_raw`` and ``dof``; no degree of freedom gives 1."""
+    return tests.withColumn("p_raw", F.expr(f"CASE WHEN dof = 0 THEN 1D ELSE {chi2_sf_sql('chi2_raw', 'dof')} END"))
+
+
+def chi_square_table(cells: DataFrame, key: Sequence[str] = ("test_id",), row: str = "label", column: str = "outcome",
+                     n: str = "n", yates: bool = True) -> DataFrame:
+    """Pearson chi-square test of independence for r x c tables in sparse long
+    form (key..., row, column, n): key..., total, n_rows, n_columns, chi2, dof,
+    p_value, yates_applied.
+
+    Cells may be absent (a count of 0) or split over rows. Absent ones are not
+    filled in: all expected counts sum to N, so theirs are N less the present
+    ones'. dof = (r - 1)(c - 1); Yates at dof 1, by the distance that all four
+    cells then share. A row or column total of zero makes the test undefined:
+    chi2 and p are NULL. One row or one column gives chi2 = 0, dof = 0, p = 1. A
+    NULL label is a label. Margins are aggregates joined back, so neither the
+    number of tests nor that of labels is bounded.
+    """
     key = list(key)
-    totals = tables.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_r"), F.sum("a").cast("double").alias("_A"), F.sum("b").cast("double").alias("_B"))
-    cells = tables.select(*key, F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).join(totals, key)
-    row = (F.col("a") + F.col("b")) / (F.col("_A") + F.col("_B"))
-    total = F.col("_A") + F.col("_B")
-    dof = (F.col("_r") - 1).cast("int")
-    use_yates = (dof == 1) if yates else F.lit(False)
-    share = F.when(total > 0, row)
-    cells = cells.select(*key, "a", "b", "_r", (share * F.col("_A")).alias("_ea"), (share * F.col("_B")).alias("_eb"),
-                         dof.alias("dof"), use_yates.alias("yates_applied"))
-
-    def term(o, e):
-        d = F.abs(F.col(o) - F.col(e))
-        d = F.when(F.col("yates_applied"), F.greatest(d - F.lit(0.5), F.lit(0.0))).otherwise(d)
-        return F.try_divide(d * d, F.col(e))
-
-    per = cells.groupBy(*key, F.col("_r").alias("groups"), "dof", "yates_applied").agg(
-        F.min(F.least("_ea", "_eb")).alias("_emin"), F.sum(term("a", "_ea") + term("b", "_eb")).alias("_chi2"))
-    chi2 = F.when(F.col("dof") == 0, F.lit(0.0)).when(F.col("_emin") > 0, F.col("_chi2"))
-    out = with_chi2_sf(per.select(*key, "groups", "dof", "yates_applied", chi2.alias("chi2_raw")), "chi2_raw", "dof", "p_raw")
-    return out.withColumn("p_raw", F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(F.col("p_raw")))
+    # As structs, so that NULLs meet NULLs.
+    counts = cells.select(F.struct(*key).alias("k"), F.struct(F.col(row)).alias("i"), F.struct(F.col(column)).alias("j"), F.col(n).alias("n"))
+    tests = cells.sparkSession.sql(_TABLE_TEST, args={"yates": yates}, counts=counts)
+    return _with_p(tests).select("k.*", "total", "n_rows", "n_columns", F.round("chi2_raw", 6).alias("chi2"), "dof",
+                                 F.round("p_raw", 10).alias("p_value"), "yates_applied").orderBy(*key)
+
+
+_TABLE_TEST = """
+WITH cells AS (SELECT k, i, j, CAST(sum(n) AS DOUBLE) AS o FROM {counts} GROUP BY k, i, j),
+row_sums AS (SELECT k, i, sum(o) AS in_row FROM cells GROUP BY k, i),
+column_sums AS (SELECT k, j, sum(o) AS in_column FROM cells GROUP BY k, j),
+by_row AS (
+  SELECT k, sum(in_row) AS total, count(*) AS n_rows, min(in_row) AS least_row, sum(1 / nullif(in_row, 0)) AS row_inverses
+  FROM row_sums GROUP BY k),
+by_column AS (
+  SELECT k, count(*) AS n_columns, min(in_column) AS least_column, sum(1 / nullif(in_column, 0)) AS column_inverses
+  FROM column_sums GROUP BY k),
+met AS (
+  SELECT k, o, in_row * in_column / nullif(total, 0) AS e, total, n_rows, n_columns, least(least_row, least_column) AS least_sum,
+         row_inverses * column_inverses AS inverses
+  FROM cells JOIN row_sums USING (k, i) JOIN column_sums USING (k, j) JOIN by_row USING (k) JOIN by_column USING (k)),
+tests AS (
+  SELECT k, total, n_rows, n_columns, least_sum, inverses, CAST((n_rows - 1) * (n_columns - 1) AS INT) AS dof,
+         sum((o - e) * (o - e) / nullif(e, 0)) AS present,
+         IF(count(*) < n_rows * n_columns, total - sum(e), 0D) AS absent, max(abs(o - e)) AS apart
+  FROM met GROUP BY k, total, n_rows, n_columns, least_sum, inverses)
+SELECT k, CAST(total AS BIGINT) AS total, n_rows, n_columns, dof, dof = 1 AND :yates AS yates_applied,
+       CASE WHEN dof = 0 THEN 0D
+            WHEN least_sum > 0 AND dof = 1 AND :yates THEN pow(greatest(apart - 0.5D, 0D), 2) * total * inverses
+            WHEN least_sum > 0 THEN present + absent END AS chi2_raw
+FROM tests"""
 
 
 def multiple_comparison_verdicts(tests: DataFrame, m: int | None = None, alpha: float = ALPHA,
@@ -122,7 +184,8 @@ def multiple_comparison_verdicts(tests: DataFrame, m: int | None = None, alpha:
     """Per test: the naive verdict at alpha, the Bonferroni verdict at alpha/m and
     the family-wise error 1 - (1 - alpha)^m. m defaults to the number of tests.
     Verdicts compare ``p`` as it is; only the shown p_value is rounded."""
-    family = F.lit(m) if m else tests.select(F.count(F.lit(1))).scalar()
+    # A row per test; counting them apart would compute every test twice.
+    family = F.lit(m) if m else F.count(F.lit(1)).over(Window.partitionBy())
     with_m = tests.withColumn("family_size", family.cast("int"))
     threshold = F.lit(alpha) / F.col("family_size")
     survives = F.col(p) < threshold
@@ -193,5 +256,5 @@ def required_sample_size(baseline: DataFrame, lifts_pp: Sequence[float] = SAMPLE
 
 
 __all__ = ["contingency_by_city", "contingency_by_payment", "order_contingencies", "contingency_from",
-           "tag", "chi_square", "chi_square_raw", "multiple_comparison_verdicts", "two_proportion_ztest",
+           "city_payment_cells", "tag", "chi_square", "chi_square_raw", "chi_square_table", "multiple_comparison_verdicts", "two_proportion_ztest",
            "required_sample_size"]

@@ -7,7 +7,6 @@ DuckDB SQL formulation of the same question.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +41,16 @@ SELECT city, count(*) AS buyers, sum(n) AS orders,
 FROM spend JOIN {users} USING (user_id)
 GROUP BY city"""
 
+# What each chosen payment method brought in.
+PAYMENTS_SQL = """
+SELECT payment_method, count(*) AS orders, count(DISTINCT user_id) AS buyers,
+       CAST(sum(CAST(order_amount AS DECIMAL(18,2))) AS DOUBLE) AS paid
+FROM {orders} WHERE payment_method IN (:payments) AND order_status = :status
+GROUP BY payment_method"""
+PAGE_SQL = """
+SELECT order_id, user_id, payment_method, order_amount
+FROM {orders} WHERE payment_method IN (:payments) AND order_amount >= :least"""
+
 
 class Ctx:
     """Canonical views over one fixture directory (built lazily, once)."""
@@ -65,7 +74,7 @@ class Ctx:
 
     @property
     def activity(self):
-        return self._get("activity", views.user_activity)
+        return self._get("activity", views.all_activity)
 
     @property
     def restaurants(self):
@@ -106,11 +115,22 @@ def _sql_buyers_by_city(c: Ctx) -> DataFrame:
                          {"orders": frames["orders"], "users": frames["users"]})
 
 
-def _written_and_read(c: Ctx) -> DataFrame:
-    """The monthly revenue as written by the sink and read back."""
-    path = f"{c.t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/growthlens-monthly-{uuid.uuid4().hex}"
-    sinks.write_result(revenue.gmv_mom(c.orders), path)
-    return c.t.spark.read.parquet(path)
+def _sql_payment_totals(c: Ctx) -> DataFrame:
+    """An ad-hoc question with a bound list of values."""
+    return adhoc.run_sql(c.t.spark, PAYMENTS_SQL, {"payments": list(SCOPE.payments), "status": "delivered"},
+                         {"orders": views.orders(c.t)})
+
+
+def _page_of_orders(c: Ctx) -> DataFrame:
+    """The first page of an ad-hoc listing; the cap is the feature."""
+    rows = adhoc.run_sql(c.t.spark, PAGE_SQL, {"payments": TWO_PAYMENTS, "least": 1000.0}, {"orders": views.orders(c.t)})
+    return adhoc.capped(rows, [F.desc("order_amount"), F.asc("order_id")])
+
+
+def _counts(c: Ctx) -> DataFrame:
+    if c.t.database:
+        return catalog.table_row_counts({name: c.t.table(name) for name in FIXTURE_TABLES})
+    return catalog.table_row_counts_of_files(c.t.spark, {name: c.t.path(name) for name in FIXTURE_TABLES})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -125,17 +145,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # retention
     "cohort_retention": _q(lambda c: retention.cohort_retention(c.activity)),
     "cohort_retention_observable": _q(
-        lambda c: retention.cohort_retention_observable(c.activity, c.orders)),
-    "exposure_baseline": _q(lambda c: retention.exposure_baseline(c.activity, c.orders)),
+        lambda c: retention.cohort_retention_observable(c.activity)),
+    "exposure_baseline": _q(lambda c: retention.exposure_baseline(c.activity)),
     "exposure_gap": _q(lambda c: retention.exposure_gap(
-        retention.exposure_baseline(c.activity, c.orders))),
+        retention.exposure_baseline(c.activity))),
     "exposure_correlation": _q(lambda c: retention.exposure_correlation(
-        retention.exposure_baseline(c.activity, c.orders))),
+        retention.exposure_baseline(c.activity))),
     "exposure_correlation_range": _q(lambda c: retention.exposure_correlation(
-        retention.exposure_baseline(c.activity, c.orders), *CORRELATION_RANGE)),
+        retention.exposure_baseline(c.activity), *CORRELATION_RANGE)),
     # GMV
     "gmv_mom": _q(lambda c: revenue.gmv_mom(c.orders)),
-    "gmv_mom_written": _q(_written_and_read),
+    "gmv_mom_written": _q(lambda c: sinks.written_and_read(revenue.gmv_mom(c.orders), "monthly")),
     "gmv_monthly_filtered": _q(lambda c: revenue.gmv_monthly_filtered(c.orders, c.user_city, SCOPE)),
     "city_leaderboard": _q(lambda c: revenue.city_leaderboard(c.orders, c.user_city, MONTHS_ONLY)),
     "top_n_per_group": _q(lambda c: revenue.top_n_per_group(c.lines, c.restaurants)),
@@ -148,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "power_users": _q(lambda c: ranking.power_users(c.orders)),
     "pareto_split": _q(lambda c: ranking.pareto_split(c.orders)),
     "concentration_ratio": _q(lambda c: ranking.concentration_ratio(c.orders)),
+    "gmv_by_tile": _q(lambda c: ranking.gmv_by_tile(c.orders)),
     # cancellations
     "cancellation_by_city": _q(lambda c: revenue.cancellation_by_city(c.orders, c.user_city)),
     "cancellation_by_payment": _q(lambda c: revenue.cancellation_by_payment(c.orders)),
@@ -175,6 +196,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         revenue.cancellation_filtered(c.orders, c.user_city, SCOPE, ordered=False).select(
             F.col("dimension").alias("test_id"), F.col("value").alias("label"),
             F.col("delivered").alias("a"), F.col("cancelled").alias("b")))),
+    "chi_square_city_payment": _q(lambda c: testing.chi_square_table(testing.tag(
+        testing.city_payment_cells(c.orders, c.user_city), "city_payment"))),
     "multiple_comparison_verdicts": _q(
         lambda c: testing.multiple_comparison_verdicts(
             testing.chi_square_raw(_contingency_tables(c)), p="p_raw")),
@@ -187,6 +210,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         funnel.step_pair_baseline(c.events, FROM_STEP, TO_STEP, by=("platform",)), (6.0,), (0.8,),
         by=("platform",))),
     "sql_buyers_by_city": _q(_sql_buyers_by_city),
+    "sql_payment_totals": _q(_sql_payment_totals),
+    "sql_page_of_orders": _q(_page_of_orders),
     # set-style
     "users_without_delivered_order": _q(lambda c: setops.entities_without_activity(
         c.user_city, views.delivered_orders(c.t), "user_id")),
@@ -194,11 +219,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         c.t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
                           F.col("o_orderstatus").alias("status")),
         c.t.lineitem.select(F.col("l_orderkey").alias("order_id")), "order_id")),
-    "table_row_counts": _q(lambda c: catalog.table_row_counts(
-        {name: c.t.table(name) for name in FIXTURE_TABLES})),
+    "table_row_counts": _q(_counts),
     "dataset_diff": _q(lambda c: setops.dataset_diff(
         c.orders.where(F.col("is_delivered")).select("user_id", "payment_method"),
         c.orders.where(~F.col("is_delivered")).select("user_id", "payment_method"))),
+    "dataset_diff_schemas": _q(lambda c: setops.dataset_diff(
+        c.orders.where(F.col("is_delivered")).select("user_id", "order_id", F.col("order_amount").alias("paid")),
+        c.orders.where(F.col("order_date") < F.lit("1998-01-01").cast("date")).select(
+            F.col("order_id").cast("string").alias("order_id"), "payment_method", "user_id"))),
 }
 
 FLAGSHIP = "cohort_retention"

@@ -84,9 +84,19 @@ def activity_from_orders(orders_df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_orders"),
         F.count(F.when(F.col("is_delivered"), 1)).alias("n_delivered"),
         F.collect_set(F.when(F.col("is_delivered"), month)).alias("delivered_months"),
+        F.max("order_date").alias("last_order"),
     )
 
 
+def all_activity(t: Tables) -> DataFrame:
+    """``activity_from_orders`` of every user id and whether it is ``known`` to
+    the users table. Unknown ones are in no cohort, but the data last until
+    their ``last_order`` too, so retention needs no second scan for the end."""
+    known = t.customer.select(F.col("c_custkey").alias("user_id")).distinct().withColumn("known", F.lit(True))
+    return (activity_from_orders(orders(t)).join(known, "user_id", "left")
+            .withColumn("known", F.coalesce("known", F.lit(False))))
+
+
 def user_activity(t: Tables) -> DataFrame:
     """``activity_from_orders`` restricted to known customers (the users table)."""
     act = activity_from_orders(orders(t))
