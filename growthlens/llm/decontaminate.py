@@ -7,7 +7,7 @@ lie at most e apart. So shared q-grams are counted in overlapping diagonal
 bands, regions that reach the bound are kept, and a banded alignment decides.
 
 Quoted parts are found from any start in the item: every part of PART characters
-holds one of the seeds, shorter windows at every PART_STEP characters, whose
+holds one of the seeds, shorter windows at every quarter of it, whose
 regions are then aligned with each part around the seed.
 
 Benchmarks of any size go through in blocks of bounded size, one pass over the
@@ -16,8 +16,9 @@ documents each; only block and matches are shipped.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,40 +28,46 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, text_of
 
 #: q-gram length; window length and step; edits per 100 characters; items
-#: shorter than MIN_CHARS (normalised) match nothing, they tell too little.
+#: shorter than MIN_CHARS (normalised) are matched as they are, by whole words.
 Q, WINDOW, STEP, EDITS_PER_100, MIN_CHARS = 10, 160, 80, 6, 24
-#: Shortest part of an item that counts, and how far apart its seeds start.
-PART, PART_STEP = 64, 16
-_SEED, _PART_EDITS = PART - PART_STEP + 1, PART * EDITS_PER_100 // 100
-#: Characters of benchmark text per block, characters of documents per pass.
-BLOCK_CHARS, PASS_CHARS = 4_000_000, 1_000_000
+#: Shortest part of a longer item that counts.
+PART = 64
+#: Characters of benchmark text per block (about 17 bytes each in a task),
+#: characters of documents per pass.
+BLOCK_CHARS, PASS_CHARS = 4_000_000, 250_000
 _TABLE_BITS = 22
 _P = 0x9E3779B97F4A7C15
 _MATCHES = "id long, item_id long, start long, end long, edits long"
 _KEYED = f"key long, {_MATCHES}"
 
 
-#: Lower-cased letters and digits; 0 for other ASCII, 128 stands for the rest.
-_KIND = np.zeros(129, np.uint32)
-for _c in range(128):
-    if chr(_c).isalnum():
-        _KIND[_c] = ord(chr(_c).lower())
-_KIND[128] = 128
+@cache
+def _fold() -> np.ndarray:
+    """Per code point below 2^17: the letter, digit or mark in lower case (where
+    that is one character), else 0. Higher ones stand for themselves."""
+    out = np.zeros(1 << 17, np.uint32)
+    for c in range(len(out)):
+        if unicodedata.category(chr(c))[0] in "LNM":
+            low = chr(c).lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
 
 
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts laid end to end: code points with A-Z lower-cased and every
-    run of other ASCII than letters and digits as one space; where each stood;
-    where each text starts among them."""
+    """Of the texts laid end to end: code points of letters, digits and marks in
+    lower case, every run of others as one space; where each stood; where each
+    text starts among them."""
+    fold = _fold()
     c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = _KIND[np.minimum(c, 128)]
+    low = fold[np.minimum(c, len(fold) - 1)]
+    if len(c) and c.max() >= len(fold):
+        low = np.where(c < len(fold), low, c)
     word = low != 0
     keep = word.copy()
     keep[1:] |= word[:-1]  # the first of a run of others
     at = np.flatnonzero(keep)
-    low, c = low[at], c[at]
-    return (np.where(low == 128, c, np.where(low == 0, np.uint32(32), low)), at,
-            np.searchsorted(at, np.cumsum([0, *map(len, texts)])))
+    low = low[at]
+    return np.where(low == 0, np.uint32(32), low), at, np.searchsorted(at, np.cumsum([0, *map(len, texts)]))
 
 
 def gram_hashes(c: np.ndarray) -> np.ndarray:
@@ -115,41 +122,68 @@ def banded_alignment(window: np.ndarray, region: np.ndarray, edits: int) -> tupl
 
 
 class Block:
-    """Windows of a bounded number of benchmark items, and their q-grams."""
+    """The characters of a bounded number of benchmark items, their windows as
+    places in them, and their q-grams, each once for all windows that hold it.
+
+    About 17 bytes per character go to the tasks. ``part`` is the shortest
+    quotation of a longer item that counts; its seeds start every quarter of it.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[np.ndarray] = []
-        #: Per window, the parts that it is the seed of; of whole windows none.
-        self.parts: list[list[np.ndarray]] = []
-        owners, grams, where, window = [], [], [], []
+    def __init__(self, items: list[tuple[int, str]], part: int = PART):
+        self.part, self.step = part, part // 4
+        self.seed, self.part_edits = part - self.step + 1, part * EDITS_PER_100 // 100
+        if self.seed + 1 - Q - Q * self.part_edits < 1:
+            raise ValueError(f"parts of {part} characters share too few q-grams within their edits")
+        self.owners: list[int | None] = []
+        long: list[np.ndarray] = []
+        short: dict[int, dict[bytes, list[int | None]]] = {}
         for item, text in items:
             c, _, _ = normalised([text])
             c = c[int(c[:1].sum() == 32):len(c) - int(c[-1:].sum() == 32)]
-            if len(c) < MIN_CHARS:
-                continue
-            starts = [*range(0, len(c) - WINDOW, STEP), max(0, len(c) - WINDOW)]
-            cuts = [(c[a:a + WINDOW], []) for a in starts]
-            if len(c) > PART:
-                cuts += [(c[a:a + _SEED], [c[b:b + PART] for b in range(max(0, a - PART_STEP + 1), min(a, len(c) - PART) + 1)])
-                         for a in range(0, len(c) - _SEED + 1, PART_STEP)]
-            for part, around in cuts:
-                h = gram_hashes(part)
-                grams.append(h)
-                where.append(np.arange(len(h)))
-                window.append(np.full(len(h), len(self.windows)))
-                self.windows.append(part)
-                self.parts.append(around)
-                owners.append(item)
-        self.owners: list[int | None] = owners
-        empty = np.zeros(0, np.int64)
-        grams = np.concatenate([empty.astype(np.uint64), *grams])
-        order = np.argsort(grams, kind="stable")
-        self.grams = grams[order]
-        self.where = np.concatenate([empty, *where])[order]
-        self.window = np.concatenate([empty, *window])[order]
-        size = np.array([len(w) for w in self.windows], np.int64)
-        self.edits = np.where([bool(x) for x in self.parts], _PART_EDITS, size * EDITS_PER_100 // 100)
-        self.need = np.maximum(1, size + 1 - Q - Q * self.edits)
+            if len(c) >= MIN_CHARS:
+                long.append(c)
+                self.owners.append(item)
+            elif len(c):  # too short for its edits: matched as it is, by whole words
+                short.setdefault(1 + int((c == 32).sum()), {}).setdefault(c.tobytes(), []).append(item)
+        self.short = {n: _ShortItems(found) for n, found in short.items()}
+        size = np.array([len(c) for c in long], np.int64)
+        self.codes = np.concatenate([np.zeros(0, np.uint32), *long])
+        self.begin = np.concatenate(([0], np.cumsum(size)))
+        self.regular = np.maximum(0, -(-(size - WINDOW) // STEP))  # windows before the last
+        self.last = np.maximum(0, size - WINDOW)
+        self.seeds = np.where(size > part, (size - self.seed) // self.step + 1, 0)
+        #: Windows are numbered item by item: regular ones, the last, the seeds.
+        self.first = np.concatenate(([0], np.cumsum(self.regular + 1 + self.seeds)))
+        h = gram_hashes(self.codes)
+        at = np.arange(len(h))
+        whole = at + Q <= self.begin[1:][np.searchsorted(self.begin, at, "right") - 1] if len(h) else at < 0
+        order = np.argsort(h[whole], kind="stable")
+        self.grams = h[whole][order]
+        self.where = at[whole][order].astype(np.int32)
+
+    def window(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start in it, length, whether a seed) of windows by number."""
+        item = np.searchsorted(self.first, w, "right") - 1
+        k = w - self.first[item]
+        seed = k > self.regular[item]
+        start = np.where(seed, (k - self.regular[item] - 1) * self.step, np.where(k < self.regular[item], k * STEP, self.last[item]))
+        length = np.where(seed, self.seed, np.minimum(WINDOW, self.begin[item + 1] - self.begin[item]))
+        return item, start, length, seed
+
+    def _windows_of(self, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, window, place in it) for every window around item q-grams."""
+        item = np.searchsorted(self.begin, place, "right") - 1
+        p = place - self.begin[item]
+        out = [(p >= self.last[item], self.regular[item], self.last[item])]
+        for j in range(-(-WINDOW // STEP)):
+            k = p // STEP - j
+            out.append(((k >= 0) & (k < self.regular[item]) & (p + Q <= k * STEP + WINDOW), k, k * STEP))
+        for j in range(-(-self.seed // self.step)):
+            k = p // self.step - j
+            out.append(((k >= 0) & (k < self.seeds[item]) & (p + Q <= k * self.step + self.seed), self.regular[item] + 1 + k, k * self.step))
+        return (np.concatenate([at[ok] for ok, _, _ in out]),
+                np.concatenate([(self.first[item] + k)[ok] for ok, k, _ in out]),
+                np.concatenate([(p - start)[ok] for ok, _, start in out]))
 
     @cached_property
     def table(self) -> np.ndarray:
@@ -158,63 +192,99 @@ class Block:
         return found
 
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in c, row of the q-gram list) of every shared q-gram."""
+        """(position in c, place among the items' characters) of every shared
+        q-gram."""
         h = gram_hashes(c)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         lo = np.searchsorted(self.grams, h[at], "left")
         count = np.searchsorted(self.grams, h[at], "right") - lo
         rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return np.repeat(at, count), rows
+        return np.repeat(at, count), self.where[rows].astype(np.int64)
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(index of the text, item, start, end, edits); positions are code
         points of the whole text."""
         joined, origin, starts = normalised(texts)
         begin = np.cumsum([0, *map(len, texts)])
-        at, rows = self.hits(joined)
+        if self.short:
+            yield from self._short_matches(joined, origin, starts, begin)
+        if not len(self.grams):
+            return
+        at, window, where = self._windows_of(*self.hits(joined))
         text = np.searchsorted(starts, at, "right") - 1
-        window = self.window[rows]
         # Too few in the whole text: no band of it can reach the bound.
-        pair = text * len(self.windows) + window
-        _, same, count = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = count[same] >= self.need[window]
-        at, rows, text, window = at[enough], rows[enough], text[enough], window[enough]
-        width = self.edits[window] + 1
-        shift = at - starts[text] - self.where[rows] + WINDOW  # diagonal, not negative
+        pair = text * int(self.first[-1]) + window
+        _, one, same, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        _, _, length, seed = self.window(window[one])
+        edits = np.where(seed, self.part_edits, length * EDITS_PER_100 // 100)
+        need = np.maximum(1, length + 1 - Q - Q * edits)
+        enough = (count >= need)[same]
+        at, window, text, where, same = at[enough], window[enough], text[enough], where[enough], same[enough]
+        edits, need = edits[same], need[same]
+        width = edits + 1
+        shift = at - starts[text] - where + WINDOW  # diagonal, not negative
         band = shift // width
         # Each diagonal lies in two of the overlapping bands [k, k + 2) * width.
         key = np.stack((np.concatenate((text, text)), np.concatenate((window, window)),
-                        np.concatenate((band, band - 1)), np.tile(self.where[rows], 2)))
-        key = key[:, np.lexsort(key[::-1])]
+                        np.concatenate((band, band - 1)), np.tile(where, 2), np.tile(need, 2)))
+        key = key[:, np.lexsort(key[3::-1])]
         new = np.ones(key.shape[1], bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        key = key[:3, new]  # a q-gram of the window counts once in a band
+        new[1:] = (key[:4, 1:] != key[:4, :-1]).any(axis=0)
+        key = key[:, new]  # a q-gram of the window counts once in a band
         head = np.ones(key.shape[1], bool)
-        head[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        head[1:] = (key[:3, 1:] != key[:3, :-1]).any(axis=0)
         first = np.flatnonzero(head)
         shared = np.diff(np.append(first, key.shape[1]))
         done: set[tuple[int, int, int]] = set()
         covered: dict[tuple[int, int | None], list[tuple[int, int]]] = {}
-        regions = key[:, first[shared >= self.need[key[1, first]]]].T.tolist() if len(first) else []
+        kept = first[shared >= key[4, first]] if len(first) else first
+        item, start, length, seed = self.window(key[1, kept])
+        regions = zip(key[0, kept].tolist(), key[1, kept].tolist(), key[2, kept].tolist(), item.tolist(), start.tolist(), length.tolist(), seed.tolist())
         # Whole windows first: a seed within a place of its item tells no more.
-        for t, w, k in sorted(regions, key=lambda r: bool(self.parts[r[1]])):
-            e, part, around = int(self.edits[w]), self.windows[w], self.parts[w]
+        for t, w, k, i, a, n, is_seed in sorted(regions, key=lambda r: r[6]):
+            codes = self.codes[self.begin[i]:self.begin[i + 1]]
+            part, e = codes[a:a + n], self.part_edits if is_seed else n * EDITS_PER_100 // 100
             middle = int(starts[t]) + k * (e + 1) - WINDOW
-            lo, hi = middle - e, middle + 2 * (e + 1) + len(part) + e
-            places = covered.setdefault((t, self.owners[w]), [])
-            if around and any(a <= lo + e and hi - 2 * e - 2 <= b for a, b in places):
+            lo, hi = middle - e, middle + 2 * (e + 1) + n + e
+            places = covered.setdefault((t, i), [])
+            if is_seed and any(x <= lo + e and hi - 2 * e - 2 <= y for x, y in places):
                 continue
             lo, hi = max(int(starts[t]), lo), min(int(starts[t + 1]), hi)
             found = _place(part, joined[lo:hi], e)
-            if found and around:
-                lo = max(int(starts[t]), lo - PART_STEP - e)
-                found = _best(around, joined[lo:min(int(starts[t + 1]), hi + PART_STEP + e)], e)
+            if found and is_seed:
+                lo = max(int(starts[t]), lo - self.step - e)
+                around = [codes[b:b + self.part] for b in range(max(0, a - self.step + 1), min(a, len(codes) - self.part) + 1)]
+                found = _best(around, joined[lo:min(int(starts[t + 1]), hi + self.step + e)], e)
             if found and (t, w, lo + found[1]) not in done:
                 done.add((t, w, lo + found[1]))
                 places.append((lo + found[1], lo + found[2]))
-                yield (t, self.owners[w], int(origin[lo + found[1]] - begin[t]),
+                yield (t, self.owners[i], int(origin[lo + found[1]] - begin[t]),
                        int(origin[lo + found[2] - 1] - begin[t]) + 1, found[0])
 
+    def _short_matches(self, joined, origin, starts, begin):
+        """Whole words that are a short item, character for character."""
+        black = joined != 32
+        edge = np.zeros(len(joined) + 1, bool)
+        edge[starts] = True
+        head = np.flatnonzero(black & (np.concatenate(([True], ~black[:-1])) | edge[:-1]))
+        tail = np.flatnonzero(black & (np.concatenate((~black[1:], [True])) | edge[1:])) + 1
+        text = np.searchsorted(starts, head, "right") - 1
+        for n, items in self.short.items():
+            if len(head) < n:
+                continue
+            a, b = head[:len(head) - n + 1], tail[n - 1:]
+            fits = (text[:len(head) - n + 1] == text[n - 1:]) & (b - a <= items.longest)
+            for x, y, t in zip(a[fits].tolist(), b[fits].tolist(), text[:len(head) - n + 1][fits].tolist()):
+                for item in items.owners.get(joined[x:y].tobytes(), ()):
+                    yield t, item, int(origin[x] - begin[t]), int(origin[y - 1] - begin[t]) + 1, 0
+
+
+class _ShortItems:
+    """Items of one number of words: owners by characters."""
+
+    def __init__(self, owners: dict[bytes, list[int | None]]):
+        self.owners, self.longest = owners, max(len(c) // 4 for c in owners)
+
 
 def _exact(window: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
     raw = region.tobytes()
@@ -261,33 +331,35 @@ def _scan(block):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, part: int) -> Iterator[Block]:
     items, held = [], 0
     for item, text in (benchmark.select(F.col(item_col).cast("long"), text_of(text_col))
                        .distinct().toLocalIterator(prefetchPartitions=False)):
         if items and held + len(text) > BLOCK_CHARS:
-            yield Block(items)
+            yield Block(items, part)
             items, held = [], 0
         items.append((item, text))
         held += len(text)
     if items:
-        yield Block(items)
+        yield Block(items, part)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                      item_col: str = "item_id", item_text_col: str = "text", part: int = PART) -> DataFrame:
     """(id, item_id, start, end, edits): places of documents that equal a window
     or a part of a benchmark item but for a few edits.
 
-    Compared are lower-cased letters, digits and non-ASCII characters; anything
-    else is one space. Windows are whole items up to 160 characters, else 160
-    every 80; parts are any 64 characters, from any start, with up to 3 edits.
-    A passage longer than a part gives several rows; parts within the place of a
-    window or part already found give none. Null and empty texts match nothing;
-    nor do items under 24 characters. An item or document without id still counts.
-    Rows are distinct, so repeated rows add none.
+    Compared are letters, digits and marks in lower case; anything else is one
+    space. Windows are whole items up to 160 characters, else 160 every 80; parts
+    are any ``part`` characters from any start, with up to 6 edits
+    per 100. A passage longer than a part gives several rows; parts within the
+    place of a window or part already found give none. Items under 24 characters
+    match where the same words stand, without edits. Null and empty texts, and
+    items without a letter or digit, match nothing; texts of any length are
+    scanned whole. An item or document without id still counts. Rows are
+    distinct, so repeated rows add none.
     """
-    return _keyed_matches(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("key").distinct()
+    return _keyed_matches(docs, benchmark, id_col, text_col, item_col, item_text_col, part).drop("key").distinct()
 
 
 def _key(text_col: str):
@@ -295,13 +367,13 @@ def _key(text_col: str):
 
 
 def _keyed_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
-                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                   item_col: str = "item_id", item_text_col: str = "text", part: int = PART) -> DataFrame:
     """The matches and a hash of the text, which tells rows without id, or with
     the same id, apart."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), _key(text_col).alias("key"))
     found = []
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in _blocks(benchmark, item_col, item_text_col, part):
         shipped = spark.sparkContext.broadcast(block)
         found.append(materialize(map_arrow(texts, _scan(shipped), _KEYED).distinct(), "matches"))
         shipped.unpersist()
@@ -314,11 +386,11 @@ def _keyed_matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                           text_col: str = "text", **columns: str) -> DataFrame:
+                           text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: id_col, contaminated, n_items, item_ids (sorted,
     comma-joined), spans (``item:start:end:edits``, by item and place). Each row
     is judged by its own text, also without id or with that of another row."""
-    found = _keyed_matches(docs, benchmark, id_col, text_col, **columns)
+    found = _keyed_matches(docs, benchmark, id_col, text_col, **options)
     place = F.struct("item_id", "start", "end", "edits")
     each = found.groupBy("id", "key").agg(F.array_sort(F.collect_set("item_id")).alias("items"),
                                    F.array_sort(F.collect_set(place)).alias("places"))
@@ -333,10 +405,10 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str =
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                         text_col: str = "text", **columns: str) -> DataFrame:
+                         text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; rows without id
     are judged like others."""
-    bad = (_keyed_matches(docs, benchmark, id_col, text_col, **columns)
+    bad = (_keyed_matches(docs, benchmark, id_col, text_col, **options)
            .select(F.col("id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("bad_id"))
                      & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("bad_key")), "left_anti")

@@ -7,7 +7,7 @@ queries are tested against brute force.
 
 from __future__ import annotations
 
-from .quality_rules import STOP_WORDS, THRESHOLDS
+from .quality_rules import STOP_LETTERS, STOP_WORDS, THRESHOLDS
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -48,9 +48,10 @@ FROM payloads JOIN firsts USING (digest)"""
 
 def _quality_rules() -> str:
     rules = " AND ".join(
-        "NOT (" + f"{r.scale} * {r.measure} {r.op} {r.limit} * {r.per or 1}" + (f" AND n_words >= {r.from_words}" if r.from_words else "") + ")"
+        "NOT (" + f"{r.scale} * {r.measure} {r.op} {r.limit} * {r.per or 1}" + (f" AND n_words >= {r.from_words}" if r.from_words else "")
+        + (" AND 2 * n_stop_letters >= word_chars" if r.known_script else "") + ")"
         for r in THRESHOLDS)
-    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
@@ -68,7 +69,8 @@ m AS (
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
          coalesce(c.n, 0) AS n_repeat_words,
-         len(list_intersect(list_distinct(words), [{stops}])) AS n_stop_words
+         len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')), [{stops}])) AS n_stop_words,
+         length(regexp_replace(text, '[^{STOP_LETTERS}]', '', 'g')) AS n_stop_letters
   FROM d LEFT JOIN covered c USING (k))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

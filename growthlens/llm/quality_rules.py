@@ -10,13 +10,33 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, text_of
 
-#: Frequent function words of English, French, German, Spanish.
+#: Frequent function words of English, French, German and Spanish,
+#: then of Italian, Portuguese, Romanian, Dutch, the Scandinavian languages,
+#: Polish, Czech, Russian, Ukrainian, Turkish, Finnish, Hungarian, Indonesian and
+#: Vietnamese.
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "on", "be", "this",
     "le", "la", "les", "de", "des", "et", "en", "un", "une", "que", "qui", "dans", "du", "est", "par", "pour",
     "der", "die", "das", "und", "den", "von", "zu", "mit", "ist", "ein", "eine", "dem", "nicht", "auf", "sich",
     "el", "los", "las", "del", "y", "se", "no", "con", "su", "al", "lo", "es", "una", "para",
+    "il", "di", "che", "per", "non", "sono", "della", "si", "da",
+    "os", "do", "em", "um", "uma", "com", "não", "mais", "ao",
+    "și", "în", "cu", "care", "pe", "este", "nu",
+    "het", "een", "van", "dat", "niet", "te", "zijn", "voor", "met", "op",
+    "och", "att", "som", "på", "är", "för", "av", "med", "til", "og", "ikke", "det", "den", "jeg",
+    "na", "że", "nie", "jest", "do", "to", "się", "jak", "po",
+    "je", "že", "ve", "byl", "ale",
+    "и", "в", "не", "на", "что", "с", "по", "это", "как", "он", "а", "к", "но", "из", "у",
+    "і", "та", "що", "з", "за", "до", "як", "є", "від",
+    "bir", "bu", "da", "için", "ile", "olarak", "çok",
+    "ja", "on", "ei", "se", "että", "oli", "mutta",
+    "az", "és", "hogy", "egy", "nem", "is", "meg",
+    "yang", "dan", "itu", "dengan", "untuk", "ini", "pada",
+    "và", "của", "là", "có", "không", "một", "cho", "được",
 )
+#: Letters of the scripts that these are written in. In texts of other scripts,
+#: where most letters are none of these, stop words say nothing.
+STOP_LETTERS = "a-zA-Z\u00c0-\u024f\u1e00-\u1eff\u0400-\u04ff"
 
 
 class Rule(NamedTuple):
@@ -29,6 +49,7 @@ class Rule(NamedTuple):
     limit: int
     scale: int = 100
     from_words: int = 0  # applies to documents of so many words
+    known_script: bool = False  # applies where most letters are of STOP_LETTERS
 
 
 #: Whole-number thresholds: ``scale * measure OP limit * per`` means failed.
@@ -38,7 +59,7 @@ THRESHOLDS = (
     Rule("short_words", "word_chars", "n_words", "<", 200),
     Rule("long_words", "word_chars", "n_words", ">", 2000),
     Rule("symbols", "n_symbols", "n_words", ">", 10),
-    Rule("few_stop_words", "n_stop_words", None, "<", 2, 1, 50),
+    Rule("few_stop_words", "n_stop_words", None, "<", 2, 1, 50, True),
     Rule("repeated_lines", "n_dup_lines", "n_lines", ">", 50),
 )
 #: The rules that every document is held to whatever the rest of the table says.
@@ -49,7 +70,8 @@ def _fails(rule: Rule) -> Column:
     bound = F.lit(rule.limit) * (F.col(rule.per) if rule.per else F.lit(1))
     value = F.lit(rule.scale) * F.col(rule.measure)
     failed = value < bound if rule.op == "<" else value > bound
-    return failed & (F.col("n_words") >= rule.from_words) if rule.from_words else failed
+    failed = failed & (F.col("n_words") >= rule.from_words) if rule.from_words else failed
+    return failed & (2 * F.col("n_stop_letters") >= F.col("word_chars")) if rule.known_script else failed
 
 
 #: Words covered by 5-word windows that occur at least twice. ``q_win`` holds a
@@ -76,7 +98,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = (F.when(F.col("q_text") == "", F.array().cast("array<string>"))
              .otherwise(F.split("q_text", "[ \\t-\\r]+")))
     split = trimmed.select(
-        *base, words.alias("q_words"), "q_lines",
+        *base, words.alias("q_words"), "q_lines", "q_text",
         F.char_length(F.regexp_replace("q_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
     # Hashes of 2, then 4, then 5 words at every position; the last four are of
     # shorter windows, equal to no other.
@@ -90,7 +112,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.char_length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
         F.size("q_lines").cast("long").alias("n_lines"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect("q_words", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        F.size(F.array_intersect(F.split(F.lower("q_text"), r"[^\p{L}]+"), F.array(*map(F.lit, dict.fromkeys(STOP_WORDS))))).cast("long").alias("n_stop_words"),
+        F.char_length(F.regexp_replace("q_text", f"[^{STOP_LETTERS}]+", "")).cast("long").alias("n_stop_letters"),
         "q_pairs", quads.alias("q_quads"))
     done = [c for c in MEASURES if c != "n_repeat_words"]
     hashed = hashed.select(*base, *done, windows.alias("q_win"))
@@ -100,7 +123,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return hashed.select(*base, F.inline(F.array(each)))
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_stop_letters", "n_repeat_words")
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text",
@@ -110,8 +133,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text",
     Words are runs of non-space (ASCII white space); a null or empty text has
     none and fails the length rule. n_symbols counts ``#*$%&|<>``; n_dup_lines
     the lines with a word that equal an earlier one; n_stop_words the distinct
-    stop words; n_repeat_words the words
-    in 5-word windows found twice or more. Repeated rows are judged alike.
+    stop words in any case and without punctuation, of eighteen languages;
+    n_stop_letters the letters of their scripts; n_repeat_words the words in
+    5-word windows found twice or more. Repeated rows are judged alike, texts of
+    any length whole.
     Columns of ``docs`` named like a measure or verdict are replaced.
     """
     verdicts = ("base_failed", "failed_rules", "kept")

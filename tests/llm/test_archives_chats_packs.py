@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -131,6 +132,63 @@ def test_arc_versions_and_declared_lengths(version):
             list(warc.read_arc(bad))
 
 
+def test_a_page_id_with_several_payloads(spark):
+    df = spark.createDataFrame([(1, "u", "A"), (2, "u", "A"), (2, "u", "B"), (3, "u", "B")], "page_id long, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.payload_digest[:4], r.record_type, r.refers_to) for r in warc.convert_pages(df).collect())
+    a, b = (warc.sha1_base32(x)[:4] for x in (b"A", b"B"))
+    assert got == sorted([(1, a, "response", None), (2, a, "revisit", 1), (2, b, "response", None), (3, b, "revisit", 2)])
+
+
+def foreign(*records, head=b"filedesc://f.arc 0.0.0.0 19970101000000 text/plain 76\n1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n\n"):
+    at = head.index(b"\n") + 1
+    body = head[at:]
+    return head[:at].replace(b" 76\n", f" {len(body)}\n".encode()) + body + b"\n" + b"".join(records)
+
+
+def record(line, block, end=b"\n"):
+    return line + f" {len(block)}\n".encode() + block + end
+
+
+FOREIGN = [
+    (record(b"dns:example.org 10.0.0.1 19970102030405 text/dns", b"19970102 example.org A 1.2.3.4"), ("resource", 30, "dns:example.org", "1997-01-02T03:04:05Z")),
+    (record(b"http://a/ 10.0.0.1 19970102030405 text/html", b"HTTP/1.0 200 OK\r\nContent-length: 5\r\n\r\nhello"), ("response", 5, "http://a/", "1997-01-02T03:04:05Z")),
+    (record(b"http://b/ 10.0.0.1 19970102030405 text/html", b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nno length"), ("response", 9, "http://b/", "1997-01-02T03:04:05Z")),
+    (record(b"http://c/ 10.0.0.1 19970102030405 text/html", b"HTTP/1.0 200 OK\nContent-Length: 99\n\nbare feeds"), ("response", 10, "http://c/", "1997-01-02T03:04:05Z")),
+    (record("http://d/caf\xe9 10.0.0.1 19970102030405 text/html".encode("latin-1"), b"HTTP/1.0 200 OK\r\nX: \xe9\r\n\r\nlatin"), ("response", 5, "http://d/caf%C3%A9", "1997-01-02T03:04:05Z")),
+    (record(b"http://e/a b.html 10.0.0.1 19970102030405 text/html; charset=x", b"HTTP/1.0 200 OK\r\n\r\nspaces"), ("response", 6, "http://e/a%20b.html", "1997-01-02T03:04:05Z")),
+    (record(b"http://f/ 10.0.0.1 199701 text/html", b"HTTP/1.0 304 Not Modified\r\nServer: x", b"\r\n"), ("response", 0, "http://f/", "1997-01-01T00:00:00Z")),
+    (record(b"http://g/ 10.0.0.1 19970102030405 no-type", b"", b"\n\n\n"), ("resource", 0, "http://g/", "1997-01-02T03:04:05Z")),
+]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_others(spark, packed):
+    data = foreign(*[r for r, _ in FOREIGN])
+    if packed:
+        members = [foreign(), *[r for r, _ in FOREIGN]]
+        data = b"".join(gzip.compress(m) for m in members)
+    archives = spark.createDataFrame([("f.arc", bytearray(data))], "archive string, content binary")
+    got = warc.read_warc_archives(warc.arc_to_warc(archives)).collect()
+    assert Counter((r.record_type, r.payload_bytes, r.uri, r.date) for r in got) == Counter(want for _, want in FOREIGN)
+    assert warc.damaged_records(archives).collect() == []
+
+
+def test_damage_costs_one_record(spark):
+    sound = [r for r, _ in FOREIGN[:3]]
+    broken = [b"http://x/ 10.0.0.1 19970102030405 text/html much\nbody\n", b"http://y/ 10.0.0.1 19970102030405 text/html 999999\ncut\n",
+              b"http://z/ 10.0.0.1 19970102030405 text/html 2\nlonger than it says\n", b"junk\n", b"http://w/ 10.0.0.1 soon text/html 4\nbody\n"]
+    rows = [(f"{k}", bytearray(foreign(sound[0], bad, sound[1], sound[2]))) for k, bad in enumerate(broken)]
+    rows.append(("headless", bytearray(sound[1] + sound[2])))
+    rows.append(("cut", bytearray(foreign(sound[1])[:-20])))
+    rows.append(("gz", bytearray(gzip.compress(foreign(sound[0])) + b"\x1f\x8b\x08 no member" + gzip.compress(sound[1]))))
+    rows.append(("empty", bytearray(b"")))
+    archives = spark.createDataFrame(rows, "archive string, content binary")
+    damaged = Counter(r.archive for r in warc.damaged_records(archives).collect())
+    assert damaged == Counter({**{f"{k}": 1 for k in range(len(broken))}, "headless": 1, "cut": 1, "gz": 1})
+    read = warc.read_warc_archives(warc.arc_to_warc(archives)).collect()
+    assert Counter(r.uri for r in read) == Counter({"dns:example.org": 6, "http://a/": 7, "http://b/": 6})
+
+
 def test_min_revisit_bytes_and_identifiers(spark):
     df = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "yyyy"), (4, "d", "yyyy")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in warc.convert_pages(df, min_bytes=3).collect()}
