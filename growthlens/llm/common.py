@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes handled by one numpy pass; a longer single text is one pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +43,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage so that a lost executor costs a reread, and gives later
-    joins a plain scan, whose skewed partitions Spark can split. The folder is
-    removed when the session's file system closes.
+    joins a plain scan, whose skewed partitions Spark can split. The folder goes
+    with ``discard``, or when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    hadoop, fs = _at(spark, path)
+    fs.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._growthlens_path = path
+    return out
+
+
+def _at(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove what ``materialize`` wrote, once nothing reads it any more: what was
+    made from it is written itself."""
+    for df in written:
+        hadoop, fs = _at(df.sparkSession, df._growthlens_path)
+        fs.delete(hadoop, True)
 
 
 def _ship(spark: SparkSession) -> None:
@@ -68,9 +83,24 @@ def _ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
+    """``mapInArrow`` with this package on the executors. A worker gives back
+    what a task leaves unused: it serves the next stage too."""
     _ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +25,10 @@ def components(links: DataFrame) -> DataFrame:
         met = labels.join(near, labels["node"] == near["src"]).select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("own"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("on"))
-        labels = materialize(
+        before, labels = labels, materialize(
             met.join(jump, F.col("own") == F.col("at")).select(
                 "node", F.least("own", "on").alias("label"),
                 (F.least("own", "on") < F.col("old")).alias("moved")), "labels")
+        discard(before)
+    discard(edges)
     return labels.select("node", F.col("label").alias("component"))

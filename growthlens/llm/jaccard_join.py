@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_of
+from .common import discard, map_arrow, materialize, text_of
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -288,7 +288,7 @@ def _near_enough(p: int, q: int):
 def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets are similar enough."""
     known = profiles.select("id", "n", *_BITS).dropDuplicates(["id"])
-    pairs = materialize(
+    asked = pairs = materialize(
         pairs.join(known.alias("x"), F.col("a") == F.col("x.id"))
         .join(known.alias("y"), F.col("b") == F.col("y.id"))
         .filter(_may_match("x", "y", p, q)).select("a", "b"), "pairs")
@@ -308,10 +308,12 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: in
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = right.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return materialize(
+    links = materialize(
         both.withColumn("shared", shared)
         .filter(F.col("shared") * q >= (F.size("ta") + F.size("tb") - F.col("shared")) * p)
         .select("a", "b"), "links")
+    discard(asked, wanted, sets, wide, pairs)
+    return links
 
 
 def _second_pairs(buckets: DataFrame, classes: DataFrame, profiles: DataFrame, p: int, q: int) -> DataFrame:
@@ -321,7 +323,9 @@ def _second_pairs(buckets: DataFrame, classes: DataFrame, profiles: DataFrame, p
             .select("entry", "id", F.coalesce("component", "id").alias("class")))
     mixed = (rows.groupBy("entry").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("held"))
              .filter("lo < hi").select("entry", "held"))
-    rows = materialize(rows.join(materialize(mixed, "mixed"), "entry"), "rows")
+    mixed = materialize(mixed, "mixed")
+    held = rows = materialize(rows.join(mixed, "entry"), "rows")
+    discard(mixed)
     odd = (F.col("entry").bitwiseAND(2) / 2).cast("int")
     sizes = profiles.select("id", "n", "spare_even", "spare_odd", *_BITS).dropDuplicates(["id"])
     rows = rows.join(sizes, "id").withColumn("odd", odd).withColumn("plain", F.col("entry").bitwiseAND(1) == 0)
@@ -331,6 +335,7 @@ def _second_pairs(buckets: DataFrame, classes: DataFrame, profiles: DataFrame, p
     left = F.when(F.col("odd") == 1, F.col("spare_odd")).otherwise(F.col("spare_even"))
     rows = rows.withColumn("rank", ranked).filter(~F.col("plain") | (F.col("rank") > left))
     rows = materialize(rows.select("entry", "id", "class", "n", *_BITS), "kept")
+    discard(held)
     x, y = rows.alias("x"), rows.alias("y")
     return (x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.class") < F.col("y.class"))
                    & _may_match("x", "y", p, q))
@@ -370,6 +375,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _verified(_second_pairs(buckets, classes, profiles, similar, of), profiles, single, words, similar, of)
     if not more.isEmpty():
         classes = components(links.union(more))
+    discard(buckets)
     return (profiles.select("id", "n").join(copies, "id", "left")
             .withColumn("node", F.coalesce("first", "id")).join(classes, "node", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -3,9 +3,10 @@
 Each task packs the documents of its partition as they come. A level array
 counts the open windows by fill; a document goes to the fill (or a new window)
 that leaves the sum of the squared counts smallest. Documents longer than a
-window fill whole windows first. Windows still open at the end, or beyond a
-bound, are completed by cutting: pieces of the emptiest fill the gaps of the
-fullest, and the last one is cut into powers of two, which take no padding.
+window fill whole windows first. Beyond a bound of open windows the fullest is
+completed by cutting a piece of the emptiest. Windows still open at the end are
+all completed so, and the last one is cut into powers of two, which take no
+padding.
 """
 
 from __future__ import annotations
@@ -62,9 +63,42 @@ class Packer:
         if len(piece):
             done += self._place(piece)
         if self.n_open > self.most_open:
-            done += self.close()
+            done += self._fill_fullest()
         return done
 
+    def _fill_fullest(self) -> list[list[Piece]]:
+        """Complete the fullest open window by cutting a piece of the emptiest;
+        the rest stay open and go on as before."""
+        held = np.flatnonzero(self.level)
+        full, empty = int(held[-1]), int(held[0])
+        pieces = self._taken(full)
+        while full < self.window:
+            other = self._taken(empty)
+            piece = other.pop()
+            left = empty - len(piece)
+            if len(piece) > self.window - full:
+                piece, rest = piece.cut(self.window - full)
+                other.append(rest)
+                left += len(rest)
+            pieces.append(piece)
+            full += len(piece)
+            if left:
+                self._put(left, other)
+                empty = left
+            else:
+                empty = int(np.flatnonzero(self.level)[0])
+        return [pieces]
+
+    def _taken(self, fill: int) -> list[Piece]:
+        self.level[fill] -= 1
+        self.n_open -= 1
+        return self.open[fill].pop()
+
+    def _put(self, fill: int, pieces: list[Piece]) -> None:
+        self.open[fill].append(pieces)
+        self.level[fill] += 1
+        self.n_open += 1
+
     def _place(self, piece: Piece) -> list[list[Piece]]:
         n, count = len(piece), self.level
         # Change of the sum of squares for the fills 1 .. window - n.
@@ -159,15 +193,15 @@ def _pack(vocabulary: str, window: int, end_id: int):
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, doc in enumerate(ids):
-                tokens = tokenizer.ids(texts[i].as_py() or "") + end
+            for doc, found in zip(batch.column(0).to_pylist(), tokenizer.each(batch.column(1))):
+                tokens = found + end
                 number(packer.add(Piece(doc, 0, tokens, len(tokens) // _ID_BYTES)))
                 if len(rows) >= 20_000:
                     yield batch_of()
         number(packer.close())
         if rows:
             yield batch_of()
+        tokenizer.clear()
 
     return run
 
@@ -181,7 +215,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     or empty text is ``end_id`` alone. Each id lies in exactly one piece, and a
     sequence's offsets have no gap. Sequences are full, or hold a power of two
     of ids. Repeated rows are packed each; a null id stays null. An empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. Other columns are ignored. Texts of any length are packed
+    whole. A vocabulary of another kind than word-end BPE tokenises whole texts.
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")),

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_of
+from .common import discard, map_arrow, materialize, text_of
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
@@ -196,7 +196,9 @@ def hamming_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     own = (F.col("hi") == F.col("hi2")) & (F.col("lo") == F.col("lo2")) & (F.col("part") == F.col("part2"))
     right = tiles.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("part").alias("part2"), F.col("prints").alias("others"))
     met = pairs.withColumn("own", own).join(right, ["hi2", "lo2", "part2"])
-    return materialize(map_arrow(met.select("own", "prints", "others"), _tile_links(radius), "a long, b long").distinct(), "links")
+    links = materialize(map_arrow(met.select("own", "prints", "others"), _tile_links(radius), "a long, b long").distinct(), "links")
+    discard(strips, tiles)
+    return links
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -220,6 +222,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          .select("print", "first", F.coalesce("component", "print").alias("class")), "member")
     smallest = member.groupBy("class").agg(F.min("first").alias("smallest"))
     ends = materialize(member.join(smallest, "class").select("print", "smallest"), "ends")
+    discard(first, member)
     return prints.join(ends, "print").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.col("smallest").alias("component_id"))
