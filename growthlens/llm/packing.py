@@ -201,7 +201,6 @@ def _pack(vocabulary: str, window: int, end_id: int):
         number(packer.close())
         if rows:
             yield batch_of()
-        tokenizer.clear()
 
     return run
 

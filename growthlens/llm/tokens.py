@@ -10,6 +10,7 @@ bounded in bytes and starts anew when it is full.
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -22,7 +23,12 @@ from .shingles import _BASE, _INVERSE, _SPACE, _power, mix
 
 #: Bytes of hashes and ids that a worker keeps; longer words are tokenised anew
 #: each time.
-KEPT_BYTES, LONGEST = 32 << 20, 256
+KEPT_BYTES, LONGEST = 40 << 20, 256
+#: Words of these characters only, and so short, are split here; any other goes
+#: through the tokenizer whole. Their parts, of 64 characters at most, recur too.
+_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]{1,64}")
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+KEPT_PARTS = 80_000
 #: Texts by which a vocabulary shows whether it works as assumed.
 _PROBES = ("Two words", " lead and  gap", "a\nb c", "It's x2y, 3.14 don't! #tag", "Über-all naïve")
 _rng = np.random.default_rng(20240615)
@@ -57,6 +63,10 @@ class WordTokenizer:
         self._all = Tokenizer.from_file(vocabulary)
         # A vocabulary of another kind tokenises whole texts.
         self._by_word = all(b"".join(map(self._whole, t.split())) == self._whole(t) for t in _PROBES)
+        # Whether words split here, as this kind of vocabulary splits them, give
+        # what the tokenizer gives; else it takes each word itself.
+        self._parts: dict[str, bytes] = {}
+        self._split_here = all(self._split(w) == self._whole(w) for text in _PROBES for w in text.split() if _PLAIN.fullmatch(w))
         self.clear()
 
     def clear(self) -> None:
@@ -92,8 +102,8 @@ class WordTokenizer:
             new = np.ones(len(order), bool)
             new[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
             first = order[new]
-            found = [self._whole(data[a:b].tobytes().decode("utf-8", "surrogatepass"))
-                     for a, b in zip(start[first].tolist(), end[first].tolist())]
+            raw = data.tobytes()
+            found = self._each_of([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist())])
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             own = np.cumsum(sizes) - sizes
             pool = np.concatenate((pool, np.frombuffer(b"".join(found), np.uint32)))
@@ -129,6 +139,25 @@ class WordTokenizer:
         self._at = np.insert(self._at, place, (base + np.cumsum(sizes) - sizes).astype(np.int32))
         self._size = np.insert(self._size, place, sizes.astype(np.int32))
 
+    def _each_of(self, words: list[str]) -> list[bytes]:
+        if not self._split_here:
+            return list(map(self._whole, words))
+        return [self._split(w) if _PLAIN.fullmatch(w) and "<|" not in w else self._whole(w) for w in words]
+
+    def _split(self, word: str) -> bytes:
+        get, new = self._parts.get, self._part
+        return b"".join([get(p) or new(p) for p in _PART.findall(word.lower())])
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii():  # the byte alphabet is these characters themselves
+            found = array("I", [t.id for t in self._all.model.tokenize(part)]).tobytes()
+        else:
+            found = self._whole(part)
+        if len(self._parts) >= KEPT_PARTS:
+            self._parts.clear()
+        self._parts[part] = found
+        return found
+
     def _whole(self, text: str) -> bytes:
         return array("I", self._all.encode(text, add_special_tokens=False).ids).tobytes()
 
