@@ -63,15 +63,18 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def leaf_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) of ``nodes`` (tree, node, parent): every node on
     the path from a leaf to its root, ``up`` steps above the leaf. A parent that
-    is null or not in the tree makes a root. Parents must not form a ring."""
+    is null or not in the tree makes a root. Parents that form a ring raise a
+    ValueError: a jump longer than there are nodes."""
     edges = nodes.select("tree", "node", "parent").filter("parent IS NOT NULL").join(
         nodes.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
     jump = materialize(edges.select("tree", "node", F.col("parent").alias("over")), "jump")
     inner = jump.select("tree", F.col("over").alias("node")).distinct()
     paths = materialize(nodes.join(inner, ["tree", "node"], "left_anti")
                         .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    step = 1
+    step, most = 1, nodes.count()
     while not jump.isEmpty():
+        if step >= most:
+            raise ValueError("parents form a ring")
         further = (paths.join(jump, ["tree", "node"])
                    .select("tree", "leaf", F.col("over").alias("node"), (F.col("up") + step).alias("up")))
         paths = materialize(paths.union(further), "paths")
