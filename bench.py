@@ -1,4 +1,4 @@
-"""Benchmark: run every registered query at $BENCH_SF_DIR on local[$BENCH_CPUS]
+"""Benchmark: run every analytics query (none of the training-data ones) at $BENCH_SF_DIR on local[$BENCH_CPUS]
 and print ONE JSON line with per-query wall seconds.
 
 Each query is fully executed with the `noop` sink (every row produced, nothing
