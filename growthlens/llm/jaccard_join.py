@@ -21,8 +21,10 @@ would hold few tokens and so be frequent, use deletions only and leave nothing
 out; large ones, where deletions would add an entry per token, use few.
 
 Classes instead of pairs. Equal sets are merged before indexing. In the sets
-that share an entry (a bucket), each is first compared with the smallest id
-only; a second pass compares only sets that are still in different classes.
+that share an entry (a bucket), each is first compared with one only: the
+smallest id of its batch, which is known before the shuffle, and those ids with
+the smallest of all. A second pass compares only sets that are still in
+different classes.
 """
 
 from __future__ import annotations
@@ -193,32 +195,66 @@ def _index(words: int, p: int, q: int):
     return run
 
 
+_ENTRIES = "entry long, id long, pivot long"
+
+
 def _entry_batch(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+    """Rows (entry, id, pivot). Of the ids that hold an entry here the smallest
+    goes to the entry's bucket for all of them; the others name it as pivot, it
+    names itself. An entry held once here has no pivot. So of an entry that very
+    many hold, a bucket gets one row a batch."""
+    entry = np.concatenate(found).view(np.int64)
     ids = np.repeat(np.array(owners, np.int64), [len(x) for x in found])
-    return pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], names=["entry", "id"])
+    order = np.lexsort((ids, entry))
+    entry, ids = entry[order], ids[order]
+    again = np.concatenate(([False], entry[1:] == entry[:-1]))
+    pivot = ids[np.maximum.accumulate(np.where(again, 0, np.arange(len(entry))))]
+    alone = ~(again | np.concatenate((again[1:], [False])))
+    kept = ~again | (ids != pivot)  # a set's repeated entry, should hashes meet
+    return pa.record_batch([pa.array(entry[kept]), pa.array(ids[kept]), pa.array(pivot[kept], mask=alone[kept])],
+                           names=["entry", "id", "pivot"])
+
+
+def _bucketed(index: DataFrame) -> DataFrame:
+    """(entry, id, pivot) of entries held by more than one id, from ``_index``'s
+    rows. Those with a pivot elsewhere are dealt by it too and need no bucket."""
+    spread = F.expr("nullif(pivot, id)")
+    return map_arrow(index.repartition("entry", spread).sortWithinPartitions("entry", spread, "id"), _buckets, _ENTRIES)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (entry, id) sorted by both to (entry, id, smallest id), for entries
-    of more than one id. Holds one batch and one row."""
+    """Rows sorted by entry, pivot elsewhere (null first) and id. Rows without
+    one get the smallest id of their entry as pivot, or go if it is their own
+    and they stand for none. Holds one batch and one row."""
     entry = ident = pivot = np.zeros(0, np.int64)
     written = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        entry = np.concatenate((entry, batch.column(0).to_numpy()))
-        ident = np.concatenate((ident, batch.column(1).to_numpy()))
+        named = batch.column(2)
+        own = named.fill_null(-1).to_numpy()
+        known = ~named.is_null().to_numpy(zero_copy_only=False)
+        new = batch.column(1).to_numpy()
+        elsewhere = known & (own != new)
+        if elsewhere.any():
+            yield batch.filter(pa.array(elsewhere))
+        here = ~elsewhere
+        if not here.any():
+            continue
+        stands = np.concatenate((np.zeros(len(entry), bool), known[here]))
+        entry = np.concatenate((entry, batch.column(0).to_numpy()[here]))
+        ident = np.concatenate((ident, new[here]))
         again = np.concatenate(([False], entry[1:] == entry[:-1]))
         start = np.maximum.accumulate(np.where(again, 0, np.arange(len(entry))))
         smallest = ident[start]
         if len(pivot):
             smallest[start == 0] = pivot[0]
-        emit = again | np.concatenate((again[1:], [False]))
+        emit = again | np.concatenate((again[1:], [False])) | stands
         emit[0] &= not written
         if emit.any():
             yield pa.record_batch([pa.array(x[emit]) for x in (entry, ident, smallest)],
                                   names=["entry", "id", "pivot"])
-        written = bool(again[-1]) or (len(entry) == 1 and written)
+        written = bool(emit[-1]) or (len(entry) == 1 and written)
         entry, ident, pivot = entry[-1:], ident[-1:], smallest[-1:]
 
 
@@ -365,10 +401,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        .filter("first < last").select("digest", "first"), "same")
     copies = materialize(known.join(same, "digest").filter("id <> first").select("id", "first").distinct(), "copies")
     single = texts.filter("id IS NOT NULL").join(copies.select("id"), "id", "left_anti").select("id", "text")
-    index = map_arrow(single, _index(words, similar, of), "entry long, id long")
-    buckets = materialize(
-        map_arrow(index.repartition("entry").sortWithinPartitions("entry", "id"),
-                  _buckets, "entry long, id long, pivot long"), "buckets")
+    buckets = materialize(_bucketed(map_arrow(single, _index(words, similar, of), _ENTRIES)), "buckets")
     stars = buckets.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(stars, profiles, single, words, similar, of)
     classes = components(links)

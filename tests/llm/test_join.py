@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from growthlens.llm import jaccard_join as J
 from growthlens.llm.components import components
@@ -90,6 +91,56 @@ def test_many_copies_and_a_shared_passage(spark):
     compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows)
 
 
+def test_an_entry_that_very_many_hold_is_spread(spark):
+    """One entry in each of 50,000 ids, besides one of each id's own and one per
+    hundred ids: no partition gets much more than the others, no member goes."""
+    ids = 50_000
+
+    def index(batches):
+        for batch in batches:
+            held = batch.column(0).to_numpy()
+            found = [np.array([7 << 40, (1 << 50) + int(i), (1 << 51) + int(i) // 100], np.uint64) for i in held]
+            for k in range(0, len(held), 1000):
+                yield J._entry_batch(found[k:k + 1000], held[k:k + 1000].tolist())
+
+    rows = spark.range(0, ids, numPartitions=8).mapInArrow(index, J._ENTRIES)
+    dealt = rows.repartition(16, "entry", F.expr("nullif(pivot, id)")).groupBy(F.spark_partition_id()).count()
+    counts = [r["count"] for r in dealt.collect()]
+    assert max(counts) < 2 * np.median(counts)
+    got = J._bucketed(rows).toPandas()
+    assert len(got) == len(got.drop_duplicates(["entry", "id"])) == 2 * ids
+    assert set(got.entry) == {7 << 40} | {(1 << 51) + i for i in range(ids // 100)}
+    # Pivots are members, and all of an entry's members hang together by them.
+    hot = got[got.entry == 7 << 40]
+    assert set(hot["id"]) == set(range(ids)) and 50 <= hot["pivot"].nunique() <= 60
+    above = dict(zip(hot["id"], hot["pivot"]))
+    assert {above[p] for p in hot["pivot"]} == {0}
+
+
+@pytest.mark.parametrize("batch", [3, 40, 10_000])
+def test_buckets_in_small_batches(spark, batch):
+    rng = np.random.default_rng(batch)
+    held = {(int(e), int(i)) for e, i in zip(rng.integers(0, 60, 400) ** 2 // 40, rng.integers(-5, 90, 400))}
+    pairs = sorted(held, key=lambda x: (x[1] % 7, x))
+    batches = []
+    for k in range(0, len(pairs), 90):
+        part = pairs[k:k + 90]
+        batches.append(J._entry_batch([np.array([e], np.uint64) for e, _ in part], [i for _, i in part]))
+    rows = pa.Table.from_batches(batches).to_pandas().astype({"pivot": "Int64"})
+    rows["spread"] = rows["pivot"].where(rows["pivot"] != rows["id"])
+    rows = rows.sort_values(["entry", "spread", "id"], na_position="first")[["entry", "id", "pivot"]]
+    stream = pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=batch)
+    got = [tuple(r.values()) for b in J._buckets(iter(stream)) for r in b.to_pylist()]
+    many = Counter(e for e, _ in held)
+    members = {(e, i) for e, i, _ in got}
+    assert len(got) == len(members) and {x for x in held if many[x[0]] > 1} == members
+    above = {(e, i): p for e, i, p in got}
+    for e, i in members:
+        while above[e, i] != i:
+            i = above[e, i]
+        assert i == min(j for f, j in held if f == e)
+
+
 def test_null_ids_and_empty_table(spark, no_docs):
     assert J.jaccard_classes(no_docs).count() == 0
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
