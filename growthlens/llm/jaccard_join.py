@@ -21,10 +21,9 @@ would hold few tokens and so be frequent, use deletions only and leave nothing
 out; large ones, where deletions would add an entry per token, use few.
 
 Classes instead of pairs. Equal sets are merged before indexing. In the sets
-that share an entry (a bucket), each is first compared with one only: the
-smallest id of its batch, which is known before the shuffle, and those ids with
-the smallest of all. A second pass compares only sets that are still in
-different classes.
+that share an entry (a bucket), each is first compared with the smallest id
+only; a second pass compares only sets that are still in different classes. A
+batch sends one row an entry to its bucket, whatever it holds of it.
 """
 
 from __future__ import annotations
@@ -199,10 +198,9 @@ _ENTRIES = "entry long, id long, pivot long"
 
 
 def _entry_batch(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
-    """Rows (entry, id, pivot). Of the ids that hold an entry here the smallest
-    goes to the entry's bucket for all of them; the others name it as pivot, it
-    names itself. An entry held once here has no pivot. So of an entry that very
-    many hold, a bucket gets one row a batch."""
+    """Rows (entry, id, pivot). Of the ids that hold an entry in this batch the
+    smallest goes to the entry's bucket for all of them; the others name it as
+    pivot, it names itself. An entry held once in the batch has no pivot."""
     entry = np.concatenate(found).view(np.int64)
     ids = np.repeat(np.array(owners, np.int64), [len(x) for x in found])
     order = np.lexsort((ids, entry))
@@ -216,10 +214,20 @@ def _entry_batch(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
 
 
 def _bucketed(index: DataFrame) -> DataFrame:
-    """(entry, id, pivot) of entries held by more than one id, from ``_index``'s
-    rows. Those with a pivot elsewhere are dealt by it too and need no bucket."""
+    """(entry, id, pivot, local) of entries held by more than one id, from
+    ``_index``'s rows. Those that name another as pivot stay ``local``: they are
+    dealt by it too."""
     spread = F.expr("nullif(pivot, id)")
-    return map_arrow(index.repartition("entry", spread).sortWithinPartitions("entry", spread, "id"), _buckets, _ENTRIES)
+    return map_arrow(index.repartition("entry", spread).sortWithinPartitions("entry", spread, "id"),
+                     _buckets, _ENTRIES + ", local boolean")
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Every id with the smallest of its bucket, a < b. A local row has it from
+    its pivot's; a pivot stands for no more rows than a batch has."""
+    met = buckets.filter("NOT local").select("entry", F.col("id").alias("pivot"), F.col("pivot").alias("a"))
+    far = buckets.filter("local").join(met, ["entry", "pivot"]).select("a", F.col("id").alias("b"))
+    return buckets.filter("NOT local AND id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(far).distinct()
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = batch.column(1).to_numpy()
         elsewhere = known & (own != new)
         if elsewhere.any():
-            yield batch.filter(pa.array(elsewhere))
+            yield _bucket_batch([c.filter(pa.array(elsewhere)) for c in batch.columns], True)
         here = ~elsewhere
         if not here.any():
             continue
@@ -252,12 +260,16 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = again | np.concatenate((again[1:], [False])) | stands
         emit[0] &= not written
         if emit.any():
-            yield pa.record_batch([pa.array(x[emit]) for x in (entry, ident, smallest)],
-                                  names=["entry", "id", "pivot"])
+            yield _bucket_batch([pa.array(x[emit]) for x in (entry, ident, smallest)], False)
         written = bool(emit[-1]) or (len(entry) == 1 and written)
         entry, ident, pivot = entry[-1:], ident[-1:], smallest[-1:]
 
 
+def _bucket_batch(columns: list[pa.Array], local: bool) -> pa.RecordBatch:
+    marks = pa.array(np.full(len(columns[0]), local))
+    return pa.record_batch([*columns, marks], names=["entry", "id", "pivot", "local"])
+
+
 def _tokens(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,8 +414,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialize(known.join(same, "digest").filter("id <> first").select("id", "first").distinct(), "copies")
     single = texts.filter("id IS NOT NULL").join(copies.select("id"), "id", "left_anti").select("id", "text")
     buckets = materialize(_bucketed(map_arrow(single, _index(words, similar, of), _ENTRIES)), "buckets")
-    stars = buckets.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(stars, profiles, single, words, similar, of)
+    links = _verified(_stars(buckets), profiles, single, words, similar, of)
     classes = components(links)
     more = _verified(_second_pairs(buckets, classes, profiles, similar, of), profiles, single, words, similar, of)
     if not more.isEmpty():
