@@ -59,8 +59,9 @@ def _marks(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """A mark's bucket for each word: seen or not."""
     n = len(words)
     three = words.copy()
-    for k in (1, 2):
-        three[:max(0, n - k)] = mix(three[:max(0, n - k)]) + words[k:]
+    for k in (1, 2):  # not beyond the text's end
+        m = max(0, n - k)
+        three[:m] = np.where(owner[:m] == owner[k:], mix(three[:m]) + words[k:], three[:m])
     key = mix(three + owner.astype(np.uint64) * _P)
     first = np.zeros(n, bool)
     first[np.unique(key, return_index=True)[1]] = True

@@ -488,3 +488,43 @@ def test_scores_do_not_depend_on_the_slice(spark):
     whole = np.concatenate([*quality_classifier.scores(pa.array(texts), model)])
     single = [np.concatenate([*quality_classifier.scores(pa.array([t], pa.string()), model)])[0] for t in texts]
     assert np.allclose(whole, single)
+
+
+def test_scores_against_one_text_at_a_time():
+    """Every feature by plain loops over bytes and words, text by text; a text's
+    score owes nothing to its neighbours."""
+    import pyarrow as pa
+
+    from growthlens.llm.shingles import _BYTE
+
+    q, wrap = quality_classifier, (1 << 64) - 1
+    base = int(q._P)
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & wrap
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & wrap
+        return x ^ x >> 31
+
+    def score(text, model):
+        raw = (text or "").encode()
+        words = [mix(sum(int(_BYTE[c]) * base ** k for k, c in enumerate(w)) & wrap) for w in raw.split()]
+        found, seen = list(words), set()
+        for i in range(len(words)):
+            three = tuple(words[i:i + 3])
+            found.append(mix(2 if three in seen else 1))
+            seen.add(three)
+        for n in q.GRAMS:
+            for i in range(len(raw) - n + 1):
+                h = n
+                for c in raw[i:i + n]:
+                    h = (h * base + c) & wrap
+                found.append(mix(h))
+        mean = sum(model.weights[h % q.BUCKETS] for h in found) / max(1, len(found))
+        return 1 / (1 + np.exp(-mean - model.bias))
+
+    model = q.Model(np.random.default_rng(2).normal(size=q.BUCKETS), 0.1)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("a", "b", "Ab", "é", "\n")) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    texts += [None, "", " ", "a b c a", "b c", "a b a", "b"]
+    got = np.concatenate([*q.scores(pa.array(texts), model)])
+    assert np.allclose(got, [score(t, model) for t in texts], rtol=1e-9)
