@@ -46,6 +46,8 @@ WORDS, SIMILAR, OF = 4, 85, 100
 #: Size bands are [edge, next edge), so many times as wide as the last; up to
 #: SMALL as narrow as the threshold allows.
 BAND_RATIO, SMALL = 1.6, 80
+#: So many entries before its own does a row name, for pairs to be formed once.
+LOOK_BACK = 16
 
 
 class Band(NamedTuple):
@@ -366,7 +368,13 @@ def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: in
 
 def _second_pairs(buckets: DataFrame, classes: DataFrame, profiles: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs in a bucket, of sizes that may match, whose classes differ. Each
-    set first leaves out its most frequent entries as far as allowed."""
+    set first leaves out its most frequent entries as far as allowed.
+
+    Sets alike share many entries, but need to meet once. A row names the
+    ``LOOK_BACK`` entries that come before its own, rarest first, among those
+    its set kept; two rows that name one in common are no pair here, as their
+    sets meet at that one, earlier. At the first entry that two sets share they
+    name none in common, so each pair is formed."""
     rows = (buckets.join(classes.withColumnRenamed("node", "id"), "id", "left")
             .select("entry", "id", F.coalesce("component", "id").alias("class")))
     mixed = (rows.groupBy("entry").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("held"))
@@ -382,11 +390,13 @@ def _second_pairs(buckets: DataFrame, classes: DataFrame, profiles: DataFrame, p
         Window.partitionBy("id", "odd", "plain").orderBy(F.desc("held"), "entry"))
     left = F.when(F.col("odd") == 1, F.col("spare_odd")).otherwise(F.col("spare_even"))
     rows = rows.withColumn("rank", ranked).filter(~F.col("plain") | (F.col("rank") > left))
-    rows = materialize(rows.select("entry", "id", "class", "n", *_BITS), "kept")
+    before = F.collect_list("entry").over(
+        Window.partitionBy("id").orderBy("held", "entry").rowsBetween(-LOOK_BACK, -1))
+    rows = materialize(rows.select("entry", "id", "class", "n", *_BITS, before.alias("before")), "kept")
     discard(held)
     x, y = rows.alias("x"), rows.alias("y")
     return (x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.class") < F.col("y.class"))
-                   & _may_match("x", "y", p, q))
+                   & _may_match("x", "y", p, q) & ~F.arrays_overlap("x.before", "y.before"))
             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 

@@ -116,6 +116,41 @@ def test_an_entry_that_very_many_hold_is_spread(spark):
     assert Counter(zip(stars.a, stars.b)) == Counter({(a, b): 1 for b in range(ids) for a in {0, b // 100 * 100} if a < b})
 
 
+def test_unlike_sets_that_share_many_entries_meet_few_times(spark, monkeypatch):
+    """Texts of a family, too unlike to link, share dozens of entries a pair. A
+    pair is formed a few times at most, and none that shares an entry is missing."""
+    rng = random.Random(4)
+    common = [[f"c{k}_{i}" for i in range(30)] for k in range(60)]
+    rows = []
+    for i in range(14):
+        share = rng.choice((0.5, 0.88, 0.88, 0.9))
+        parts = [c if rng.random() < share else [f"o{i}_{k}_{j}" for j in range(30)] for k, c in enumerate(common)]
+        rows.append((i, " ".join(w for part in parts for w in part)))
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    profiles = J.map_arrow(docs, J._profiles(4, 85, 100), J._PROFILE)
+    buckets = J.materialize(J._bucketed(J.map_arrow(docs, J._index(4, 85, 100), J._ENTRIES)), "buckets")
+    classes = spark.createDataFrame([(2, 1)], "node long, component long")
+    kept, written = [], J.materialize
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "kept":
+            kept.append({(r.entry, r.id) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(J, "materialize", seen)
+    monkeypatch.setattr(type(docs), "distinct", lambda self: self)
+    got = [tuple(r) for r in J._second_pairs(buckets, classes, profiles, 85, 100).collect()]
+    held = defaultdict(list)
+    for entry, i in kept[0]:
+        held[entry].append(i)
+    # Of this length no two sets are told apart by their 256 parity bits.
+    shared = Counter((a, b) for ids in held.values() for a in ids for b in ids if a < b and (a, b) != (1, 2))
+    assert set(got) == set(shared) and len(shared) > 50
+    assert shared.total() > 20 * len(shared) and len(got) < 6 * len(shared)
+
+
 @pytest.mark.parametrize("batch", [3, 40, 10_000])
 def test_buckets_in_small_batches(spark, batch):
     rng = np.random.default_rng(batch)
