@@ -15,7 +15,6 @@ task or row grows with the input. Records are gzip members, as usual.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -33,6 +32,9 @@ from .common import map_arrow, materialize
 ARCHIVE_BYTES = 4 << 20
 #: Payloads of fewer bytes are never revisited.
 MIN_REVISIT_BYTES = 0
+#: Compressed bytes given to a decompressor at a time. What lies behind its gzip
+#: member it copies, so a whole archive would be copied once for every record.
+FED_BYTES = 4096
 CAPTURED = "20240101000000"
 #: The header fields of the two ARC versions.
 ARC_FIELDS = {
@@ -45,8 +47,12 @@ _ARCHIVE = "archive string, content binary"
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f-\xff%]")
 
 
+def _base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
 def sha1_base32(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return _base32(hashlib.sha1(payload).digest())
 
 
 def _member(record: bytes) -> bytes:
@@ -54,6 +60,17 @@ def _member(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
+def _inflate(content: memoryview, at: int) -> tuple[bytes, int | None]:
+    """The gzip member that starts at ``at`` and where it ends: nowhere if it is
+    cut off. Raises zlib.error for a damaged one."""
+    member, out = zlib.decompressobj(31), []
+    while at < len(content) and not member.eof:
+        fed = content[at:at + FED_BYTES]
+        out.append(member.decompress(fed))
+        at += len(fed)
+    return b"".join(out), at - len(member.unused_data) if member.eof else None
+
+
 def _percent(url: str) -> str:
     return _UNSAFE.sub(lambda m: b"%%%02X" % m[0][0], url.encode("utf-8", "surrogatepass")).decode()
 
@@ -67,8 +84,10 @@ def arc_header(name: str, version: int) -> bytes:
 
 def arc_record(version: int, name: str, offset: int, url: str, block: bytes) -> bytes:
     known = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": CAPTURED, "Content-type": "text/html",
-             "Result-code": "200", "Checksum": sha1_base32(block), "Location": "-", "Offset": str(offset),
+             "Result-code": "200", "Location": "-", "Offset": str(offset),
              "Filename": name, "Archive-length": str(len(block))}
+    if version == 2:
+        known["Checksum"] = sha1_base32(block)
     return " ".join(known[f] for f in ARC_FIELDS[version].split()).encode() + b"\n" + block + b"\n"
 
 
@@ -130,15 +149,15 @@ def _inflated(content: bytes) -> tuple[bytes, list[Damaged]]:
     not be read to their end (offsets are those of the compressed bytes)."""
     if content[:2] != b"\x1f\x8b":
         return content, []
-    out, holes, at = [], [], 0
+    out, holes, at, view = [], [], 0, memoryview(content)
     while at < len(content):
-        member = zlib.decompressobj(31)
         try:
-            out.append(member.decompress(content[at:]))
-            if not member.eof:
+            record, end = _inflate(view, at)
+            out.append(record)
+            if end is None:
                 holes.append(Damaged(at, "a gzip member is cut off"))
                 break
-            at = len(content) - len(member.unused_data)
+            at = end
         except zlib.error:
             holes.append(Damaged(at, "a gzip member is damaged"))
             at = content.find(b"\x1f\x8b\x08", at + 1)
@@ -253,8 +272,23 @@ def warc_record(headers: dict[str, str], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def _whole(content: bytes) -> bytes:
+    """All gzip members of an archive; raises where one can't be read to its
+    end. Zero bytes behind a member are padding."""
+    out, at, view = [], 0, memoryview(content)
+    while at < len(content):
+        record, end = _inflate(view, at)
+        if end is None:
+            raise EOFError(f"the gzip member at {at} is cut off")
+        out.append(record)
+        at = end
+        while at < len(content) and not content[at]:
+            at += 1
+    return b"".join(out)
+
+
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    data, at = gzip.decompress(content), 0
+    data, at = _whole(content), 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         if not data.startswith(b"WARC/1.1\r\n", at):
@@ -267,12 +301,13 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def convert(header: dict[str, str], block: bytes, first: dict | None) -> bytes:
-    """The WARC record of an ARC record; ``first`` is the response that has the
-    same payload, if this is not it: {page, url, date}. What is no HTTP response
-    becomes a resource of the type that the ARC header states."""
+def convert(header: dict[str, str], block: bytes, firsts: dict[tuple[int | None, bytes], dict]) -> bytes:
+    """The WARC record of an ARC record; ``firsts`` has by page id and payload
+    digest the response that a record revisits: {page, url, date}. What is no
+    HTTP response becomes a resource of the type that the ARC header states."""
     head, fields, payload = split_http(block)
-    url, date, digest, page = header["URL"], iso_date(header["Archive-date"]), sha1_base32(payload), _page(fields)
+    url, date, page, sha1 = header["URL"], iso_date(header["Archive-date"]), _page(fields), hashlib.sha1(payload).digest()
+    digest, first = _base32(sha1), firsts.get((page, sha1))
     kind = "resource" if not head else "revisit" if first else "response"
     out = {"WARC-Type": kind, "WARC-Record-ID": record_id(url, date, digest, page),
            "WARC-Date": date, "WARC-Target-URI": _percent(url)}
@@ -361,9 +396,7 @@ def _write_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(name, iso_date(CAPTURED), "", None),
                  "WARC-Date": iso_date(CAPTURED), "WARC-Filename": name, "Content-Type": "application/warc-fields"}, info))]
             for header, block in _sound(content.as_py()):
-                _, fields, payload = split_http(block)
-                first = later.get((_page(fields), hashlib.sha1(payload).digest())) if later else None
-                members.append(_member(convert(header, block, first)))
+                members.append(_member(convert(header, block, later)))
             yield _archive(name, members)
 
 

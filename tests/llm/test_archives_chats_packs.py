@@ -189,6 +189,33 @@ def test_damage_costs_one_record(spark):
     assert Counter(r.uri for r in read) == Counter({"dns:example.org": 6, "http://a/": 7, "http://b/": 6})
 
 
+def test_an_archive_is_not_copied_for_each_record(monkeypatch):
+    rng, fed = random.Random(6), []
+
+    class Counting:
+        def __init__(self, *a, new=zlib.decompressobj, **k):
+            self.inner = new(*a, **k)
+
+        def decompress(self, data, *a):
+            fed.append(len(data))
+            return self.inner.decompress(data, *a)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    blocks = [rng.randbytes(rng.choice((0, 100, 3000, 30_000))) for _ in range(300)]
+    arc = b"".join(map(warc._member, [warc.arc_header("x", 1)] + [warc.arc_record(1, "x", 0, "http://x/", b) for b in blocks]))
+    members = [warc._member(warc.convert(h, b, {})) for h, b in warc.read_arc(arc)]
+    monkeypatch.setattr(zlib, "decompressobj", Counting)
+    for content, read in ((arc, warc.read_arc), (b"".join(members), warc.read_warc), (b"\0\0".join(members) + b"\0", warc.read_warc)):
+        fed.clear()
+        assert [b for _, b in read(content)] == blocks
+        assert sum(fed) < 2 * len(content)
+    for bad in (arc[:-3], b"".join(members)[:-3], b"x" + members[0], members[0][:-6] + b"\1" * 6):
+        with pytest.raises((ValueError, EOFError, zlib.error)):
+            list(warc.read_warc(bad))
+
+
 def test_min_revisit_bytes_and_identifiers(spark):
     df = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "yyyy"), (4, "d", "yyyy")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in warc.convert_pages(df, min_bytes=3).collect()}
